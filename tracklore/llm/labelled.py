@@ -55,6 +55,8 @@ def trained(sample: DataFrame, features: Callable[[bytes], tuple], fit: Callable
 
     counted = sample.mapInArrow(count, "order bigint, label int, ids binary, counts binary")
     model = counted.repartition(1).sortWithinPartitions("order", "label").mapInArrow(learn, "k int, data binary").collect()
+    if not model:  # no labelled row
+        return fit([])
     return tuple(np.frombuffer(bytes(r.data), np.float32) for r in sorted(model, key=lambda r: r.k))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, labelled_sample, scored, trained
 
 BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 6
-SAMPLE, ROUNDS, RATE, PENALTY, LEAST_RATIO, LEAST_DOCS = 8000, 80, 0.3, 3e-4, 0.25, 2
+SAMPLE, ROUNDS, RATE, PENALTY, LEAST_RATIO, LEAST_DOCS = 12000, 150, 0.3, 1e-3, 1.5, 5
 REMEMBERED = 1 << 16
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -54,16 +54,14 @@ def fit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     if not rows:
         return np.zeros(BUCKETS), np.zeros(1)
     labels = np.array([r[0] for r in rows], np.float64)
-    sizes = np.array([len(r[1]) for r in rows])
-    ids = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-    docs = np.bincount(ids, minlength=BUCKETS)
-    toxic = np.bincount(ids, weights=labels[row], minlength=BUCKETS)
-    share = lambda n, k: (n + 1) / (k + 2)
-    ratio = np.log(share(toxic, labels.sum()) / share(docs - toxic, len(rows) - labels.sum()))
-    used = (docs >= LEAST_DOCS) & (np.abs(ratio) >= LEAST_RATIO)
-    kept = used[ids]
-    ids, row = ids[kept], row[kept]
+    counts = np.zeros((2, BUCKETS))
+    for label, ids, _ in rows:
+        counts[label, ids] += 1  # a row's ids are distinct
+    share = (counts + 1) / (np.array([[len(rows) - labels.sum()], [labels.sum()]]) + 2)
+    ratio = np.log(share[1] / share[0])
+    used = (counts.sum(axis=0) >= LEAST_DOCS) & (np.abs(ratio) >= LEAST_RATIO)
+    kept = [ids[used[ids]] for _, ids, _ in rows]
+    ids, row = np.concatenate(kept), np.repeat(np.arange(len(rows)), [len(k) for k in kept])
     value = ratio[ids].astype(np.float32)
     weights, bias = np.zeros(BUCKETS), 0.0
     slope, slope_bias = np.full(BUCKETS, 1e-8), 1e-8
