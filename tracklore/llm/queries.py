@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, media, quality, simhash, toxicity
+from . import bpe, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -30,6 +31,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", "n_licenses")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,9 +44,28 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = mixing.mixed(table(spark, sf_dir, "documents"), MIX, BUDGET)
+    return sampled.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
+
+
+#: Powers that flatten the shares of sources, languages and forms; part of the tokens that is sampled.
+MIX, BUDGET = {"source": 0.5, "lang": 0.7, "topic": 1.0}, 0.5
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_media_columns, op3_byte_bpe, op4_language_id, op5_quality, op7_toxicity, op8_document_fingerprints)}
+    """The queries of the ten operators."""
+    made = (
+        op1_simhash_near_dedup, op2_media_columns, op3_byte_bpe, op4_language_id, op5_quality,
+        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of those that SQL can express."""
     return {}
