@@ -99,21 +99,25 @@ def in_blocks(texts: list, count: Callable, most: int = 100_000) -> Iterator[lis
         yield block
 
 
-def scored(docs: DataFrame, model, make_scorer: Callable, id_col: str, text_col: str, columns: str) -> DataFrame:
-    """id and `columns` per row: `make_scorer(model)` gives a function from a list of texts to tuples."""
+def scored(docs: DataFrame, model, make_scorer: Callable, id_col: str, text_col: str, columns: str, keep: list[str] = ()) -> DataFrame:
+    """id, `columns` and kept (a struct of the `keep` columns) per row.
+
+    `make_scorer(model)` gives a function from a list of texts to tuples.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, {columns}"
+    kept = (F.struct(*keep) if keep else F.lit(None).cast("boolean")).alias("kept")
+    schema = f"id {kind}, {columns}, kept {docs.select(kept).schema[0].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make_scorer(shared.value)
         for batch in batches:
             made = score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)] + [batch.column(2)], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     fields = list(to_arrow_schema(StructType.fromDDL(schema)))
-    kinds, names = [f.type for f in fields[1:]], [f.name for f in fields]
-    return docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw")).mapInArrow(run, schema)
+    kinds, names = [f.type for f in fields[1:-1]], [f.name for f in fields]
+    return docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"), kept).mapInArrow(run, schema)

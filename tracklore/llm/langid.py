@@ -208,8 +208,8 @@ def make_scorer(model: dict):
     return score
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """Per row of `docs`: id, held_out, lang_pred, score, entropy, accepted.
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES, keep: list[str] = ()) -> DataFrame:
+    """Per row of `docs`: id, held_out, lang_pred, score, entropy, accepted, kept (a struct of the columns `keep`).
 
     lang_pred is a language of the training rows, or `und` (score 0, no entropy, not
     accepted) where the text is null or has no letter. Score is the calibrated probability
@@ -223,6 +223,6 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     model = merged(fitted)
     if model["langs"]:
         model = calibrate(rows.where("aside").orderBy("lang", "raw").collect(), model)
-    return scored(docs, model, make_scorer, id_col, text_col, "lang_pred string, score double, entropy double, accepted boolean").select(
-        F.col("id").alias(id_col), held_out("id", 4, 2).alias("held_out"), "lang_pred", "score", "entropy", "accepted"
+    return scored(docs, model, make_scorer, id_col, text_col, "lang_pred string, score double, entropy double, accepted boolean", keep).select(
+        F.col("id").alias(id_col), held_out("id", 4, 2).alias("held_out"), "lang_pred", "score", "entropy", "accepted", *(["kept"] if keep else [])
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SEED, TOLERANCE, ROUNDS, STEPS = "mix-1", 1e-9, 50, 64
+BROADCAST = 50_000  # cells up to which they are broadcast; more are joined by a shuffle
 DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -95,8 +96,8 @@ def probabilities(weighted: DataFrame, budget: float) -> DataFrame:
     return weighted.withColumn("probability", F.when(full, 1.0).otherwise(F.least(F.lit(1.0), ratio * factor)))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame | float], budget: float, id_col: str = "doc_id", text_col: str = "text", columns: dict[str, str | Column] | None = None) -> DataFrame:
-    """Documents sampled so that tokens meet the targets: id, source, lang, topic, tokens, weight, probability.
+def mixed(docs: DataFrame, targets: dict[str, DataFrame | float], budget: float, id_col: str = "doc_id", text_col: str = "text", columns: dict[str, str | Column] | None = None, keep: list[str] = ()) -> DataFrame:
+    """Documents sampled so that tokens meet the targets: id, source, lang, topic, tokens, weight, probability, kept (a struct of the columns `keep`).
 
     `targets` has per dimension a table (value, share) or a power for `tempered`; `columns`
     says what the dimensions are (default: the columns source and lang, and `text_form`).
@@ -106,9 +107,11 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame | float], budget: float,
     """
     columns = {"source": "source", "lang": "lang", "topic": text_form(F.col(text_col))} | (columns or {})
     dims = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).alias(d) for d, c in columns.items()]
-    rows = docs.select(F.col(id_col), *dims, token_count(F.col(text_col)).alias("tokens"))
+    rows = docs.select(F.col(id_col), *dims, token_count(F.col(text_col)).alias("tokens"), *([F.struct(*keep).alias("kept")] if keep else []))
     cells = staged(rows.groupBy(*columns).agg(F.sum("tokens").alias("tokens")))
     tables = {d: t if isinstance(t, DataFrame) else tempered(cells, d, t) for d, t in targets.items()}
     weighted = staged(probabilities(raked(cells, tables), budget).withColumnRenamed("tokens", "cell_tokens"))
+    if weighted.count() <= BROADCAST:
+        weighted = F.broadcast(weighted)
     joined = rows.where("tokens > 0").join(weighted, list(columns))
-    return joined.where(unit_hash(F.col(id_col)) < F.col("probability")).select(id_col, *columns, "tokens", "weight", "probability")
+    return joined.where(unit_hash(F.col(id_col)) < F.col("probability")).select(id_col, *columns, "tokens", "weight", "probability", *(["kept"] if keep else []))

@@ -94,8 +94,8 @@ def make_scorer(model: tuple[np.ndarray, float]):
     return score
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """Per row of `docs`: id, held_out, score, predicted.
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = SAMPLE, keep: list[str] = ()) -> DataFrame:
+    """Per row of `docs`: id, held_out, score, predicted, kept (a struct of the columns `keep`).
 
     Learns from about `sample` labelled rows at most, half of each class, outside the
     held-out third; the score is corrected for the classes' true shares. Null and empty
@@ -105,6 +105,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     rows, shift = labelled_sample(docs, labels, label, 3, 1, sample, id_col, text_col)
     weights, bias = trained(rows, document_features, fit)
-    return scored(docs, (weights.astype(np.float64), float(bias[0]) + shift), make_scorer, id_col, text_col, "score double").select(
-        F.col("id").alias(id_col), held_out("id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored(docs, (weights.astype(np.float64), float(bias[0]) + shift), make_scorer, id_col, text_col, "score double", keep).select(
+        F.col("id").alias(id_col), held_out("id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(["kept"] if keep else [])
     )

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, staged
+from .common import per_row, raw_text, staged
 from .graph import connected_components
 
 BITS, SEGMENTS, BUCKET, SEED = 64, 7, 32, 42
@@ -71,9 +71,11 @@ def low_bits(n: int) -> int:
     return -1 if n >= BITS else (1 << n) - 1
 
 
-def links(prints: DataFrame, max_diff: int = 2) -> DataFrame:
+def links(prints: DataFrame, max_diff: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b): links that join all of `prints(fp)` (distinct values) within `max_diff` bits.
 
+    With `by`, values are linked only where these columns agree, and the columns come first.
+
     Every such pair is either a row or joined by a path of rows through its shared entry.
     `max_diff` is 0, 1 or 2; the path for large buckets rests on that.
     """
@@ -83,14 +85,14 @@ def links(prints: DataFrame, max_diff: int = 2) -> DataFrame:
     exact = sum(1 for x in budget if x == 0)
     turned = lambda x, i: x if not starts[i] else F.shiftrightunsigned(x, starts[i]).bitwiseOR(F.shiftleft(x, BITS - starts[i]))
     if exact == SEGMENTS:
-        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    fp = F.col("fp")
-    keys = prints.select("fp", F.posexplode(F.array(*(turned(fp, i).bitwiseAND(F.lit(low_bits(chains[i][exact - 1]))) for i in range(SEGMENTS)))).alias("i", "key"))
-    shared = keys.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = staged(keys.join(shared, ["i", "key"]))
+        return prints.select(*by, F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    fp, on = F.col("fp"), [*by, "i", "key"]
+    keys = prints.select(*by, "fp", F.posexplode(F.array(*(turned(fp, i).bitwiseAND(F.lit(low_bits(chains[i][exact - 1]))) for i in range(SEGMENTS)))).alias("i", "key"))
+    shared = keys.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+    keys = staged(keys.join(shared, on))
 
     few = keys.where(F.col("n") <= BUCKET).drop("n")
-    pairs = few.select("i", "key", F.col("fp").alias("a")).join(few.select("i", "key", F.col("fp").alias("b")), ["i", "key"]).where("a < b")
+    pairs = few.select(*on, F.col("fp").alias("a")).join(few.select(*on, F.col("fp").alias("b")), on).where("a < b")
     viable = F.lit(False)
     for i in range(SEGMENTS):
         x = turned(F.col("a").bitwiseXOR(F.col("b")), i)
@@ -98,7 +100,7 @@ def links(prints: DataFrame, max_diff: int = 2) -> DataFrame:
         for n in range(exact, SEGMENTS):
             kept = kept & (F.bit_count(x.bitwiseAND(F.lit(low_bits(chains[i][n])))) <= budget[n])
         viable = viable | kept
-    pairs = pairs.where(viable).select("a", "b")
+    pairs = pairs.where(viable).select(*by, "a", "b")
 
     held = F.element_at(F.array(*(F.lit(starts[i] + chains[i][exact - 1]) for i in range(SEGMENTS))), F.col("i") + 1)
     bits = F.element_at(F.array(*(F.lit(BITS - chains[i][exact - 1]) for i in range(SEGMENTS))), F.col("i") + 1)
@@ -106,13 +108,13 @@ def links(prints: DataFrame, max_diff: int = 2) -> DataFrame:
     flips = F.expr("transform(sequence(0, bits_ - 1), j -> fp ^ shiftleft(1L, (from_ + j) % 64))")
     if max_diff == 1:  # only entries that are fingerprints themselves join what is one bit away
         flips = F.expr("array()").cast("array<bigint>")
-    entries = many.select("i", "key", "fp", F.explode(F.concat(F.array(fp), flips)).alias("entry"))
+    entries = many.select(*on, "fp", F.explode(F.concat(F.array(fp), flips)).alias("entry"))
     if max_diff == 1:
-        near = many.select("i", "key", "fp", F.explode(F.expr("transform(sequence(0, bits_ - 1), j -> fp ^ shiftleft(1L, (from_ + j) % 64))")).alias("entry"))
-        stars = near.join(entries.select("i", "key", F.col("entry"), F.col("fp").alias("other")), ["i", "key", "entry"]).select(F.col("fp").alias("a"), F.col("other").alias("b")).where("a < b")
+        near = many.select(*on, "fp", F.explode(F.expr("transform(sequence(0, bits_ - 1), j -> fp ^ shiftleft(1L, (from_ + j) % 64))")).alias("entry"))
+        stars = near.join(entries.select(*on, F.col("entry"), F.col("fp").alias("other")), [*on, "entry"]).select(*by, F.col("fp").alias("a"), F.col("other").alias("b")).where("a < b")
     else:
-        stars = entries.groupBy("i", "key", "entry").agg(F.collect_set("fp").alias("all_")).where(F.size("all_") > 1)
-        stars = stars.select(F.array_min("all_").alias("a"), F.explode("all_").alias("b")).where("a <> b")
+        stars = entries.groupBy(*on, "entry").agg(F.collect_set("fp").alias("all_")).where(F.size("all_") > 1)
+        stars = stars.select(*by, F.array_min("all_").alias("a"), F.explode("all_").alias("b")).where("a <> b")
     return pairs.union(stars).distinct()
 
 
@@ -131,3 +133,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = staged(rooted.join(least, "root").select("fp", "component_id"))
     return prints.join(groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by shingle similarity: SimHash over words finds candidates, shingles decide.
+
+PRINTS, WIDTH, LEAST = 6, 5, 0.8
+MIXERS = np.array([xxhash.xxh64_intdigest(b"print %d" % j) for j in range(PRINTS)], np.uint64)
+
+
+def word_prints(raw: bytes) -> tuple[list[int]]:
+    """`PRINTS` independent fingerprints of a text's distinct words."""
+    words = set(raw.lower().split())
+    if not words:
+        return ([0] * PRINTS,)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    out = []
+    for mixer in MIXERS:
+        x = (h ^ mixer) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
+        out.append(bit_majority(x ^ (x >> np.uint64(29))))
+    return (out,)
+
+
+def shingle_set(raw: bytes) -> tuple[list[int]]:
+    """Distinct 32-bit hashes of a text's shingles of `WIDTH` words."""
+    return (list({xxhash.xxh32_intdigest(x) - (1 << 31) for x in shingles(raw, WIDTH)}),)
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """(id, key, first_id, first_key) of each distinct row of `docs`: its group's first member.
+
+    key is the MD5 of the text. Rows with equal texts are one text; two texts are linked
+    where their sets of five-word shingles have a Jaccard similarity of `least` or more,
+    and linked texts are a group. Candidates have a fingerprint of distinct words within
+    two bits in one of `PRINTS` independent spaces; texts that share a fingerprint are
+    compared with one of them, a different one in each space, so a large group costs a
+    few comparisons per text. Finding is probable, not certain: at similarity 0.9 almost
+    sure, at 0.8 about seven in ten per pair, more in a group. The first member has the
+    smallest id (nulls last), then key. Null text counts as empty; empty tables give empty results.
+    """
+    key = F.unhex(F.md5(raw_text(text_col))).alias("key")
+    rows = staged(docs.select(F.col(id_col).alias("id"), key).distinct())
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(key, F.col(text_col).alias("text"))
+    prints = staged(per_row(keyed, lambda: word_prints, ["key"], "text", "key binary, fps array<bigint>").groupBy("key").agg(F.first("fps").alias("fps")))
+    spaces = prints.select("key", F.posexplode("fps").alias("space", "fp"))
+    reps = staged(spaces.groupBy("space", "fp").agg(F.min_by("key", F.xxhash64("key", "space")).alias("rep"), F.count("*").alias("n")))
+    stars = spaces.join(reps.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    across = links(reps.select("space", "fp"), 2, ("space",))
+    across = across.join(reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("left_")), ["space", "a"]).join(reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("right_")), ["space", "b"])
+    pairs = stars.union(across.select("left_", "right_")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pairs = staged(pairs)
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    one = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = staged(per_row(one, lambda: shingle_set, ["key"], "text", "key binary, parts array<int>"))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    roots = connected_components(alike)
+    rooted = rows.join(roots, rows.key == roots.node, "left").select("id", "key", F.coalesce("root", "key").alias("root"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first"))
+    return rooted.join(first, "root").select(F.col("id").cast(kind).alias(id_col), "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """`docs` with one row of each group of `copies`, its first member; repeated rows become one."""
+    first = copies(docs, id_col, text_col, least).where(F.col(id_col).eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    first = staged(first.select(F.col(id_col).alias("id__"), F.col("key").alias("key__")))
+    keyed = docs.withColumn("own__", F.unhex(F.md5(raw_text(text_col))))
+    kept = keyed.join(first, keyed[id_col].eqNullSafe(first["id__"]) & (keyed["own__"] == first["key__"]), "left_semi")
+    return kept.dropDuplicates([id_col, "own__"]).drop("own__")
