@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,26 @@ def trained(sample: DataFrame, features: Callable[[bytes], tuple], fit: Callable
     return tuple(np.frombuffer(bytes(r.data), np.float32) for r in sorted(model, key=lambda r: r.k))
 
 
+def ngram_buckets(words: list[str], shortest: int, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of every character n-gram of `<word>` and of every longer whole, for all words at once."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[word] - np.arange(len(word))
+    h, found, owner = np.zeros(len(codes), np.uint64), [], []
+    for n in range(1, min(longest, len(codes)) + 1):
+        h = h[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        if n >= shortest:
+            inside = left[: len(h)] >= n
+            x = (h[inside] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            found.append((x >> np.uint64(33)) % np.uint64(buckets))
+            owner.append(word[: len(h)][inside])
+    long = np.flatnonzero(sizes > longest)
+    found.append(np.fromiter((xxhash.xxh32_intdigest(words[k]) % buckets for k in long), np.uint64, len(long)))
+    owner.append(long)
+    return np.concatenate(found).astype(np.int64), np.concatenate(owner)
+
+
 class WordRows:
     """A row of numbers per word, made in bulk when first asked for; forgets all beyond `REMEMBERED` words."""
 

@@ -15,33 +15,33 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import WordRows, held_out, in_blocks, labelled_sample, scored, trained
+from .labelled import WordRows, held_out, in_blocks, labelled_sample, ngram_buckets, scored, trained
 
 BUCKETS, SIZE, SHORTEST, LONGEST, REPEATED = 1 << 16, 16, 2, 4, 4
 SAMPLE, EPOCHS, RATE = 6000, 6, 0.5
 AGAIN = 0  # the bucket of further occurrences
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of a word and its character n-grams, with their repeats."""
-    w = b"<" + word + b">"
-    parts = [w] + [w[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)]
-    return [1 + xxhash.xxh32_intdigest(p) % (BUCKETS - 1) for p in parts]
+def features_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of the words and their character n-grams."""
+    ids, word = ngram_buckets([w.decode("utf-8", "replace") for w in words], SHORTEST, LONGEST, BUCKETS - 1)
+    return ids + 1, word
 
 
 def document_features(raw: bytes) -> tuple[bytes, bytes]:
     """Distinct buckets of a text and how often each occurs, as int32 bytes."""
-    found: Counter = Counter()
-    for word, n in Counter(raw.split()).items():
-        for f in word_features(word):
-            found[f] += n
-        if n > 1 and len(word) >= REPEATED:
-            found[AGAIN] += n - 1
-    return np.fromiter(found.keys(), np.int32, len(found)).tobytes(), np.fromiter(found.values(), np.int32, len(found)).tobytes()
+    words = Counter(raw.split())
+    n = np.fromiter(words.values(), np.int64, len(words))
+    counts = np.zeros(BUCKETS, np.int64)
+    if words:
+        ids, word = features_of(list(words))
+        np.add.at(counts, ids, n[word])
+    counts[AGAIN] = sum(c - 1 for w, c in words.items() if c > 1 and len(w) >= REPEATED)
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.int32).tobytes(), counts[ids].astype(np.int32).tobytes()
 
 
 def fit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +72,8 @@ def make_scorer(model: tuple[np.ndarray, float]):
     weights, bias = model
 
     def rows(words: list[bytes]) -> np.ndarray:
-        made = [word_features(w) for w in words]
-        sizes = np.array([len(m) for m in made])
-        sums = np.add.reduceat(weights[np.concatenate(made)], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        return np.stack([sums, sizes], axis=1)
+        ids, word = features_of(words)
+        return np.stack([np.bincount(word, weights=weights[ids], minlength=len(words)), np.bincount(word, minlength=len(words))], axis=1)
 
     known = WordRows(2, rows)
 

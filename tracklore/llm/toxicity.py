@@ -10,43 +10,26 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, labelled_sample, scored, trained
+from .labelled import held_out, in_blocks, labelled_sample, ngram_buckets, scored, trained
 
 BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 6
 SAMPLE, ROUNDS, RATE, PENALTY, LEAST_RATIO, LEAST_DOCS = 12000, 150, 0.3, 1e-3, 1.5, 5
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def word_grams(word: str) -> np.ndarray:
-    """Buckets of the n-grams of a word between its ends, and of the whole."""
-    w = f"<{word}>"
-    parts = {w, *(w[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1))}
-    return np.fromiter((xxhash.xxh32_intdigest(p) % BUCKETS for p in parts), np.int32, len(parts))
-
-
-class Grams(dict):
-    """Buckets by word, made when first asked for."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        made = self[word] = word_grams(word)
-        return made
-
-
-def present(raw: bytes, grams: Grams) -> np.ndarray:
-    """Distinct buckets of a text's n-grams."""
-    words = set(LETTERS.findall(raw.decode("utf-8", "replace").lower()))
-    return np.unique(np.concatenate([grams[w] for w in words])) if words else np.zeros(0, np.int32)
+def words_of(raw: bytes) -> set[str]:
+    return set(LETTERS.findall(raw.decode("utf-8", "replace").lower()))
 
 
 def document_features(raw: bytes) -> tuple[bytes, bytes]:
-    return present(raw, Grams()).tobytes(), b""
+    """Distinct buckets of a text's n-grams, as int32 bytes."""
+    words = words_of(raw)
+    ids = np.unique(ngram_buckets(list(words), SHORTEST, LONGEST, BUCKETS)[0]) if words else np.zeros(0)
+    return ids.astype(np.int32).tobytes(), b""
 
 
 def fit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +59,47 @@ def fit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return weights * ratio, np.array([bias])
 
 
+class Weighted:
+    """Per word the buckets of its n-grams that have a weight; most words have none."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+        self.known: set[str] = set()
+        self.hits: dict[str, np.ndarray] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.hits.clear()
+        new = list(words - self.known)
+        if not new:
+            return
+        ids, word = ngram_buckets(new, SHORTEST, LONGEST, BUCKETS)
+        kept = self.weights[ids] != 0
+        ids, word = ids[kept], word[kept]
+        order = np.argsort(word, kind="stable")
+        ids, word = ids[order], word[order]
+        at, starts = np.unique(word, return_index=True)
+        if len(ids):
+            self.hits.update((new[k], part) for k, part in zip(at, np.split(ids, starts[1:]), strict=True))
+        self.known.update(new)
+
+
 def make_scorer(model: tuple[np.ndarray, float]):
     weights, bias = model
-    grams = Grams()
-    return lambda texts: [(float(1 / (1 + np.exp(-min(50.0, max(-50.0, weights[present(raw, grams)].sum() + bias))))),) for raw in texts]
+    weighted = Weighted(weights)
+
+    def score(texts: list[bytes]) -> list[tuple[float]]:
+        out = []
+        for block in in_blocks(texts, words_of):
+            weighted.learn(set().union(*block))
+            for words in block:
+                parts = [weighted.hits[w] for w in words if w in weighted.hits]
+                z = (weights[np.unique(np.concatenate(parts))].sum() if parts else 0.0) + bias
+                out.append((float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))),))
+        return out
+
+    return score
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample: int = SAMPLE, least: float = 0.7) -> DataFrame:
