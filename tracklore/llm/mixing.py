@@ -110,7 +110,8 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame | float], budget: float,
     rows = docs.select(F.col(id_col), *dims, token_count(F.col(text_col)).alias("tokens"), *([F.struct(*keep).alias("kept")] if keep else []))
     cells = staged(rows.groupBy(*columns).agg(F.sum("tokens").alias("tokens")))
     tables = {d: t if isinstance(t, DataFrame) else tempered(cells, d, t) for d, t in targets.items()}
-    weighted = staged(probabilities(raked(cells, tables), budget).withColumnRenamed("tokens", "cell_tokens"))
+    weighted = probabilities(raked(cells, tables), budget).withColumnRenamed("tokens", "cell_tokens")
+    weighted = staged(weighted.withColumns({c: F.round(c, 12) for c in ("weight", "probability")}))  # the last bits depend on the order of sums
     if weighted.count() <= BROADCAST:
         weighted = F.broadcast(weighted)
     joined = rows.where("tokens > 0").join(weighted, list(columns))
