@@ -140,23 +140,32 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Words(dict):
-    """Ids by word: the broadcast table, and what isn't in it merged when first asked for."""
+    """Ids by word, as int32 bytes: the broadcast table, and what isn't in it merged when first asked for."""
 
-    def __init__(self, table: dict[str, tuple], ranks: dict[bytes, int]):
+    def __init__(self, table: dict[str, bytes], ranks: dict[bytes, int]):
         super().__init__(table)
         self.ranks, self.rare = ranks, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.rare.get(word)
         if ids is None:
             if len(self.rare) >= REMEMBERED:
                 self.rare.clear()
-            ids = merge(word.encode(), self.ranks)
+            ids = np.array(merge(word.encode(), self.ranks), np.int32).tobytes()
             if len(word) <= SHORT:
                 self.rare[word] = ids
         return ids
 
 
+def by_word(words: pa.Table) -> dict[str, bytes]:
+    """The ids of each row's word as int32 bytes."""
+    lists = words.column(1).combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):  # as older versions give it
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    ends, flat = (lists.offsets.to_numpy() * 4).tolist(), lists.values.to_numpy().astype(np.int32).tobytes()
+    return {w: flat[a:b] for w, a, b in zip(words.column(0).to_pylist(), ends, ends[1:], strict=False)}
+
+
 LOADED: dict[str, Words] = {}  # of this worker, for the tasks that follow
 
 
@@ -165,7 +174,7 @@ def loaded(name: str, shared) -> Words:
         pieces, words = shared.value
         table = pa.ipc.open_stream(words).read_all()
         LOADED.clear()
-        LOADED[name] = Words({w: tuple(i) for w, i in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)}, {p: i for i, p in enumerate(pieces)})
+        LOADED[name] = Words(by_word(table), {p: i for i, p in enumerate(pieces)})
     return LOADED[name]
 
 
@@ -183,14 +192,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((pieces, sink.getvalue().to_pybytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table = regex.compile(pattern).findall, loaded(name, shared)
+        split, ids_of = regex.compile(pattern).findall, loaded(name, shared).__getitem__
         for batch in batches:
-            flat, ends = [], [0]
-            for raw in batch.column(1).to_pylist():
-                for word in split(raw.decode("utf-8", "replace")):
-                    flat.extend(table[word])
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32), pa.int32()))
+            each = [b"".join(map(ids_of, split(raw.decode("utf-8", "replace")))) for raw in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
