@@ -42,6 +42,44 @@ def test_copies_against_brute_force(spark):
     assert {x.doc_id for x in got} == set(firsts.values()) and len(got) == len(groups)
 
 
+def grouped(texts):
+    """The smallest index of each text's group by brute force over real shingles."""
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if len(x & y) >= 0.8 * len(x | y):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_copies_with_block_edits_equal_brute_force(spark):
+    r = random.Random(9)
+    words = [f"wort{i}" for i in range(900)]
+    draw = lambda k: [r.choice(words) for _ in range(k)]
+    line = draw(40)
+    made = [[], ["a"], draw(3), draw(5)]
+    for _ in range(60):
+        t = draw(r.randint(30, 300))
+        n = len(t)
+        made += [t, t[: n - n // 10] + draw(n // 10), t + draw(n // 5), t[n // 8 :], draw(n // 9) + t]
+        made.append(sum((t[i : i + 10][::-1] for i in range(0, n, 10)), []))  # the same words in another order
+    made += [line + draw(k % 12) for k in range(80)]  # a line that many texts hold and little else
+    texts = [" ".join(t) for t in made] + [" ", "\n"]
+    r.shuffle(texts)
+    got = {x.doc_id: x.first_id for x in simhash.copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = grouped(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) < 0.7 * len(texts)
+
+
 def test_copies_edges(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c"), (None, "lone words here"), (3, None), (4, ""), (5, "x y")]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -18,6 +18,8 @@ by the number of fingerprints whatever the bucket's size.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -135,9 +137,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity: SimHash over words finds candidates, shingles decide.
+# Near copies by shingle similarity: SimHash over words links most, a join of shingle prefixes the rest.
 
 PRINTS, WIDTH, LEAST = 6, 5, 0.8
+SAMPLED, HOT, PARITY = 16, 65_536, 1024
 MIXERS = np.array([xxhash.xxh64_intdigest(b"print %d" % j) for j in range(PRINTS)], np.uint64)
 
 
@@ -155,9 +158,90 @@ def word_prints(raw: bytes) -> tuple[list[int]]:
     return (out,)
 
 
+def shingle_hashes(raw: bytes) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles of `WIDTH` words, ascending."""
+    parts = set(shingles(raw, WIDTH))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)).view(np.int64))
+
+
 def shingle_set(raw: bytes) -> tuple[list[int]]:
-    """Distinct 32-bit hashes of a text's shingles of `WIDTH` words."""
-    return (list({xxhash.xxh32_intdigest(x) - (1 << 31) for x in shingles(raw, WIDTH)}),)
+    return (shingle_hashes(raw).tolist(),)
+
+
+def profiler(hot: list[int], least: float):
+    """Per text: its fingerprints, the number, parities and prefix (in the common order) of its shingles.
+
+    The order is: shingles outside `hot` by hash, then those of `hot` as listed. Texts that
+    are `least` alike share a shingle of their prefixes in any order; a text without words
+    has the prefix [0].
+    """
+    values = np.array(hot, np.int64)
+    by = np.argsort(values)
+    ascending = values[by]
+
+    def each(raw: bytes) -> tuple[list[int], int, list[int], list[int]]:
+        h = shingle_hashes(raw)
+        rank = np.zeros(len(h), np.int64)
+        if len(ascending):
+            at = np.minimum(np.searchsorted(ascending, h), len(ascending) - 1)
+            rank = np.where(ascending[at] == h, by[at] + 1, 0)
+        size = len(h) - math.ceil(least * len(h) - 1e-9) + 1
+        parity = np.packbits((np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).astype(bool)).view(np.int64)
+        return word_prints(raw)[0], len(h), parity.tolist(), h[np.lexsort((h, rank))[:size]].tolist() or [0]
+
+    return each
+
+
+def frequent(keyed: DataFrame) -> list[int]:
+    """At most `HOT` shingles that many texts have, the rarest first, by a sample of texts.
+
+    They only set the order of prefixes: what is missing here costs time, not pairs.
+    """
+    sample = per_row(keyed.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLED)) == 0), lambda: shingle_set, ["key"], "text", "key binary, parts array<bigint>")
+    counts = sample.groupBy("key").agg(F.first("parts").alias("parts")).select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    return [r.part for r in counts.where("n > 2").orderBy(F.desc("n"), "part").limit(HOT).collect()][::-1]
+
+
+def alike(keyed: DataFrame, profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of `pairs(a, b)` (keys) whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    Two sets differ in as many shingles at least as their parities in cells; pairs beyond
+    what `least` allows are dropped before their sets are built.
+    """
+    brief = lambda k: profiles.select(F.col("key").alias(k), F.struct("n", "parity").alias(k + "_"))
+    differ = F.aggregate(F.zip_with("a_.parity", "b_.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    allowed = (1 - least) / (1 + least) * (F.col("a_.n") + F.col("b_.n")) + 1e-6
+    pairs = staged(pairs.join(brief("a"), "a").join(brief("b"), "b").where(differ <= allowed).select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    one = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = staged(per_row(one, lambda: shingle_set, ["key"], "text", "key binary, parts array<bigint>"))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return staged(both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def released(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def undecided(profiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, x): an entry per token of a prefix, of the tokens that stand in several groups."""
+    rooted = profiles.select("key", "n", "prefix").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("group", F.xxhash64("root")).drop("root")
+    tokens = rooted.select(F.explode("prefix").alias("token"), "group")
+    several = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
+    entries = rooted.select("key", "n", "group", F.posexplode("prefix").alias("at", "token"))
+    return staged(entries.join(several, "token").select("token", F.struct("key", "n", "at", "group").alias("x")))
+
+
+def could_be(least: float):
+    """Whether the first shared token of the prefixes of x and y leaves room for the similarity `least`."""
+    left, right, both = F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), F.col("x.n") + F.col("y.n")
+    return (F.least(left, right) >= least / (1 + least) * both - 1e-6) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6)
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -165,32 +249,34 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     key is the MD5 of the text. Rows with equal texts are one text; two texts are linked
     where their sets of five-word shingles have a Jaccard similarity of `least` or more,
-    and linked texts are a group. Candidates have a fingerprint of distinct words within
-    two bits in one of `PRINTS` independent spaces; texts that share a fingerprint are
-    compared with one of them, a different one in each space, so a large group costs a
-    few comparisons per text. Finding is probable, not certain: at similarity 0.9 almost
-    sure, at 0.8 about seven in ten per pair, more in a group. The first member has the
-    smallest id (nulls last), then key. Null text counts as empty; empty tables give empty results.
+    and linked texts are a group. Groups are exact. First fingerprints of distinct words
+    within two bits in one of `PRINTS` independent spaces, each text compared with one
+    other a space, link most copies cheaply. Then every two texts that share a shingle of
+    their prefixes are compared, unless they are in one group by then. The first member has
+    the smallest id (nulls last), then key. Null text counts as empty; empty tables give
+    empty results.
     """
     key = F.unhex(F.md5(raw_text(text_col))).alias("key")
     rows = staged(docs.select(F.col(id_col).alias("id"), key).distinct())
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(key, F.col(text_col).alias("text"))
-    prints = staged(per_row(keyed, lambda: word_prints, ["key"], "text", "key binary, fps array<bigint>").groupBy("key").agg(F.first("fps").alias("fps")))
-    spaces = prints.select("key", F.posexplode("fps").alias("space", "fp"))
+    hot = frequent(keyed)
+    profiles = per_row(keyed, lambda: profiler(hot, least), ["key"], "text", "key binary, fps array<bigint>, n int, parity array<bigint>, prefix array<bigint>")
+    profiles = staged(profiles.groupBy("key").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
+    spaces = profiles.select("key", F.posexplode("fps").alias("space", "fp"))
     reps = staged(spaces.groupBy("space", "fp").agg(F.min_by("key", F.xxhash64("key", "space")).alias("rep"), F.count("*").alias("n")))
     stars = spaces.join(reps.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
     across = links(reps.select("space", "fp"), 2, ("space",))
     across = across.join(reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("left_")), ["space", "a"]).join(reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("right_")), ["space", "b"])
-    pairs = stars.union(across.select("left_", "right_")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = staged(pairs)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    one = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = staged(per_row(one, lambda: shingle_set, ["key"], "text", "key binary, parts array<int>"))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    roots = connected_components(alike)
+    linked = alike(keyed, profiles, ordered(stars.union(across.select("left_", "right_"))), least)
+
+    released(docs)
+    entries = undecided(profiles, connected_components(linked))
+    near = entries.join(entries.withColumnRenamed("x", "y"), "token").where((F.col("x.key") < F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & could_be(least))
+    linked = linked.union(alike(keyed, profiles, ordered(near.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))), least))
+
+    released(docs)
+    roots = connected_components(linked)
     rooted = rows.join(roots, rows.key == roots.node, "left").select("id", "key", F.coalesce("root", "key").alias("root"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = rooted.groupBy("root").agg(F.min(order).alias("first"))
