@@ -5,7 +5,6 @@ import json
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,18 +17,28 @@ from tracklore.streaming import ingest
 def test_assignment_is_optimal(seed):
     r = np.random.default_rng(seed)
     n = int(r.integers(1, 6))
-    cost = r.random((n, int(r.integers(n, 7))))
+    cost = r.integers(0, 10**12, (n, int(r.integers(n, 7))))
     pairs = match.least_cost(cost)
     best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(cost.shape[1]), n))
     assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == n
-    assert sum(cost[i, j] for i, j in pairs) == pytest.approx(best)
+    assert sum(cost[i, j] for i, j in pairs) == best
 
 
 def test_more_matches_come_before_lower_cost():
-    rows = [("r1", "h1", 0, 0, 0.0), ("r1", "h2", 0, 1, 1.3), ("r2", "h1", 1, 0, 1.3)]
-    block = pd.DataFrame(rows, columns=["ref_event_id", "hyp_event_id", "ref_ord", "hyp_ord", "cost"])
-    got = match.assign_block(block)
-    assert set(zip(got.ref_event_id, got.hyp_event_id, strict=True)) == {("r1", "h2"), ("r2", "h1")}
+    pairs = [("r1", "h1"), ("r1", "h2"), ("r2", "h1"), ("r9", "h9")]
+    assert match.assigned(pairs, [0, 13, 13, 99]) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_block_equals_all_matchings(seed):
+    r = random.Random(seed)
+    pairs = sorted({(f"r{r.randrange(5)}", f"h{r.randrange(5)}") for _ in range(r.randint(1, 14))})
+    cost = [r.randrange(1000) for _ in pairs]
+    free = lambda some: len({pairs[k][0] for k in some}) == len({pairs[k][1] for k in some}) == len(some)
+    every = [some for n in range(6) for some in itertools.combinations(range(len(pairs)), n) if free(some)]
+    best = min(every, key=lambda some: (-len(some), sum(cost[k] for k in some)))
+    got = match.assigned(pairs, cost)
+    assert free(got) and (len(got), sum(cost[k] for k in got)) == (len(best), sum(cost[k] for k in best))
 
 
 def test_merged_spans_equal_brute_force(spark):

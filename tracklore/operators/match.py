@@ -3,16 +3,16 @@
 Only events of one clip and type can match, and only from a temporal IoU on; so the
 problem falls apart into small blocks. Pairs whose two events have no other candidate are
 final at once; the rest is solved per (clip, type) by an optimal assignment: first the
-most matches, then the least cost, ties to the earlier events.
+most matches, then the least cost, ties by a hash of the ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
@@ -37,31 +37,34 @@ def candidates(refs: DataFrame, hyps: DataFrame, least: float = LEAST_IOU, text_
 
 
 def isolated(pairs: DataFrame) -> DataFrame:
-    """`pairs` with `alone`: whether neither event has another candidate."""
-    r = pairs.groupBy("sample_id", "type", "ref_event_id").agg(F.count("*").alias("n_ref"))
-    h = pairs.groupBy("sample_id", "type", "hyp_event_id").agg(F.count("*").alias("n_hyp"))
-    counted = pairs.join(r, ["sample_id", "type", "ref_event_id"]).join(h, ["sample_id", "type", "hyp_event_id"])
-    return counted.withColumn("alone", (F.col("n_ref") == 1) & (F.col("n_hyp") == 1)).drop("n_ref", "n_hyp")
+    """`pairs` with `alone`: whether neither event has another candidate.
+
+    Both counts are over parts of (clip, type), by which the candidates are joined, so
+    they need no shuffle of their own.
+    """
+    others = lambda side: F.count("*").over(Window.partitionBy("sample_id", "type", f"{side}_event_id"))
+    return pairs.withColumn("alone", (others("ref") == 1) & (others("hyp") == 1))
 
 
 def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost that use every row; rows <= columns.
+    """Pairs (row, column) of least total cost, of whole numbers, that use every row; rows <= columns.
 
     Shortest augmenting paths with potentials.
     """
     n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    never = np.iinfo(np.int64).max // 4
+    u, v = np.zeros(n + 1, np.int64), np.zeros(m + 1, np.int64)
     owner = np.zeros(m + 1, np.int64)  # the row, from 1, that has a column
     for row in range(1, n + 1):
         owner[0], at = row, 0
-        reach, came = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+        reach, came = np.full(m + 1, never), np.zeros(m + 1, np.int64)
         done = np.zeros(m + 1, bool)
         while owner[at]:
             done[at] = True
             gap = cost[owner[at] - 1] - u[owner[at]] - v[1:]
             better = ~done[1:] & (gap < reach[1:])
             reach[1:][better], came[1:][better] = gap[better], at
-            free = np.where(done[1:], np.inf, reach[1:])
+            free = np.where(done[1:], never, reach[1:])
             to = int(np.argmin(free)) + 1
             step = free[to - 1]
             u[owner[done]] += step
@@ -73,29 +76,92 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
-def assign_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one block that match: the most there can be, at the least cost."""
-    pdf = pdf.sort_values(["ref_ord", "hyp_ord"], kind="stable")
-    r, h = (pd.factorize(pdf[c])[0] for c in ("ref_event_id", "hyp_event_id"))
-    flip = r.max() > h.max()
-    rows, columns = (h, r) if flip else (r, h)
-    far = 10.0 * (len(pdf) + 1)  # more than any set of pairs costs, so matches count first
-    cost = np.full((rows.max() + 1, columns.max() + 1), far)
-    cost[rows, columns] = pdf["cost"].to_numpy()
-    at = {(a, b): k for k, (a, b) in enumerate(zip(rows, columns, strict=True))}
-    return pdf.iloc[[at[p] for p in least_cost(cost) if p in at]]
+def linked_parts(pairs: list[tuple]) -> list[list[int]]:
+    """Positions of `pairs(ref, hyp)` by the connected part they belong to; the assignment of a part is its own."""
+    top: dict = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for r, h in pairs:
+        top[find((0, r))] = find((1, h))
+    parts: dict = {}
+    for k, (r, _) in enumerate(pairs):
+        parts.setdefault(find((0, r)), []).append(k)
+    return list(parts.values())
+
+
+def assigned(pairs: list[tuple], cost: list[int]) -> list[int]:
+    """Positions of the `pairs(ref, hyp)` of one block that match: the most there can be, at the least total cost."""
+    out = []
+    for part in linked_parts(pairs):
+        if len(part) == 1:
+            out += part
+            continue
+        refs, hyps = ({x: i for i, x in enumerate(dict.fromkeys(pairs[k][side] for k in part))} for side in (0, 1))
+        far = 1 + sum(cost[k] for k in part)  # more than any set of pairs costs, so matches count first
+        table = np.full((len(refs), len(hyps)), far, np.int64)
+        at = {(refs[pairs[k][0]], hyps[pairs[k][1]]): k for k in part}
+        for (i, j), k in at.items():
+            table[i, j] = cost[k]
+        chosen = least_cost(table) if len(refs) <= len(hyps) else [(i, j) for j, i in least_cost(table.T)]
+        out += [at[p] for p in chosen if p in at]
+    return sorted(out)
+
+
+def units(cost: Column, *ids: Column | str) -> Column:
+    """A cost as a whole number: millionths, then 20 bits by the ids' hash, so that equal totals have one winner."""
+    tie = F.conv(F.substring(F.md5(F.concat_ws("/", *ids)), 1, 5), 16, 10).cast("long")
+    return F.round(cost * 1_000_000).cast("long") * (1 << 20) + tie
+
+
+def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that match, from rows in order of (sample_id, type) that end in `alone` and the cost in units.
+
+    Rows that are alone match. A batch's last block may go on in the next, so its rows wait.
+    """
+    held: pa.Table | None = None
+
+    def matching(rows: pa.Table) -> pa.Table:
+        alone = rows.column("alone").to_pylist()
+        keep = [k for k, x in enumerate(alone) if x]
+        blocks: dict = {}
+        hard = [k for k, x in enumerate(alone) if not x]
+        some = rows.take(pa.array(hard, pa.int64()))
+        for k, sample, kind, ref, hyp, cost in zip(hard, *(some.column(c).to_pylist() for c in ("sample_id", "type", "ref_event_id", "hyp_event_id", "units")), strict=True):
+            blocks.setdefault((sample, kind), []).append((k, (ref, hyp), cost))
+        for block in blocks.values():
+            keep += [block[i][0] for i in assigned([x[1] for x in block], [x[2] for x in block])]
+        return rows.take(pa.array(sorted(keep), pa.int64()))
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        ends = [rows.column(c)[rows.num_rows - 1].as_py() for c in ("sample_id", "type")]
+        start = rows.num_rows  # of the last block
+        samples, kinds = (rows.column(c) for c in ("sample_id", "type"))
+        while start and samples[start - 1].as_py() == ends[0] and kinds[start - 1].as_py() == ends[1]:
+            start -= 1
+        held = rows.slice(start)
+        yield from matching(rows.slice(0, start)).to_batches()
+    if held is not None:
+        yield from matching(held).to_batches()
 
 
 def matches(pairs: DataFrame) -> DataFrame:
-    """The matching pairs of `candidates`: isolated ones natively, the others by assignment per block."""
+    """The matching pairs of `candidates`: per clip and type the most there can be, at the least total cost.
+
+    Costs count in millionths; equal totals go by a hash of the event ids. Isolated pairs
+    are known by window counts; the others are solved per connected part of a block, one
+    block after the other in tasks sorted by (clip, type). A part has to fit in memory.
+    """
     keep = ["sample_id", "type", "ref_event_id", "hyp_event_id", "ref_ord", "hyp_ord", "tiou", "text_sim", "track_match", "cost", "ref_spans", "hyp_spans"]
-    marked = isolated(pairs).select(*keep, "alone")
-    slim = ["sample_id", "type", "ref_event_id", "hyp_event_id", "ref_ord", "hyp_ord", "cost"]
-    hard = marked.where("not alone").select(*slim)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hard.schema)
-    solved = hard.groupBy("sample_id", "type").applyInPandas(assign_block, schema)
-    chosen = marked.where("not alone").join(solved.select("sample_id", "type", "ref_event_id", "hyp_event_id"), ["sample_id", "type", "ref_event_id", "hyp_event_id"], "left_semi")
-    return marked.where("alone").drop("alone").unionByName(chosen.drop("alone"))
+    marked = isolated(pairs).select(*keep, "alone", units(F.col("cost"), "sample_id", "type", "ref_event_id", "hyp_event_id").alias("units"))
+    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve, marked.schema).drop("alone", "units")
 
 
 def event_matches(refs: DataFrame, hyps: DataFrame, matched: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,35 +73,53 @@ def macro_per_type(by_type: DataFrame) -> DataFrame:
     return by_type.groupBy("type").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-def sample_metrics(clips: DataFrame, refs: DataFrame, hyps: DataFrame, predicted: DataFrame, ref_tracks: DataFrame, hyp_tracks: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+def sample_metrics(clips: DataFrame, refs: DataFrame, hyps: DataFrame, predicted: DataFrame, matched: DataFrame | None = None, ref_tracks: DataFrame | None = None, hyp_tracks: DataFrame | None = None) -> DataFrame:
     """One row per clip of `clips(sample_id)`: counts, F1s, boundary errors, hallucinations, omissions.
 
     `predicted(sample_id)` lists the clips that have a prediction, an empty one included;
     the others get zeros and `has_prediction` false. Predictions for other clips are
-    ignored. `ref_tracks` and `hyp_tracks` have (sample_id, n_tracks). Without a matched
-    pair errors are 0 and tolerances and pointer accuracy 1.
+    ignored. `ref_tracks` and `hyp_tracks` have (sample_id, n_tracks); without them the
+    distinct tracks of the events count. Without a matched pair errors are 0 and
+    tolerances and pointer accuracy 1.
+
+    Events meet once by (clip, type); what they give meets the matched pairs and the clips
+    in one aggregation by clip.
     """
-    hyps = hyps.join(clips, "sample_id", "left_semi")
     matched = match.matches(match.candidates(refs, hyps)) if matched is None else matched
-    count = lambda df, name: df.groupBy("sample_id").agg(F.count("*").alias(name))
-    rows = clips.select("sample_id").join(predicted.select("sample_id", F.lit(True).alias("has_prediction")), "sample_id", "left")
-    for df in (
-        count(refs, "n_ref"), count(hyps, "n_hyp"), boundary_errors(matched), segment_f1(type_measures(refs, hyps)).select("sample_id", "seg_f1_100ms"),
-        ref_tracks.withColumnRenamed("n_tracks", "n_ref_tracks"), hyp_tracks.withColumnRenamed("n_tracks", "n_hyp_tracks"),
-    ):
-        rows = rows.join(df, "sample_id", "left")
-    has = F.coalesce("has_prediction", F.lit(False))
-    n = {c: F.coalesce(c, F.lit(0)) for c in ("n_ref", "n_hyp", "n_matched", "n_ref_tracks", "n_hyp_tracks")}
-    p, r = ratio(n["n_matched"], n["n_hyp"]), ratio(n["n_matched"], n["n_ref"])
-    scored = lambda c, empty: F.when(has, F.coalesce(c, F.lit(empty))).otherwise(0.0)
-    return rows.select(
-        "sample_id", has.alias("has_prediction"), n["n_ref"].alias("n_ref"), n["n_hyp"].alias("n_hyp"), n["n_matched"].alias("n_matched"),
-        F.when(has, F.round(p, 6)).otherwise(0.0).alias("event_precision"), F.when(has, F.round(r, 6)).otherwise(0.0).alias("event_recall"), F.when(has, F.round(f1(p, r), 6)).otherwise(0.0).alias("event_f1"),
-        scored("seg_f1_100ms", 1.0).alias("seg_f1_100ms"),
-        *(scored(c, 0.0).alias(c) for c in ("onset_mae", "offset_mae", "onset_p90", "offset_p90")),
-        *(scored(f"tolerance_acc_{t}", 1.0).alias(f"tolerance_acc_{t}") for t in TOLERANCES),
-        (n["n_hyp"] - n["n_matched"]).alias("hallucination"), (n["n_ref"] - n["n_matched"]).alias("omission"),
-        F.abs(n["n_ref_tracks"] - n["n_hyp_tracks"]).cast("double").alias("source_count_mae"), scored("pointer_accuracy", 1.0).alias("pointer_accuracy"),
+    side = lambda df, which: df.select("sample_id", "type", F.lit(which).alias("side"), "spans", "track_id")
+    of = lambda which, c: F.when(F.col("side") == which, F.col(c))
+    by_type = side(refs, "ref").unionByName(side(hyps, "hyp")).groupBy("sample_id", "type").agg(
+        *(F.collect_list(of(x, "spans")).alias(f"{x}_spans") for x in ("ref", "hyp")), *(F.collect_set(of(x, "track_id")).alias(f"{x}_tracks") for x in ("ref", "hyp")),
+        *(F.count_if(F.col("side") == x).alias(f"n_{x}") for x in ("ref", "hyp")),
+    )
+    united = {f"{x}_spans": iv.merged(F.flatten(f"{x}_spans")) for x in ("ref", "hyp")}
+    by_type = by_type.withColumns(united).withColumn("tp", iv.common(F.col("ref_spans"), F.col("hyp_spans")))
+    by_type = by_type.withColumns({"fp": iv.length(F.col("hyp_spans")) - F.col("tp"), "fn": iv.length(F.col("ref_spans")) - F.col("tp")}).drop(*united)
+    gap = lambda end: F.abs(end(F.col("ref_spans")) - end(F.col("hyp_spans")))
+    pairs = matched.select("sample_id", gap(iv.onset).alias("on"), gap(iv.offset).alias("off"), "track_match")
+    flag = lambda df, name: df.select("sample_id", F.lit(True).alias(name))
+    rows = [by_type, pairs, flag(clips, "is_clip"), flag(predicted, "has_prediction")]
+    counted = {"ref": ref_tracks, "hyp": hyp_tracks}
+    rows += [df.select("sample_id", F.col("n_tracks").alias(f"n_{x}_tracks")) for x, df in counted.items() if df is not None]
+    tracks = {x: F.size(F.array_distinct(F.flatten(F.collect_list(f"{x}_tracks")))) if df is None else F.coalesce(F.max(f"n_{x}_tracks"), F.lit(0)) for x, df in counted.items()}
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    within = lambda k: F.avg(F.when(F.col("on").isNotNull(), ((F.col("on") <= k) & (F.col("off") <= k)).cast("double")))
+    clip = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy("sample_id").agg(
+        F.coalesce(F.bool_or("is_clip"), F.lit(False)).alias("is_clip"), F.coalesce(F.bool_or("has_prediction"), F.lit(False)).alias("has"), F.count("on").alias("n_matched"),
+        *(count(c).alias(c) for c in ("n_ref", "n_hyp", "tp", "fp", "fn")), *(n.alias(f"n_{x}_tracks") for x, n in tracks.items()),
+        F.avg("on").alias("onset_mae"), F.avg("off").alias("offset_mae"), F.percentile("on", F.lit(0.9)).alias("onset_p90"), F.percentile("off", F.lit(0.9)).alias("offset_p90"),
+        *(within(k).alias(f"tolerance_acc_{t}") for t, k in TOLERANCES.items()), F.avg(F.col("track_match").cast("double")).alias("pointer_accuracy"),
+    ).where("is_clip")
+    n = F.col
+    p, r = ratio(n("n_matched"), n("n_hyp")), ratio(n("n_matched"), n("n_ref"))
+    sp, sr = ratio(n("tp"), n("tp") + n("fp")), ratio(n("tp"), n("tp") + n("fn"))
+    given = lambda c: F.when(n("has"), F.round(c, 6)).otherwise(0.0)
+    scored = lambda c, empty: given(F.coalesce(c, F.lit(empty)))
+    return clip.select(
+        "sample_id", n("has").alias("has_prediction"), "n_ref", "n_hyp", "n_matched", given(p).alias("event_precision"), given(r).alias("event_recall"), given(f1(p, r)).alias("event_f1"), given(f1(sp, sr)).alias("seg_f1_100ms"),
+        *(scored(n(c) / 10, 0.0).alias(c) for c in ("onset_mae", "offset_mae", "onset_p90", "offset_p90")), *(scored(n(f"tolerance_acc_{t}"), 1.0).alias(f"tolerance_acc_{t}") for t in TOLERANCES),
+        (n("n_hyp") - n("n_matched")).alias("hallucination"), (n("n_ref") - n("n_matched")).alias("omission"),
+        F.abs(n("n_ref_tracks") - n("n_hyp_tracks")).cast("double").alias("source_count_mae"), scored(n("pointer_accuracy"), 1.0).alias("pointer_accuracy"),
     )
 
 

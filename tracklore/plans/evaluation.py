@@ -49,16 +49,16 @@ def event_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou", "text_sim", "track_match", F.round("cost", 6).alias("cost"))
 
 
-def sure(spark: SparkSession, d: str) -> DataFrame:
-    return match.isolated(match.candidates(*both(spark, d))).where("alone")
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    return match.matches(match.candidates(*both(spark, d)))
 
 
 def assign_degree1(spark: SparkSession, d: str) -> DataFrame:
-    return sure(spark, d).select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou")
+    return match.isolated(match.candidates(*both(spark, d))).where("alone").select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou")
 
 
 def assign_full(spark: SparkSession, d: str) -> DataFrame:
-    return match.matches(match.candidates(*both(spark, d))).select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou", F.round("cost", 6).alias("cost"))
+    return matched(spark, d).select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou", F.round("cost", 6).alias("cost"))
 
 
 def seg_f1_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -71,25 +71,25 @@ def seg_f1_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boundary_errors(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.boundary_errors(sure(spark, d)).select("sample_id", "n_matched", "onset_mae", "offset_mae", "onset_p90", "offset_p90")
+    return metrics.boundary_errors(matched(spark, d)).select("sample_id", "n_matched", "onset_mae", "offset_mae", "onset_p90", "offset_p90")
 
 
 def tolerance_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.boundary_errors(sure(spark, d)).select("sample_id", *(f"tolerance_acc_{t}" for t in metrics.TOLERANCES), "pointer_accuracy")
+    return metrics.boundary_errors(matched(spark, d)).select("sample_id", *(f"tolerance_acc_{t}" for t in metrics.TOLERANCES), "pointer_accuracy")
 
 
 def per_type_prf(spark: SparkSession, d: str) -> DataFrame:
     refs, hyps = both(spark, d)
-    return metrics.per_type(refs, hyps, sure(spark, d))
+    return metrics.per_type(refs, hyps, matched(spark, d))
 
 
 def macro_per_type(spark: SparkSession, d: str) -> DataFrame:
     return metrics.macro_per_type(per_type_prf(spark, d))
 
 
-def samples(spark: SparkSession, d: str, full: bool = False) -> DataFrame:
+def samples(spark: SparkSession, d: str) -> DataFrame:
     refs, hyps = both(spark, d)
-    return metrics.sample_metrics(b.clips(refs), refs, hyps, b.clips(hyps), b.track_counts(refs), b.track_counts(hyps), None if full else sure(spark, d))
+    return metrics.sample_metrics(refs, refs, hyps, hyps)
 
 
 def sample_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,9 @@ def sample_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_metrics_full(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d, full=True)
+    """The same with tracks counted beforehand, as ledgers with tracks that no event names give them."""
+    refs, hyps = both(spark, d)
+    return metrics.sample_metrics(b.clips(refs), refs, hyps, b.clips(hyps), ref_tracks=b.track_counts(refs), hyp_tracks=b.track_counts(hyps))
 
 
 def corpus_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +116,10 @@ def strata_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def strata_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     rows = metrics.with_buckets(samples(spark, d), b.conditions(b.references(spark, d)))
-    rows.createOrReplaceTempView("bucketed_clips")
     return spark.sql(
-        "SELECT axis_template, axis_source_count, count(*) AS n, round(avg(event_f1), 6) AS event_f1 FROM bucketed_clips "
-        "GROUP BY GROUPING SETS ((axis_template), (axis_source_count), (axis_template, axis_source_count), ())"
+        "SELECT axis_template, axis_source_count, count(*) AS n, round(avg(event_f1), 6) AS event_f1 FROM {clips} "
+        "GROUP BY GROUPING SETS ((axis_template), (axis_source_count), (axis_template, axis_source_count), ())",
+        clips=rows,
     )
 
 
@@ -166,13 +168,13 @@ QUERIES = {
     )
 }
 
-PRF = f"""WITH {sql.PAIRS}, keyed AS (SELECT DISTINCT sample_id, type FROM (SELECT sample_id, type FROM refs UNION ALL SELECT sample_id, type FROM hyps)),
-tps AS (SELECT k.sample_id, k.type, (SELECT count(*) FROM alone a WHERE a.sample_id = k.sample_id AND a.type = k.type) AS tp,
+PRF = f"""WITH RECURSIVE {sql.MATCHED}, keyed AS (SELECT DISTINCT sample_id, type FROM (SELECT sample_id, type FROM refs UNION ALL SELECT sample_id, type FROM hyps)),
+tps AS (SELECT k.sample_id, k.type, (SELECT count(*) FROM matched a WHERE a.sample_id = k.sample_id AND a.type = k.type) AS tp,
   (SELECT count(*) FROM refs a WHERE a.sample_id = k.sample_id AND a.type = k.type) AS nr, (SELECT count(*) FROM hyps a WHERE a.sample_id = k.sample_id AND a.type = k.type) AS nh FROM keyed k),
 pr AS (SELECT *, CASE WHEN nh = 0 THEN 1.0::DOUBLE ELSE tp / CAST(nh AS DOUBLE) END AS p, CASE WHEN nr = 0 THEN 1.0::DOUBLE ELSE tp / CAST(nr AS DOUBLE) END AS r FROM tps),
 prf AS (SELECT sample_id, type, tp, nh - tp AS fp, nr - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM pr)"""
 
-BUCKETED = f"""WITH {sql.SAMPLES},
+BUCKETED = f"""WITH RECURSIVE {sql.SAMPLES},
 cn AS (SELECT sample_id, count(*) AS n, count(DISTINCT track_id) AS source_count, min(type) AS template FROM refs GROUP BY ALL),
 cond AS (SELECT sample_id, CASE WHEN n % 5 = 0 THEN NULL ELSE (n % 4) * 0.25::DOUBLE + 0.2::DOUBLE END AS t60_sec, (n % 6) * 0.1::DOUBLE AS overlap_ratio, 10.0::DOUBLE + (n % 5) * 4.0::DOUBLE AS duration, source_count, template,
   CASE WHEN n % 3 = 0 THEN (n % 2) * 40 END AS echo FROM cn),
@@ -208,17 +210,19 @@ ORACLES = {
     "event_iou_pairs": f"WITH {sql.PAIRS} SELECT sample_id, type, ref_event_id, hyp_event_id, tiou, CASE WHEN lower(rt) = lower(ht) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS text_sim, track_match, "
     "round((1 - tiou) + 0.3::DOUBLE * (CASE WHEN lower(rt) = lower(ht) THEN 0 ELSE 1 END) + CASE WHEN track_match THEN 0 ELSE 0.1::DOUBLE END, 6) AS cost FROM pairs",
     "assign_degree1": f"WITH {sql.PAIRS} SELECT sample_id, type, ref_event_id, hyp_event_id, tiou FROM alone",
+    "assign_full": f"WITH RECURSIVE {sql.MATCHED} SELECT sample_id, type, ref_event_id, hyp_event_id, tiou, round(cost, 6) AS cost FROM matched",
     "seg_f1_sample": f"WITH {sql.FRAMES} SELECT * FROM segf",
     "seg_f1_corpus": f"WITH {sql.FRAMES} SELECT count(*) AS n, round(avg(seg_f1_100ms), 6) AS macro_seg_f1_100ms FROM segf",
-    "boundary_errors": f"WITH {sql.PAIRS},{sql.ERRORS} SELECT sample_id, n_matched, onset_mae, offset_mae, onset_p90, offset_p90 FROM berr",
-    "tolerance_accuracy": f"WITH {sql.PAIRS},{sql.ERRORS} SELECT sample_id, tolerance_acc_010, tolerance_acc_025, tolerance_acc_050, tolerance_acc_100, pointer_accuracy FROM berr",
+    "boundary_errors": f"WITH RECURSIVE {sql.MATCHED},{sql.ERRORS} SELECT sample_id, n_matched, onset_mae, offset_mae, onset_p90, offset_p90 FROM berr",
+    "tolerance_accuracy": f"WITH RECURSIVE {sql.MATCHED},{sql.ERRORS} SELECT sample_id, tolerance_acc_010, tolerance_acc_025, tolerance_acc_050, tolerance_acc_100, pointer_accuracy FROM berr",
     "per_type_prf": f"{PRF} SELECT * FROM prf",
     "macro_per_type": f"{PRF} SELECT type, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM prf GROUP BY ALL",
-    "sample_metrics": f"WITH {sql.SAMPLES} SELECT * FROM samples",
-    "corpus_metrics": f"WITH {sql.SAMPLES} SELECT count(*) AS n_samples, round(avg(has_prediction::INT), 6) AS strict_format_success_rate, "
+    "sample_metrics": f"WITH RECURSIVE {sql.SAMPLES} SELECT * FROM samples",
+    "sample_metrics_full": f"WITH RECURSIVE {sql.SAMPLES} SELECT * FROM samples",
+    "corpus_metrics": f"WITH RECURSIVE {sql.SAMPLES} SELECT count(*) AS n_samples, round(avg(has_prediction::INT), 6) AS strict_format_success_rate, "
     + ", ".join(f"round(avg({c}), 6) AS mean_{c}" for c in metrics.MEANS)
     + ", sum(hallucination)::BIGINT AS total_hallucination, sum(omission)::BIGINT AS total_omission FROM samples",
-    "missing_prediction": f"WITH {sql.SAMPLES} SELECT sample_id, n_ref, event_f1, tolerance_acc_100, omission FROM samples WHERE NOT has_prediction",
+    "missing_prediction": f"WITH RECURSIVE {sql.SAMPLES} SELECT sample_id, n_ref, event_f1, tolerance_acc_100, omission FROM samples WHERE NOT has_prediction",
     "strata_metrics": BUCKETED + " " + " UNION ALL ".join(f"SELECT '{a}' AS axis, axis_{a} AS bucket, count(*) AS n, {MEANS}, sum(hallucination)::BIGINT AS hallucination, sum(omission)::BIGINT AS omission FROM bucketed GROUP BY ALL" for a in metrics.AXES),
     "strata_grouping_sets": BUCKETED + " SELECT axis_template, axis_source_count, count(*) AS n, round(avg(event_f1), 6) AS event_f1 FROM bucketed GROUP BY GROUPING SETS ((axis_template), (axis_source_count), (axis_template, axis_source_count), ())",
     "fk_anti": f"{BROKEN} SELECT * FROM dangling",

@@ -26,6 +26,21 @@ pairs AS (SELECT *, round(CAST(i AS DOUBLE) / ((re - rs) + (he - hs) - i), 6) AS
 alone AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sample_id, type, ref_event_id) AS nr, count(*) OVER (PARTITION BY sample_id, type, hyp_event_id) AS nh FROM pairs) WHERE nr = 1 AND nh = 1)"""
 
 
+# All matchings of each block of contested pairs, reference by reference; the one with the most pairs, then the least cost in
+# millionths, then the least sum of the ids' hashes wins.
+MATCHED = PAIRS + """,
+costed AS (SELECT *, (1 - tiou) + 0.3::DOUBLE * (CASE WHEN lower(rt) = lower(ht) THEN 0 ELSE 1 END) + CASE WHEN track_match THEN 0 ELSE 0.1::DOUBLE END AS cost FROM pairs),
+hard AS (SELECT *, CAST(round(cost * 1000000) AS BIGINT) * 1048576 + CAST(('0x' || substr(md5(sample_id || '/' || type || '/' || ref_event_id || '/' || hyp_event_id), 1, 5)) AS BIGINT) AS units,
+  dense_rank() OVER (PARTITION BY sample_id, type ORDER BY ref_event_id) AS k FROM costed ANTI JOIN alone USING (sample_id, type, ref_event_id, hyp_event_id)),
+tries AS (SELECT DISTINCT sample_id, type, 0::BIGINT AS k, []::VARCHAR[] AS used, []::VARCHAR[] AS taken, 0::BIGINT AS units FROM hard
+  UNION ALL SELECT t.sample_id, t.type, t.k + 1, CASE WHEN o.h IS NULL THEN t.used ELSE list_append(t.used, o.h) END, list_append(t.taken, o.h), t.units + o.units
+  FROM tries t JOIN (SELECT sample_id, type, k, hyp_event_id AS h, units FROM hard UNION ALL SELECT DISTINCT sample_id, type, k, NULL, 0 FROM hard) o
+  ON o.sample_id = t.sample_id AND o.type = t.type AND o.k = t.k + 1 AND NOT coalesce(list_contains(t.used, o.h), false)),
+best AS (SELECT * FROM tries JOIN (SELECT sample_id, type, max(k) AS k FROM hard GROUP BY ALL) USING (sample_id, type, k) QUALIFY row_number() OVER (PARTITION BY sample_id, type ORDER BY len(used) DESC, units) = 1),
+won AS (SELECT sample_id, type, unnest(range(1, k + 1)) AS k, unnest(taken) AS hyp_event_id FROM best),
+matched AS (SELECT c.* FROM costed c SEMI JOIN alone USING (sample_id, type, ref_event_id, hyp_event_id) UNION ALL SELECT c.* EXCLUDE (units, k) FROM hard c JOIN won USING (sample_id, type, k, hyp_event_id))"""
+
+
 def islands(source: str, by: str, gap: int) -> str:
     """Spans of `source` merged per `by`: those that overlap, or are less than `gap` apart."""
     return f"""
@@ -49,9 +64,9 @@ berr AS (SELECT sample_id, count(*) AS n_matched, round(avg(abs(rs - hs)) / 10,
   round(quantile_cont(abs(rs - hs)::DOUBLE, 0.9) / 10, 6) AS onset_p90, round(quantile_cont(abs(re - he)::DOUBLE, 0.9) / 10, 6) AS offset_p90,
   round(avg((abs(rs - hs) <= 1 AND abs(re - he) <= 1)::INT), 6) AS tolerance_acc_010, round(avg((abs(rs - hs) <= 2 AND abs(re - he) <= 2)::INT), 6) AS tolerance_acc_025,
   round(avg((abs(rs - hs) <= 5 AND abs(re - he) <= 5)::INT), 6) AS tolerance_acc_050, round(avg((abs(rs - hs) <= 10 AND abs(re - he) <= 10)::INT), 6) AS tolerance_acc_100,
-  round(avg(track_match::INT), 6) AS pointer_accuracy FROM alone GROUP BY ALL)"""
+  round(avg(track_match::INT), 6) AS pointer_accuracy FROM matched GROUP BY ALL)"""
 
-SAMPLES = FRAMES + "," + PAIRS[len(BOTH) + 1 :] + "," + ERRORS + """,
+SAMPLES = FRAMES + "," + MATCHED[len(BOTH) + 1 :] + "," + ERRORS + """,
 counts AS (SELECT r.sample_id, n_ref, coalesce(n_hyp, 0) AS n_hyp, coalesce(n_matched, 0) AS n_matched, h.sample_id IS NOT NULL AS has_prediction, rt, coalesce(ht, 0) AS ht,
   seg_f1_100ms, onset_mae, offset_mae, onset_p90, offset_p90, tolerance_acc_010, tolerance_acc_025, tolerance_acc_050, tolerance_acc_100, pointer_accuracy
   FROM (SELECT sample_id, count(*) AS n_ref, count(DISTINCT track_id) AS rt FROM refs GROUP BY ALL) r
