@@ -53,8 +53,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
-#: Powers that flatten the shares of sources, languages and forms; part of the tokens that is sampled.
-MIX, BUDGET = {"source": 0.5, "lang": 0.7, "topic": 1.0}, 0.5
+#: Powers that flatten the shares of sources, languages and topics; part of the tokens that is sampled.
+MIX, BUDGET = {"source": 0.5, "lang": 0.7, "topic": 0.5}, 0.5
 
 
 def queries() -> dict:
