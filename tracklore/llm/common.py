@@ -18,17 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests
-    on one machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir`` or one that the caller has set;
+    without either this is an error on a cluster, where a machine's own folder would be
+    wrong, and a temporary folder on one machine (a local master).
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files and broadcasts of what nothing refers to any more."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """A staged `df`, to be broadcast in joins if it has at most `most` rows; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def raw_text(column: str = "text"):
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

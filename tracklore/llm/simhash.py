@@ -19,13 +19,15 @@ by the number of fingerprints whatever the bucket's size.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, raw_text, staged
+from .common import per_row, raw_text, released, sized, staged
 from .graph import connected_components
 
 BITS, SEGMENTS, BUCKET, SEED = 64, 7, 32, 42
@@ -137,25 +139,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity: SimHash over words links most, a join of shingle prefixes the rest.
+# Near copies by shingle similarity: SimHash and shared rare shingles link most, a join of shingle prefixes the rest.
 
-PRINTS, WIDTH, LEAST = 6, 5, 0.8
-SAMPLED, HOT, PARITY = 16, 65_536, 1024
+PRINTS, STARS, WIDTH, LEAST = 2, 3, 5, 0.8
+SAMPLED, HOT, PARITY, SHARE, CROWD = 16, 65_536, 1024, 512, 16
+BROADCAST = 1_000_000  # numbers of texts with their keys, 24 bytes each, up to which they are broadcast
 MIXERS = np.array([xxhash.xxh64_intdigest(b"print %d" % j) for j in range(PRINTS)], np.uint64)
 
 
-def word_prints(raw: bytes) -> tuple[list[int]]:
+def word_prints(raw: bytes) -> list[int]:
     """`PRINTS` independent fingerprints of a text's distinct words."""
     words = set(raw.lower().split())
     if not words:
-        return ([0] * PRINTS,)
+        return [0] * PRINTS
     h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
     out = []
     for mixer in MIXERS:
         x = (h ^ mixer) * np.uint64(0xFF51AFD7ED558CCD)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)
         out.append(bit_majority(x ^ (x >> np.uint64(29))))
-    return (out,)
+    return out
 
 
 def shingle_hashes(raw: bytes) -> np.ndarray:
@@ -169,17 +172,18 @@ def shingle_set(raw: bytes) -> tuple[list[int]]:
 
 
 def profiler(hot: list[int], least: float):
-    """Per text: its fingerprints, the number, parities and prefix (in the common order) of its shingles.
+    """Per text: its fingerprints, the number, parities and prefix (in the common order) of its shingles, and its stars.
 
     The order is: shingles outside `hot` by hash, then those of `hot` as listed. Texts that
     are `least` alike share a shingle of their prefixes in any order; a text without words
-    has the prefix [0].
+    has the prefix [0]. Stars are the first `STARS` shingles of the text in `hot`, and as
+    many outside: texts that are much alike are likely to share one.
     """
     values = np.array(hot, np.int64)
     by = np.argsort(values)
     ascending = values[by]
 
-    def each(raw: bytes) -> tuple[list[int], int, list[int], list[int]]:
+    def each(raw: bytes) -> tuple[list[int], int, list[int], list[int], list[int]]:
         h = shingle_hashes(raw)
         rank = np.zeros(len(h), np.int64)
         if len(ascending):
@@ -187,7 +191,10 @@ def profiler(hot: list[int], least: float):
             rank = np.where(ascending[at] == h, by[at] + 1, 0)
         size = len(h) - math.ceil(least * len(h) - 1e-9) + 1
         parity = np.packbits((np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).astype(bool)).view(np.int64)
-        return word_prints(raw)[0], len(h), parity.tolist(), h[np.lexsort((h, rank))[:size]].tolist() or [0]
+        order = np.lexsort((h, rank))
+        known = rank[order] > 0
+        stars = np.r_[h[order[~known]][:STARS], h[order[known]][:STARS]]
+        return word_prints(raw), len(h), parity.tolist(), h[order[:size]].tolist() or [0], stars.tolist()
 
     return each
 
@@ -202,46 +209,100 @@ def frequent(keyed: DataFrame) -> list[int]:
     return [r.part for r in counts.where("n > 2").orderBy(F.desc("n"), "part").limit(HOT).collect()][::-1]
 
 
-def alike(keyed: DataFrame, profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """Those of `pairs(a, b)` (keys) whose sets of shingles have a Jaccard similarity of `least` or more.
+def compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """From (hub, share, leaf, raw), each hub's own text before those of its leaves: the (hub, leaf) that are `least` alike."""
+    hub, own = None, np.zeros(0, np.int64)
+    for batch in batches:
+        out: list[tuple] = []
+        for a, share, b, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (a, share) != hub:
+                hub, own = (a, share), shingle_hashes(raw)
+                continue
+            its = shingle_hashes(raw)
+            shared = len(np.intersect1d(own, its, assume_unique=True))
+            if shared >= least * (len(own) + len(its) - shared):
+                out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def alike(texts: DataFrame, profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """Those of `pairs(a, b)` (numbers of texts) whose sets of shingles have a Jaccard similarity of `least` or more.
 
     Two sets differ in as many shingles at least as their parities in cells; pairs beyond
-    what `least` allows are dropped before their sets are built.
+    what `least` allows are dropped first. The other pairs' texts meet at `a`, the hub, in
+    shares of about `SHARE` leaves: a share holds the hub's set and reads one leaf after
+    the other, so a hub of any size is spread, and a text moves once a pair.
     """
-    brief = lambda k: profiles.select(F.col("key").alias(k), F.struct("n", "parity").alias(k + "_"))
+    brief = lambda k: profiles.select(F.col("uid").alias(k), F.struct("n", "parity").alias(k + "_"))
     differ = F.aggregate(F.zip_with("a_.parity", "b_.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     allowed = (1 - least) / (1 + least) * (F.col("a_.n") + F.col("b_.n")) + 1e-6
     pairs = staged(pairs.join(brief("a"), "a").join(brief("b"), "b").where(differ <= allowed).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    one = keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = staged(per_row(one, lambda: shingle_set, ["key"], "text", "key binary, parts array<bigint>"))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("parts").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("parts").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return staged(both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
+    wanted = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(profiles.select("key", "uid"), "uid"))
+    held = texts.join(sized(wanted, BROADCAST), "key").groupBy(F.col("uid").alias("b")).agg(F.first("raw").alias("raw"))
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    leaves = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "shares").alias("share"), "b")
+    seats = leaves.union(sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("b")))
+    met = held.join(seats, "b").select("a", "share", "b", "raw").repartition("a", "share").sortWithinPartitions("a", "share", F.col("a") != F.col("b"))
+    return staged(met.mapInArrow(lambda batches: compare(batches, least), "a bigint, b bigint"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair of two texts once, with one of its hubs as `a`."""
+    low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+    once = pairs.where("a <> b").select(low, high, "a").groupBy("low", "high").agg(F.min("a").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+
 
+def met_tokens(profiles: DataFrame) -> DataFrame:
+    """(token, uid, size): an entry per token of a prefix, of the tokens that several texts have.
 
-def released(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    size is the number of the text's shingles and, below it, the token's place: n << 32 | at.
+    """
+    entries = profiles.select(F.posexplode("prefix").alias("at", "token"), "uid", F.shiftleft(F.col("n").cast("bigint"), 32).alias("n"))
+    entries = entries.select("token", "uid", F.col("n").bitwiseOR(F.col("at").cast("bigint")).alias("size"))
+    several = entries.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1").select("token")
+    return staged(entries.join(several, "token"))
 
 
-def undecided(profiles: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, x): an entry per token of a prefix, of the tokens that stand in several groups."""
-    rooted = profiles.select("key", "n", "prefix").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("group", F.xxhash64("root")).drop("root")
-    tokens = rooted.select(F.explode("prefix").alias("token"), "group")
-    several = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    entries = rooted.select("key", "n", "group", F.posexplode("prefix").alias("at", "token"))
-    return staged(entries.join(several, "token").select("token", F.struct("key", "n", "at", "group").alias("x")))
+def undecided(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """`entries` with their text's group, of the tokens that stand in several groups."""
+    rooted = entries.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("group", F.coalesce("root", "uid")).drop("root")
+    several = rooted.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
+    return staged(rooted.join(several, "token").select("token", "uid", "group", "size"))
 
 
 def could_be(least: float):
-    """Whether the first shared token of the prefixes of x and y leaves room for the similarity `least`."""
-    left, right, both = F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), F.col("x.n") + F.col("y.n")
-    return (F.least(left, right) >= least / (1 + least) * both - 1e-6) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6)
+    """Whether the first shared token of the prefixes of x and y leaves room for the similarity `least`, and both texts for each other."""
+    n = lambda x: F.shiftright(f"{x}size", 32)
+    left = lambda x: n(x) - F.col(f"{x}size").bitwiseAND(F.lit((1 << 32) - 1))
+    return (F.least(left("x_"), left("y_")) >= least / (1 + least) * (n("x_") + n("y_")) - 1e-6) & (F.least(n("x_"), n("y_")) >= least * F.greatest(n("x_"), n("y_")) - 1e-6)
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+def crowded(entries: DataFrame, least: float) -> DataFrame:
+    """(a, b): of each token that more than `CROWD` entries have, each entry's text with one other, if their groups differ."""
+    side = lambda x: F.struct(*(F.col(c).alias(x + c) for c in ("uid", "group", "size")))
+    hubs = entries.groupBy("token").agg(F.min_by(side("x_"), F.xxhash64("uid")).alias("hub"), F.count("*").alias("n")).where(F.col("n") > CROWD)
+    pairs = entries.select("token", side("y_").alias("leaf")).join(hubs.select("token", "hub"), "token").select("hub.*", "leaf.*")
+    return pairs.where((F.col("x_group") != F.col("y_group")) & could_be(least)).select(F.col("x_uid").alias("a"), F.col("y_uid").alias("b"))
+
+
+def stars_of(profiles: DataFrame) -> DataFrame:
+    """(a, b): each text with one other of those that share its fingerprint in a space, or one of its stars."""
+    buckets = profiles.select("uid", F.posexplode(F.concat("fps", "stars")).alias("space", "value"))
+    buckets = buckets.withColumn("space", F.least("space", F.lit(PRINTS)))
+    hubs = buckets.groupBy("space", "value").agg(F.min_by("uid", F.xxhash64("uid")).alias("hub"), F.count("*").alias("n"))
+    return buckets.join(hubs.where("n > 1"), ["space", "value"]).select(F.col("hub").alias("a"), F.col("uid").alias("b"))
+
+
+def near_prints(profiles: DataFrame) -> DataFrame:
+    """(a, b): one text of each two fingerprints of a space that are within two bits, by pigeonring chains."""
+    spaces = profiles.select("uid", F.posexplode("fps").alias("space", "fp"))
+    reps = staged(spaces.groupBy("space", "fp").agg(F.min_by("uid", F.xxhash64("uid")).alias("rep")))
+    across = links(reps.select("space", "fp"), 2, ("space",))
+    named = lambda k, name: reps.select("space", F.col("fp").alias(k), F.col("rep").alias(name))
+    return across.join(named("a", "left_"), ["space", "a"]).join(named("b", "right_"), ["space", "b"]).select(F.col("left_").alias("a"), F.col("right_").alias("b"))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -249,35 +310,45 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     key is the MD5 of the text. Rows with equal texts are one text; two texts are linked
     where their sets of five-word shingles have a Jaccard similarity of `least` or more,
-    and linked texts are a group. Groups are exact. First fingerprints of distinct words
-    within two bits in one of `PRINTS` independent spaces, each text compared with one
-    other a space, link most copies cheaply. Then every two texts that share a shingle of
-    their prefixes are compared, unless they are in one group by then. The first member has
-    the smallest id (nulls last), then key. Null text counts as empty; empty tables give
-    empty results.
+    and linked texts are a group. Groups are exact. First most copies are linked cheaply:
+    texts whose fingerprints of distinct words are within two bits in one of `PRINTS`
+    independent spaces, and texts that share a star, each compared with one other only.
+    The same is done with the shingles of prefixes that a crowd of texts shares, as long as
+    that links a hundredth of the texts. Then every two texts that share a shingle of their prefixes are compared,
+    unless they are in one group by then. The first member has the smallest id (nulls last), then key.
+    Null text counts as empty; empty tables give empty results.
     """
-    key = F.unhex(F.md5(raw_text(text_col))).alias("key")
+    raw = raw_text(text_col)
+    key = F.unhex(F.md5(raw)).alias("key")
     rows = staged(docs.select(F.col(id_col).alias("id"), key).distinct())
     kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(key, raw.alias("raw"))
     keyed = docs.select(key, F.col(text_col).alias("text"))
     hot = frequent(keyed)
-    profiles = per_row(keyed, lambda: profiler(hot, least), ["key"], "text", "key binary, fps array<bigint>, n int, parity array<bigint>, prefix array<bigint>")
-    profiles = staged(profiles.groupBy("key").agg(F.first("fps").alias("fps"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
-    spaces = profiles.select("key", F.posexplode("fps").alias("space", "fp"))
-    reps = staged(spaces.groupBy("space", "fp").agg(F.min_by("key", F.xxhash64("key", "space")).alias("rep"), F.count("*").alias("n")))
-    stars = spaces.join(reps.where("n > 1").drop("n"), ["space", "fp"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    across = links(reps.select("space", "fp"), 2, ("space",))
-    across = across.join(reps.select("space", F.col("fp").alias("a"), F.col("rep").alias("left_")), ["space", "a"]).join(reps.select("space", F.col("fp").alias("b"), F.col("rep").alias("right_")), ["space", "b"])
-    linked = alike(keyed, profiles, ordered(stars.union(across.select("left_", "right_"))), least)
-
+    profiles = per_row(keyed, lambda: profiler(hot, least), ["key"], "text", "key binary, fps array<bigint>, n int, parity array<bigint>, prefix array<bigint>, stars array<bigint>")
+    names = ["fps", "n", "parity", "prefix", "stars"]
+    profiles = profiles.groupBy("key").agg(F.first(F.struct(*names)).alias("p")).select("key", "p.*")
+    profiles = staged(profiles.withColumn("uid", F.monotonically_increasing_id()))
+    linked = alike(texts, profiles, ordered(stars_of(profiles).union(near_prints(profiles))), least)
+    edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    few = 1 + profiles.count() // 100
+    roots, entries = connected_components(linked), met_tokens(profiles)
+    while True:  # large groups of copies collapse further before their texts are compared in pairs
+        released(docs)
+        apart = undecided(entries, roots)
+        linked = alike(texts, profiles, ordered(crowded(apart, least)), least)
+        if linked.count() < few:
+            break
+        roots = connected_components(edges().union(linked))
+
+    side = lambda x: apart.select("token", *(F.col(c).alias(x + c) for c in ("uid", "group", "size")))
+    near = side("x_").join(side("y_"), "token").where((F.col("x_uid") < F.col("y_uid")) & (F.col("x_group") != F.col("y_group")) & could_be(least))
+    linked = linked.union(alike(texts, profiles, ordered(near.select(F.col("x_uid").alias("a"), F.col("y_uid").alias("b"))), least))
     released(docs)
-    entries = undecided(profiles, connected_components(linked))
-    near = entries.join(entries.withColumnRenamed("x", "y"), "token").where((F.col("x.key") < F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & could_be(least))
-    linked = linked.union(alike(keyed, profiles, ordered(near.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))), least))
 
-    released(docs)
-    roots = connected_components(linked)
-    rooted = rows.join(roots, rows.key == roots.node, "left").select("id", "key", F.coalesce("root", "key").alias("root"))
+    roots = connected_components(edges().union(linked))
+    named = profiles.select("key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.coalesce("root", "uid").alias("root"))
+    rooted = rows.join(named, "key")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = rooted.groupBy("root").agg(F.min(order).alias("first"))
     return rooted.join(first, "root").select(F.col("id").cast(kind).alias(id_col), "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
