@@ -13,7 +13,7 @@ Encoding has three steps.
 Moving each occurrence to a table of all distinct pieces and back would shuffle several
 times the input; this way only the piece counts are shuffled.
 
-Decoding joins the pieces of the ids, which are a literal array, natively.
+Decoding concatenates the binary pieces of the ids, which are a literal array, natively.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, staged
+from .common import raw_text, released, staged
 
-FREQUENT, SHORT, REMEMBERED, BUCKETS = 1 << 18, 64, 1 << 17, 1024
+FREQUENT, SHORT, REMEMBERED, BUCKETS, GROUP = 1 << 18, 64, 1 << 17, 1024, 256
+BETWEEN = "\u0100"  # between byte texts, whose characters are below it
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -74,23 +75,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
+def byte_text(raw: bytes) -> str:
+    """Bytes as a text of as many characters: a literal map of Spark can't have binary keys made by a function."""
+    return raw.decode("iso-8859-1")
+
+
+def split_literal(texts: list[str]) -> Column:
+    """A literal array of byte texts."""
+    return F.split(F.lit(BETWEEN.join(texts)), BETWEEN)
+
+
 def rank_map(pieces: list[bytes]) -> Column:
-    """A literal array of maps from a piece's hex to its rank; a piece is in the map that its hash names."""
+    """A literal array of maps from a piece, as a byte text, to its rank; a piece is in the map that its hash names."""
     parts: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
     for rank, piece in enumerate(pieces):
-        text = piece.hex().upper()
-        parts[xxhash.xxh64_intdigest(text, 42) % BUCKETS].append((text, rank))
-    maps = [F.map_from_arrays(F.split(F.lit(" ".join(k for k, _ in p)), " "), F.split(F.lit(" ".join(str(v) for _, v in p)), " ").cast("array<int>")) for p in parts]
+        text = byte_text(piece)
+        parts[xxhash.xxh64_intdigest(text.encode(), 42) % BUCKETS].append((text, rank))
+    maps = [F.map_from_arrays(split_literal([k for k, _ in p]), F.split(F.lit(" ".join(str(v) for _, v in p)), " ").cast("array<int>")) for p in (p or [("", -1)] for p in parts)]
     return F.array(*maps)
 
 
 def merged_ids(word: Column, pieces: list[bytes]) -> Column:
-    """Ids of a piece of text, by folding the ranked merges over its bytes (as hex)."""
+    """Ids of a piece of text, by folding the ranked merges over the array of its bytes."""
     table = rank_map(pieces)
     rank = lambda x: F.try_element_at(F.element_at(table, (F.pmod(F.xxhash64(x), F.lit(BUCKETS)) + 1).cast("int")), x)
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    text = F.hex(word.cast("binary"))
-    start = F.transform(F.sequence(F.lit(1), F.length(text), F.lit(2)), lambda i: F.substring(text, i, F.lit(2)))
+    text = F.decode(word.cast("binary"), "ISO-8859-1")
+    start = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
 
     def joined(p: Column, at: Column) -> Column:
         pair = F.array(F.concat(F.element_at(p, at), F.element_at(p, at + 1)))
@@ -101,7 +112,7 @@ def merged_ids(word: Column, pieces: list[bytes]) -> Column:
         best = lambda r: F.when(F.array_min(r).isNull(), p).otherwise(joined(p, F.array_position(r, F.array_min(r)).cast("int")))
         return F.when(F.size(p) < 2, p).otherwise(let(ranks, best))
 
-    folded = F.when(F.length(text) <= 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(text) / 2, F.lit(2)).cast("int")), start, step))
+    folded = F.when(F.length(text) < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), start, step))
     return F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank))
 
 
@@ -186,6 +197,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """
     pieces = read_ranks(rank_path)
     words = frequent_words(piece_counts(docs, text_col, pattern), frequent).select("word", merged_ids(F.col("word"), pieces).alias("ids")).toArrow()
+    released(docs)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, words.schema) as out:
         out.write_table(words)
@@ -204,9 +216,12 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
 
 def decoded(ids: Column, rank_path: str) -> Column:
-    """The bytes that an array of ids stands for: its pieces, one after the other."""
-    pieces = F.split(F.lit(" ".join(p.hex() for p in read_ranks(rank_path))), " ")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+    """The bytes that an array of ids stands for: its pieces, concatenated as binary in groups, then the groups."""
+    pieces, none = split_literal([byte_text(p) for p in read_ranks(rank_path)]), F.lit(bytearray())
+    piece = lambda i: F.encode(F.element_at(pieces, i + 1), "ISO-8859-1")
+    group = lambda start: F.aggregate(F.slice(ids, start, F.lit(GROUP)), none, lambda done, i: F.concat(done, piece(i)))
+    groups = F.transform(F.sequence(F.lit(1), F.size(ids), F.lit(GROUP)), group)
+    return F.when(F.size(ids) > 0, F.aggregate(groups, none, lambda done, part: F.concat(done, part))).otherwise(none)
 
 
 def digests(tokens: DataFrame, rank_path: str, id_col: str = "doc_id") -> DataFrame:
