@@ -10,10 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklore.llm import bpe, langid, mixing, quality, simhash
-from tracklore.llm.common import table
+from tracklore.llm.common import staged, table
 
-#: Powers that flatten the shares of sources and languages, and the part of the tokens that is kept.
-MIX, BUDGET = {"source": 0.7, "lang": 0.7, "topic": 1.0}, 0.8
+#: Powers that flatten the shares of sources, languages and topics, and the part of the tokens that is kept.
+MIX, BUDGET = {"source": 0.7, "lang": 0.7, "topic": 0.7}, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and forms meet their targets."""
+    """Samples documents so that sources, languages and topics meet their targets."""
     return mixing.mixed(docs, MIX, BUDGET, keep=docs.columns).select("kept.*")
 
 
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, applied to documents."""
+    """All stages, one after the other, applied to documents; each one's rows are staged, as the next reads them several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
