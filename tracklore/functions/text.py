@@ -65,7 +65,7 @@ def span_list(spans: Column) -> Column:
 
 def parsed_spans(text: Column) -> Column:
     """Spans of a comma list `start-end`; null where a piece isn't one."""
-    pieces = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     start = lambda p: F.substring_index(p, "-", 1).try_cast("double")
     end = lambda p: F.regexp_extract(p, r"^[^-]*-(.*)$", 1).try_cast("double")
     made = F.transform(pieces, lambda p: iv.span(iv.grid(start(p)), iv.grid(end(p))))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import codecs, generate, match
+from ..operators import generate, match, recovery
 from ..operators import dataset as ds
 from ..operators import ledger as lg
 from . import bindings as b
+from . import captions, sql
 
 
 def scene_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -32,13 +33,35 @@ def mock_degrade(spark: SparkSession, d: str) -> DataFrame:
     return matched.groupBy("type").agg(F.count("*").alias("n_matched"), F.round(F.avg("tiou"), 6).alias("mean_tiou"))
 
 
+def cut_captions(spark: SparkSession, d: str, *makes) -> DataFrame:
+    """(sample_id, text, duration_sec): captions of one of the forms `makes`, one in five of them cut off."""
+    clips = lg.nested(b.references(spark, d))
+    u = lambda seed: ds.uniform(F.col("sample_id"), seed)
+    caption = makes[0](F.col("events"))
+    for k, make in enumerate(makes[1:], 1):
+        caption = F.when(u("form-1") * len(makes) >= k, make(F.col("events"))).otherwise(caption)
+    return clips.select("sample_id", caption.alias("text")).select("sample_id", F.when(u("cut-1") < 0.2, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"), F.lit(30.0).alias("duration_sec"))
+
+
 def recover_captions(spark: SparkSession, d: str) -> DataFrame:
     """The tolerant reader over XML captions, some of them cut off."""
-    clips = lg.nested(b.references(spark, d)).select("sample_id", tx.xml_caption(F.col("events")).alias("caption"))
-    cut = F.when(F.crc32(F.col("sample_id").cast("binary")) % 5 == 0, F.substring("caption", 1, 40)).otherwise(F.col("caption"))
-    reports = clips.select("sample_id", codecs.recover(cut, F.col("sample_id"), F.lit(30.0)).alias("r")).select("sample_id", "r.*")
-    return ds.parse_summary(reports)
+    return ds.parse_summary(recovery.recovered(cut_captions(spark, d, tx.xml_caption)))
+
+
+def parse_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of time tokens and of XML, some of them cut off, read in the form that fits."""
+    return recovery.cascade(cut_captions(spark, d, tx.atomic_caption, tx.xml_caption)).select("sample_id", "form", "ok", "events_recovered", "events_rejected", "error")
+
 
+QUERIES = {f.__name__: f for f in (sample_scene, render_validate, mock_degrade, recover_captions, parse_cascade)}
 
-QUERIES = {f.__name__: f for f in (sample_scene, render_validate, mock_degrade, recover_captions)}
-ORACLES: dict[str, str] = {}
+U = "CAST(('0x' || substr(md5('{0}:' || {1}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+CUT = f"""WITH {sql.REFS}, a AS (SELECT sample_id, string_agg({captions.ONE}, '' ORDER BY start_ds, {captions.RANK}, event_id) AS atomic, string_agg({captions.XML}, chr(10) ORDER BY start_ds, {captions.RANK}, event_id) AS xml FROM refs GROUP BY ALL),
+h AS (SELECT *, {U.format('form-1', 'sample_id')} AS u, {U.format('cut-1', 'sample_id')} AS c FROM a)"""
+XML_EVENTS = "len(regexp_extract_all(t, '" + "|".join(f"<{k} [^<>]*>[^<]+</{k}>" for k in tx.TYPES) + "'))"
+ATOMIC_EVENTS = "len(regexp_extract_all(t, '<[a-z]+><[|]t_[0-9]{3}[|]>[^<]*<[|]t_[0-9]{3}[|]></[a-z]+>'))"
+ORACLES: dict[str, str] = {
+    "recover_captions": f"{CUT}, t AS (SELECT CASE WHEN c < 0.2 THEN substr(xml, 1, 40) ELSE xml END AS t FROM h) SELECT count(*) AS n_samples, 0::BIGINT AS n_ok, 0.0::DOUBLE AS strict_format_success_rate, round(sum({XML_EVENTS}) / CAST(count(*) AS DOUBLE), 3) AS mean_events_recovered, 0::BIGINT AS total_events_rejected FROM t",
+    "parse_cascade": f"{CUT}, t AS (SELECT sample_id, CASE WHEN c < 0.2 THEN substr(x, 1, 40) ELSE x END AS t FROM (SELECT *, CASE WHEN u * 2 >= 1 THEN xml ELSE atomic END AS x FROM h)), "
+    f"n AS (SELECT sample_id, {ATOMIC_EVENTS} AS a, {XML_EVENTS} AS x FROM t) SELECT sample_id, CASE WHEN a > 0 THEN 'atomic' ELSE 'tolerant' END AS form, a > 0 AS ok, CASE WHEN a > 0 THEN a ELSE x END AS events_recovered, 0::BIGINT AS events_rejected, NULL::VARCHAR AS error FROM n",
+}
