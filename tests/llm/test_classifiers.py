@@ -80,6 +80,75 @@ def test_quality_and_toxicity_held_out(spark):
     assert np.mean(clean) < 0.03
 
 
+def test_toxicity_fit_equals_a_plain_version(monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_DOCS", 1)
+    r = np.random.default_rng(2)
+    rows = [(int(k % 3 == 0), np.sort(r.choice(40, 12, replace=False)).astype(np.int32), None) for k in range(60)]
+    weights, bias = toxicity.fit(rows)
+    toxic, other = ([set(ids.tolist()) for y, ids, _ in rows if y == c] for c in (1, 0))
+    ratio = {f: np.log((sum(f in d for d in toxic) + 1) / (len(toxic) + 2) / ((sum(f in d for d in other) + 1) / (len(other) + 2))) for f in range(40)}
+    used = {f for f in ratio if abs(ratio[f]) >= toxicity.LEAST_RATIO}
+    w, b, past, past_b = dict.fromkeys(used, 0.0), 0.0, dict.fromkeys(used, 1e-8), 1e-8
+    for _ in range(toxicity.ROUNDS):
+        off = [(1 / (1 + np.exp(-(sum(ratio[f] * w[f] for f in ids.tolist() if f in used) + b))) - y) / len(rows) for y, ids, _ in rows]
+        slope = {f: sum(o * ratio[f] for o, (_, ids, _) in zip(off, rows, strict=True) if f in ids) + toxicity.PENALTY * w[f] for f in used}
+        for f in used:
+            past[f] += slope[f] ** 2
+            w[f] -= toxicity.RATE * slope[f] / past[f] ** 0.5
+        past_b += sum(off) ** 2
+        b -= toxicity.RATE * sum(off) / past_b**0.5
+    assert used and bias[0] == pytest.approx(b, rel=1e-4)
+    assert all(weights[f] == pytest.approx(w[f] * ratio[f] if f in used else 0.0, rel=1e-4, abs=1e-6) for f in range(40))
+
+
+def test_quality_fit_equals_a_plain_version(monkeypatch):
+    monkeypatch.setattr(quality, "BUCKETS", 30)
+    r = np.random.default_rng(3)
+    rows = [(int(k % 2), np.sort(r.choice(30, 5, replace=False)).astype(np.int32), r.integers(1, 4, 5).astype(np.int32)) for k in range(25)]
+    got, bias = quality.fit(rows)
+    r = np.random.default_rng(7)
+    v = r.uniform(-1 / quality.SIZE, 1 / quality.SIZE, (30, quality.SIZE)).tolist()
+    out, b, done, dims = [[0.0] * quality.SIZE for _ in range(2)], [0.0, 0.0], 0, range(quality.SIZE)
+    for _ in range(quality.EPOCHS):
+        for k in r.permutation(len(rows)):
+            y, ids, counts = rows[k]
+            rate = quality.RATE * (1 - done / (quality.EPOCHS * len(rows)))
+            done += 1
+            share = [c / sum(counts.tolist()) for c in counts.tolist()]
+            mean = [sum(s * v[i][d] for s, i in zip(share, ids, strict=True)) for d in dims]
+            e = [np.exp(sum(out[c][d] * mean[d] for d in dims) + b[c]) for c in (0, 1)]
+            off = [e[c] / sum(e) - (c == y) for c in (0, 1)]
+            back = [off[0] * out[0][d] + off[1] * out[1][d] for d in dims]
+            for c in (0, 1):
+                out[c] = [out[c][d] - rate * off[c] * mean[d] for d in dims]
+                b[c] -= rate * 0.1 * off[c]
+            for s, i in zip(share, ids, strict=True):
+                v[i] = [v[i][d] - rate * len(ids) ** 0.5 * s * back[d] for d in dims]
+    want = [sum(v[i][d] * (out[1][d] - out[0][d]) for d in dims) for i in range(30)]
+    assert got == pytest.approx(want, rel=1e-3, abs=1e-5) and bias[0] == pytest.approx(b[1] - b[0], rel=1e-3)
+
+
+def test_und_where_no_letter_is(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(100, "½ ②", None), (101, "Ⅷ ² 12", None), (102, "a", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == ("und", 0.0) and got[102][0] == "en"
+
+
+def test_rare_languages_and_ties(spark):
+    same = [(i, "uno dos tres", x) for i, x in ((0, "b"), (1, "a"), (3, "c"), (4, "a"))]  # equal models: the first language in order
+    got = langid.languages(spark.createDataFrame([*same, (50, "uno tres", None)], "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"a"}
+    long = "der Hund und die Katze " * 20_000
+    docs = spark.createDataFrame([(i, f"the cat and {i} dogs", "en") for i in range(40)] + [(1000, long, "de"), (1001, long, None)], "doc_id long, text string, lang string")
+    assert crc(1000, 4) != 2 and {r.lang_pred for r in langid.languages(docs).where("doc_id >= 1000").collect()} == {"de"}
+
+
+def test_fit_takes_a_bounded_number_of_bytes(spark):
+    sample = spark.createDataFrame([(i, i % 2, bytes(100)) for i in range(400)], "order long, label int, raw binary")
+    n = labelled.trained(sample, lambda raw: (raw, b""), lambda rows: (np.full(1, len(rows)),), most=20_000)[0][0]
+    assert 100 < n < 300
+
+
 def test_toxicity_learns_words_it_is_shown(spark):
     r = np.random.default_rng(1)
     base = ["garden", "river", "window", "paper", "music", "stone", "yellow", "winter"]

@@ -36,3 +36,13 @@ def test_containment_and_edges(spark):
     one = fp.fingerprint_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
     assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert fp.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_text_ids_and_a_very_long_text(spark):
+    r = random.Random(4)
+    long = " ".join(f"{r.randrange(10**6)}" for _ in range(60_000))
+    rows = [("b", long), ("a", "x" * 50), (None, "y"), (None, "z"), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(x.doc_id, x.n_chars): x for x in fp.fingerprint_edits(docs, ranges=3).collect()}
+    assert len(got) == 4 and got["b", len(long)].fingerprint == fp.as_text(fp.chunk_weights(long.encode()))
+    assert got["a", 50].edited_sha256 == hashlib.sha256(("x" * 25 + long[:25]).encode()).hexdigest()

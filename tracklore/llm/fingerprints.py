@@ -4,8 +4,8 @@ Each text is cut where a gear hash says so, so an edit changes the chunks near i
 others. A fingerprint lists the digests with the bytes they stand for; the share of a
 text's bytes whose chunks another text also has measures containment.
 
-Comparing each text with the next one needs the order of all ids. Ids alone are sampled
-for bounds; each text moves once, to the partition of its range, and the first text of
+Comparing each text with the next one needs the order of all ids. Ids and hashes alone are
+dealt to ranges first, which gives each range's first row; each text moves once, to the partition of its range, and the first text of
 each range also goes to the range before it. No task sees more than its range.
 """
 
@@ -75,16 +75,14 @@ def compare_with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
 
-def range_of(column: Column, bounds: list) -> Column:
-    """How many `bounds` (sorted, few) are at most the value; null: 0. Looks up two levels."""
+def range_of(key: Column, bounds: list[Column]) -> Column:
+    """The last of `bounds` (sorted, few) that is at most the key, from 0; looks up two levels."""
     step = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.lit(0)
-    at_most = lambda values: F.size(F.filter(values, lambda b: b <= column))
-    coarse = at_most(F.array(*(F.lit(g[0]) for g in groups)))
-    fine = at_most(F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(coarse, F.lit(1))))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+    at_most = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    coarse = F.greatest(at_most(F.array(*(g[0] for g in groups))), F.lit(1))
+    fine = F.greatest(at_most(F.element_at(F.array(*(F.array(*g) for g in groups)), coarse)), F.lit(1))
+    return (coarse - 1) * step + fine - 1
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -92,23 +90,26 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text's last floor(n_chars/2) code points are the first as many, or all, of
     the next text in ascending id; the last row's next is the first. Rows without id come
-    first; equal ids are ordered by the XXH64 of their text. Null text counts as empty (fingerprint '',
-    likeness 1 to an empty one and 0 to others). An empty table gives an empty result;
+    first; equal ids are ordered by the XXH64 of their text, so that they are spread over
+    ranges like others (only rows equal in id and text stay together). Ids may be of any
+    type that sorts. Null text counts as empty (fingerprint '', likeness 1 to an empty one
+    and 0 to others); very long texts are cut whole. An empty table gives an empty result;
     other columns are not read. `ranges` defaults to the session's shuffle partitions.
     """
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw")).withColumn("tie", F.xxhash64("raw"))
-    bounds = docs.stat.approxQuantile(id_col, [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    rows = rows.withColumn("part", range_of(F.col("id"), sorted({int(b) for b in bounds})))
-    firsts = [(r.part, r.least.id, r.least.tie) for r in rows.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("least")).orderBy("part").collect()]
-    before = [(*first, firsts[i - 1][0]) for i, first in enumerate(firsts)]
-    ghosts = docs.sparkSession.createDataFrame(before, f"part int, first_id {kind}, first_tie bigint, goes_to int")
-    rows = rows.join(F.broadcast(ghosts), "part")
-    first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
-    copies = F.filter(F.array(F.struct("part", F.lit(False).alias("ghost")), F.when(first, F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("ghost")))), lambda x: x.isNotNull())
+    key = F.struct("id", "tie")
+    dealt = rows.select("id", "tie").repartitionByRange(ranges, F.col("id").asc_nulls_first(), "tie")  # keys only
+    firsts = sorted(((r.least.id is not None, r.least.id, r.least.tie) for r in dealt.groupBy(F.spark_partition_id()).agg(F.min(key).alias("least")).collect()), key=lambda x: (x[0], x[1] if x[0] else 0, x[2]))
+    bounds = [F.struct(F.lit(ident).cast(kind).alias("id"), F.lit(tie).alias("tie")) for _, ident, tie in firsts] or [F.struct(F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("tie"))]
+    rows = rows.withColumn("part", range_of(key, bounds).cast("int"))
+    lists = [F.array(*bounds[i : i + 100]) for i in range(0, len(bounds), 100)]
+    bound = F.get(F.get(F.array(*lists), F.floor(F.col("part") / 100).cast("int")), F.col("part") % 100)
+    ghost = F.when(bound == key, F.struct(F.pmod(F.col("part") - 1, F.lit(len(bounds))).alias("part"), F.lit(True).alias("ghost")))
+    copies = F.filter(F.array(F.struct("part", F.lit(False).alias("ghost")), ghost), lambda x: x.isNotNull())
     rows = rows.select("id", "raw", "tie", F.inline(copies))
-    dealt = rows.repartitionById(max(1, ranges), F.col("part")).sortWithinPartitions("part", "ghost", F.col("id").asc_nulls_first(), "tie")
+    dealt = rows.repartitionById(len(bounds), F.col("part")).sortWithinPartitions("part", "ghost", F.col("id").asc_nulls_first(), "tie")
     return dealt.select("part", "ghost", "id", "raw").mapInArrow(
         compare_with_next, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     ).withColumnRenamed("id", id_col)

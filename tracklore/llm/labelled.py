@@ -10,9 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text
+from .common import raw_text, staged
 
 GRAINS = 1 << 20
+SAMPLE_BYTES = 256 << 20  # of features that a fit takes at most; beyond it rows are left out by the hash of their order
 REMEMBERED = 1 << 18
 
 
@@ -37,8 +38,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return rows.select(F.xxhash64("id", "raw").alias("order"), "label", "raw"), float(np.log(rate.get(0, 1) / rate.get(1, 1)))
 
 
-def trained(sample: DataFrame, features: Callable[[bytes], tuple], fit: Callable) -> tuple:
-    """Fits a model on the bounded sample: features in many tasks, the fit in one.
+def trained(sample: DataFrame, features: Callable[[bytes], tuple], fit: Callable, most: int = SAMPLE_BYTES) -> tuple:
+    """Fits a model on the bounded sample: features in many tasks, the fit in one, on at most about `most` bytes of features.
 
     `features(raw)` gives (ids, counts); `fit(list of (label, ids, counts))` gives float
     arrays, which are returned.
@@ -54,7 +55,10 @@ def trained(sample: DataFrame, features: Callable[[bytes], tuple], fit: Callable
         arrays = fit(rows)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(arrays)), pa.int32()), pa.array([np.asarray(a, np.float32).tobytes() for a in arrays], pa.binary())], names=["k", "data"])
 
-    counted = sample.mapInArrow(count, "order bigint, label int, ids binary, counts binary")
+    counted = staged(sample.mapInArrow(count, "order bigint, label int, ids binary, counts binary"))
+    size = counted.agg(F.sum(F.length("ids") + F.length("counts"))).first()[0] or 0
+    if size > most:
+        counted = counted.where(F.pmod(F.xxhash64("order"), F.lit(GRAINS)) < F.lit(int(most / size * GRAINS)))
     model = counted.repartition(1).sortWithinPartitions("order", "label").mapInArrow(learn, "k int, data binary").collect()
     if not model:  # no labelled row
         return fit([])

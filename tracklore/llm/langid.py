@@ -13,11 +13,11 @@ per task, so a text costs one lookup per distinct word.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from .labelled import GRAINS, WordRows, held_out, in_blocks, scored
 ORDER, SAMPLE_BYTES, CALIBRATION = 4, 1_000_000, 8  # one sampled text in so many calibrates
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(1, ORDER + 1)], np.uint64)
 UNSEEN = np.log(2.0**-16)  # the uniform share below single characters
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")  # letters by Unicode category; numerals such as ½ or Ⅷ are none
 START, END = "\x02", "\x03"
 
 
@@ -94,13 +94,14 @@ def kneser_ney(counts: Counter) -> list[tuple[np.ndarray, ...]]:
 
 
 def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, size: int) -> DataFrame:
-    """(lang, raw, aside): about `size` bytes of text per language, outside the held-out quarter."""
+    """(lang, raw, aside): about `size` bytes of text per language, one text at least, outside the held-out quarter; the text of the first hash is never aside."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, 4, 2))
     known = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), raw_text(text_col).alias("raw"))
-    totals = known.groupBy("lang").agg(F.sum(F.length("raw")).alias("total"))
+    seat = F.xxhash64("id", F.lit(6))
+    totals = known.groupBy("lang").agg(F.sum(F.length("raw")).alias("total"), F.min(seat).alias("first"))
     grain = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(GRAINS))
-    rows = known.join(F.broadcast(totals), "lang").where(grain * F.col("total") < float(size) * GRAINS)
-    return rows.select("lang", "raw", (F.pmod(F.xxhash64("id", F.lit(6)), F.lit(CALIBRATION)) == 0).alias("aside"))
+    rows = known.join(F.broadcast(totals), "lang").where((grain * F.col("total") < float(size) * GRAINS) | (seat == F.col("first")))
+    return rows.select("lang", "raw", ((F.pmod(seat, F.lit(CALIBRATION)) == 0) & (seat != F.col("first"))).alias("aside"))
 
 
 def fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
