@@ -2,15 +2,17 @@
 
 Texts and templates are sequences of words (letters and digits in lower case) and their
 shingles of `WIDTH` words; notices are as short as five words, hence three. Windows of
-`WINDOW` shingles start every `STRIDE`. A band is one minimum: the window and a template
-window collide in it with the probability of their Jaccard similarity, so `bands_for`
-gives the number that finds the least similar pair wanted with the certainty asked for.
-Collisions are then verified: the share of the template's shingles that stand near the
-window must reach `least`.
-
-All is done inside the row by higher-order functions: nothing is shuffled or exploded.
-A window none of whose shingles is a template's can't share a minimum with one, so only
-the other windows are hashed.
+`WINDOW` shingles start every `STRIDE`, so that any `PIECE` consecutive shingles of a
+template lie in one window of a text. Templates give windows of `PIECE` to `WINDOW`
+shingles from every position: a piece that stands unchanged in a text is then at least
+PIECE / WINDOW alike to one of them, and wholly alike if it is as long as a window and
+its text window. A band is one minimum under a hash of its own; `bands_for` gives the
+number that finds such a window with the certainty asked for, and a template of n shingles
+has about n / STRIDE windows to be found by.
+
+Collisions retrieve templates; then the share of the template's shingles that stand near
+the window must reach `least`. All is done inside the row by higher-order functions:
+nothing is shuffled or exploded, and the band table, whose size is checked, is a literal.
 """
 
 from __future__ import annotations
@@ -22,19 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, WINDOW, STRIDE, CERTAINTY = 3, 10, 5, 0.999
+from .license_texts import NOTICES, TEXTS
 
-#: Public licence notices that the scan looks for by default.
-NOTICES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-]
+WIDTH, PIECE, WINDOW, STRIDE, CERTAINTY = 3, 3, 5, 3, 0.999
+SLOTS, MOST = 2048, 1_000_000  # parts of the band table, and its entries at most: some 16 MB
+
+TEMPLATES = TEXTS + NOTICES
 
 
 def bands_for(similarity: float, certainty: float) -> int:
@@ -51,71 +46,114 @@ def signed(x: int) -> int:
 
 
 def shingle_hashes(words: list[str]) -> list[int]:
-    """Signed hashes of a template's shingles, as `text_shingles` gives for texts; few words make one."""
-    parts = [words[i : i + WIDTH] for i in range(len(words) - WIDTH + 1)] or ([words] if words else [])
-    return [signed(xxhash.xxh64_intdigest(" ".join(p), 42)) for p in parts]
+    """Signed hashes of a template's shingles, as `text_shingles` gives for texts."""
+    return [signed(xxhash.xxh64_intdigest(" ".join(words[i : i + WIDTH]), 42)) for i in range(len(words) - WIDTH + 1)]
+
+
+def banded(shingle: int, band: int) -> int:
+    """The hash of a shingle in a band, as Spark's xxhash64(shingle, band)."""
+    first = xxhash.xxh64_intdigest(shingle.to_bytes(8, "little", signed=True), 42)
+    return signed(xxhash.xxh64_intdigest(band.to_bytes(8, "little", signed=True), first))
 
 
 def text_shingles(text: Column) -> Column:
     """Hashes of the shingles of a text's words; fewer than `WIDTH` words: none."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     joined = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + j) for j in range(WIDTH)))))
     return let(words, lambda w: F.when(F.size(w) >= WIDTH, joined(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = NOTICES, least: float = 0.8) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def numbers(values: list[int]) -> Column:
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")  # folded to a literal
+
+
+def band_table(templates: list[list[int]], bands: int) -> dict[int, set[int]]:
+    """By minimum the templates, given as lists of shingle hashes, that have a window with it."""
+    found: dict[int, set[int]] = {}
+    for t, shingles in enumerate(templates):
+        for band in range(bands):
+            h = [banded(x, band) for x in shingles]
+            for start in range(len(h) - PIECE + 1):
+                for size in range(PIECE, min(WINDOW, len(h) - start) + 1):
+                    found.setdefault(min(h[start : start + size]), set()).add(t)
+    if sum(map(len, found.values())) > MOST:
+        raise ValueError(f"the templates make a band table of more than {MOST} entries")
+    return found
+
+
+def rivals(templates: list[tuple[str, set[int]]], least: float) -> list[list[str]]:
+    """Per template the other licenses that have a template with `least` of the shingles of the shorter of the two in common."""
+    out = []
+    for name, own in templates:
+        near = {other for other, its in templates if other != name and len(own & its) >= least * min(len(own), len(its))}
+        out.append(sorted(near))
+    return out
+
+
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """Per row of `docs`: id, matches (array of license, first_shingle, containment; by license), licenses, n_licenses.
 
-    A license matches where at least `least` of its template's shingles stand together;
-    first_shingle is the start of the earliest window that shows it and containment the
-    highest share found. `licenses` joins the names by commas ('' if none). Null and empty
-    texts match nothing; null or repeated ids keep their rows; an empty table gives an
-    empty result; other columns are not read. Templates need `WIDTH` words or more.
+    A license matches where at least `least` of the shingles of one of its templates stand
+    together: as near to a window that retrieved it as the template is long. first_shingle
+    is the start of the earliest such window and containment the highest share found. Of
+    licenses whose templates hold most of one another (BSD with two and three clauses) the
+    one with the highest containment matches, of equal ones the longest. `licenses` joins
+    the names by commas ('' if none). Null and empty texts match nothing; very long texts
+    are scanned whole; null or repeated ids keep their rows; an empty table gives an empty
+    result; other columns are not read. Templates need WIDTH + PIECE - 1 words or more.
     """
-    hashed = [(name, sorted(set(shingle_hashes(template_words(text))))) for name, text in templates]
-    ordered = [shingle_hashes(template_words(text)) for _, text in templates]
-    if any(len(template_words(text)) < WIDTH for _, text in templates):
-        raise ValueError(f"a template has fewer than {WIDTH} words")
-    bands = bands_for(min(least * min(map(len, ordered)), WINDOW) / WINDOW, CERTAINTY)
-    seeds = [signed(xxhash.xxh64_intdigest(f"band {k}", 1)) for k in range(bands)]
-    found: dict[int, set[int]] = {}  # by minimum under a seed: the templates with a window that has it
-    for t, shingles in enumerate(ordered):
-        for start in range(0, max(1, len(shingles) - WINDOW + 1)):
-            for seed in seeds:
-                found.setdefault(min(x ^ seed for x in shingles[start : start + WINDOW]), set()).add(t)
-    minima = sorted(found)
-    longs = lambda values: F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")  # noqa: E731  folded to a literal
-    lists = F.array(*(F.array(*map(F.lit, sorted(found[m]))) for m in minima))
-    own = F.array(*(longs(h) for _, h in hashed))
-    wanted = sorted({x for _, h in hashed for x in h})
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-
-    def candidates(h: Column, w: Column) -> Column:
-        """Templates that share a minimum with window w of the shingles h."""
-        part = F.slice(h, w * STRIDE + 1, F.lit(WINDOW))
-        low = F.transform(longs(seeds), lambda seed: F.array_min(F.transform(part, lambda x: x.bitwiseXOR(seed))))
-        hit = F.filter(low, lambda m: m.isin(minima))
-        return F.array_distinct(F.flatten(F.transform(hit, lambda m: F.element_at(lists, F.array_position(longs(minima), m).cast("int")))))
-
-    def verified(h: Column, w: Column, t: Column) -> Column:
-        size = F.size(F.element_at(own, t + 1))
-        start = F.greatest(w * STRIDE - size, F.lit(0))
-        near = F.slice(h, start + 1, w * STRIDE + WINDOW + size - start)
-        return F.struct(t.alias("t"), (w * STRIDE).alias("at"), (F.size(F.array_intersect(F.element_at(own, t + 1), near)) / size).alias("share"))
+    words = [template_words(text) for _, text in templates]
+    if any(len(w) < WIDTH + PIECE - 1 for w in words):
+        raise ValueError(f"a template has fewer than {WIDTH + PIECE - 1} words")
+    ordered = [shingle_hashes(w) for w in words]
+    sets = [(name, set(h)) for (name, _), h in zip(templates, ordered, strict=True)]
+    bands = bands_for(PIECE / WINDOW, CERTAINTY)
+    slots: list[list[tuple[int, int]]] = [[] for _ in range(SLOTS)]
+    for minimum, found in band_table(ordered, bands).items():
+        slots[minimum % SLOTS] += [(minimum, t) for t in found]
+    minima, owners = (F.array(*(numbers([x[k] for x in s] or [0]) for s in slots)) for k in (0, 1))
+    own = F.array(*(numbers(sorted(h)) for _, h in sets))
+    none = F.array().cast("array<struct<w:int,t:bigint>>")
+
+    def retrieved(h: Column, band: int) -> Column:
+        """(w, t) of the windows whose minimum in this band is that of a window of template t."""
+
+        def at(low: Column, w: Column) -> Column:
+            slot = (F.pmod(low, F.lit(SLOTS)) + 1).cast("int")
+            same = F.filter(F.zip_with(F.element_at(minima, slot), F.element_at(owners, slot), lambda m, t: F.when(m == low, F.struct(w.alias("w"), t.alias("t")))), lambda x: x.isNotNull())
+            return F.when(F.array_contains(F.element_at(minima, slot), low), same).otherwise(none)
+
+        lows = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / STRIDE).cast("int")), lambda w: F.array_min(F.slice(b, w * STRIDE + 1, F.lit(WINDOW))))
+        return F.flatten(F.transform(let(F.transform(h, lambda x: F.xxhash64(x, F.lit(band).cast("bigint"))), lows), at))
+
+    def verified(h: Column, p: Column) -> Column:
+        size = F.size(F.element_at(own, (p["t"] + 1).cast("int")))
+        start = F.greatest(p["w"] * STRIDE - size, F.lit(0))
+        near = F.slice(h, start + 1, p["w"] * STRIDE + WINDOW + size - start)
+        share = F.size(F.array_intersect(F.element_at(own, (p["t"] + 1).cast("int")), near)) / size
+        return F.struct(share.alias("share"), size.alias("size"), (p["w"] * STRIDE).alias("at"), p["t"].alias("t"))
 
     def scan(h: Column) -> Column:
-        near = F.filter(F.transform(h, lambda x, i: F.when(x.isin(wanted), i)), lambda i: i.isNotNull())
-        first = lambda i: F.greatest(F.ceil((i - WINDOW + 1) / STRIDE), F.lit(0)).cast("int")
-        windows = F.array_distinct(F.flatten(F.transform(near, lambda i: F.sequence(first(i), F.greatest(F.floor(i / STRIDE).cast("int"), first(i))))))
-        pairs = F.flatten(F.transform(windows, lambda w: F.transform(candidates(h, w), lambda t: verified(h, w, t))))
-        return F.filter(pairs, lambda p: p.share >= least)
-
-    def summed(pairs: Column) -> Column:
-        each = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p.t)))
-        mine = lambda t: F.filter(pairs, lambda p: p.t == t)
-        names = F.array(*(F.lit(n) for n, _ in templates))
-        return F.transform(each, lambda t: F.struct(F.element_at(names, t + 1).alias("license"), F.array_min(F.transform(mine(t), lambda p: p["at"])).alias("first_shingle"), F.array_max(F.transform(mine(t), lambda p: p.share)).alias("containment")))
+        pairs = F.array_distinct(F.flatten(F.array(*(retrieved(h, band) for band in range(bands)))))
+        return F.when(F.size(h) < PIECE, F.array().cast("array<struct<share:double,size:int,at:int,t:bigint>>")).otherwise(F.filter(F.transform(pairs, lambda p: verified(h, p)), lambda v: v["share"] >= least))
+
+    names = F.array(*(F.lit(n) for n, _ in templates))
+    against = F.array(*(F.array(*map(F.lit, r)).cast("array<string>") for r in rivals(sets, least)))
+    license_of = lambda v: F.element_at(names, (v["t"] + 1).cast("int"))
+
+    def summed(found: Column) -> Column:
+        best = lambda some: F.array_max(F.transform(some, lambda v: F.struct(v["share"], v["size"])))
+        beaten = lambda v: F.exists(found, lambda o: F.array_contains(F.element_at(against, (v["t"] + 1).cast("int")), license_of(o)) & (F.struct(o["share"], o["size"]) > F.struct(v["share"], v["size"])))
+        top = lambda name: best(F.filter(found, lambda v: license_of(v) == name))
+        strongest = F.filter(found, lambda v: (F.struct(v["share"], v["size"]) == top(license_of(v))) & ~beaten(v))
+        each = F.array_sort(F.array_distinct(F.transform(strongest, license_of)))
+        mine = lambda name: F.filter(found, lambda v: license_of(v) == name)
+        return F.transform(each, lambda n: F.struct(n.alias("license"), F.array_min(F.transform(mine(n), lambda v: v["at"])).alias("first_shingle"), F.array_max(F.transform(mine(n), lambda v: v["share"])).alias("containment")))
 
     matches = let(text_shingles(F.coalesce(text_col, F.lit(""))), lambda h: let(scan(h), summed))
     rows = docs.select(F.col(id_col), matches.alias("matches"))
