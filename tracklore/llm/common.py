@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+AT_ONCE = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` under `sf_dir`."""
@@ -49,14 +51,14 @@ def per_row(df: DataFrame, make: Callable[[], Callable[[bytes], tuple]], keys: l
     """Runs a per-text function over Arrow batches.
 
     `make` is called once a task and returns the function; its result fills the columns
-    after `keys` in `schema`. Only `keys` and `text` are read, so extra columns of any
+    after `keys` in `schema`; `AT_ONCE` rows are held at a time. Only `keys` and `text` are read, so extra columns of any
     name do no harm.
     """
     n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, max(1, whole.num_rows), AT_ONCE)):
             made = [each(x) for x in batch.column(n).to_pylist()]
             columns = list(zip(*made, strict=True)) if made else [[] for _ in fields[n:]]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(c, f.type) for c, f in zip(columns, fields[n:], strict=True)], names=[f.name for f in fields])

@@ -14,7 +14,7 @@ from .common import raw_text, staged
 
 GRAINS = 1 << 20
 SAMPLE_BYTES = 256 << 20  # of features that a fit takes at most; beyond it rows are left out by the hash of their order
-REMEMBERED = 1 << 18
+REMEMBERED, AT_ONCE, ROWS = 1 << 18, 4096, 1024
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -46,7 +46,7 @@ def trained(sample: DataFrame, features: Callable[[bytes], tuple], fit: Callable
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             made = [features(raw) for raw in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], names=["order", "label", "ids", "counts"])
 
@@ -86,7 +86,7 @@ def ngram_buckets(words: list[str], shortest: int, longest: int, buckets: int) -
 
 
 class WordRows:
-    """A row of numbers per word, made in bulk when first asked for; forgets all beyond `REMEMBERED` words."""
+    """A row of numbers per word, made `AT_ONCE` at a time when first asked for; forgets all beyond `REMEMBERED` words."""
 
     def __init__(self, width: int, make: Callable[[list], np.ndarray]):
         self.at: dict = {}
@@ -103,7 +103,9 @@ class WordRows:
         start = len(self.at)
         while start + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[start : start + len(new)] = self.make(new)
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            self.rows[start + i : start + i + len(part)] = self.make(part)
         self.at.update(zip(new, range(start, start + len(new)), strict=True))
 
     def of(self, words) -> np.ndarray:
@@ -127,7 +129,8 @@ def in_blocks(texts: list, count: Callable, most: int = 100_000) -> Iterator[lis
 def scored(docs: DataFrame, model, make_scorer: Callable, id_col: str, text_col: str, columns: str, keep: list[str] = ()) -> DataFrame:
     """id, `columns` and kept (a struct of the `keep` columns) per row.
 
-    `make_scorer(model)` gives a function from a list of texts to tuples.
+    `make_scorer(model)` gives a function from a list of texts to tuples; tasks hand it
+    `ROWS` texts at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -136,7 +139,7 @@ def scored(docs: DataFrame, model, make_scorer: Callable, id_col: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make_scorer(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             made = score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)] + [batch.column(2)], names=names)
 
