@@ -81,7 +81,7 @@ def review_sheet(rows: DataFrame, template: str, has_error: str, key: str, seed:
 def event_keys(events: Column, ends: bool = True) -> Column:
     """Distinct keys of events: type and first start, with `ends` also the last end, in tenths."""
     key = lambda e: F.concat_ws(":", e["type"], iv.onset(e["spans"]).cast("string"), *([iv.offset(e["spans"]).cast("string")] if ends else []))
-    return F.array_distinct(F.transform(F.coalesce(events, F.array().cast("array<struct<type:string,spans:array<struct<start_ds:int,end_ds:int>>>>")), key))
+    return F.coalesce(F.array_distinct(F.transform(events, key)), F.array().cast("array<string>"))
 
 
 def set_difference(pairs: DataFrame, gt: str = "gt_keys", pred: str = "pred_keys") -> DataFrame:

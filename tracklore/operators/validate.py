@@ -44,29 +44,30 @@ def outside_clip(df: DataFrame, clips: DataFrame) -> DataFrame:
     return df.join(clips.select("sample_id", "duration_ds"), "sample_id").where(iv.offset(F.col("spans")) > F.col("duration_ds"))
 
 
+def own_rules(df: DataFrame, ident: str, rules: dict[str, Column]) -> DataFrame:
+    """(sample_id, rule, owner_id): the rules that each row breaks by itself, in one pass."""
+    broken = F.filter(F.array(*(F.when(broken, F.lit(rule)) for rule, broken in rules.items())), lambda r: r.isNotNull())
+    return df.select("sample_id", F.explode(broken).alias("rule"), F.col(ident).cast("string").alias("owner_id"))
+
+
 def violations(clips: DataFrame, tracks: DataFrame, events: DataFrame, relations: DataFrame) -> DataFrame:
-    """(sample_id, rule, owner_id) of every violated constraint."""
-    unit = lambda c: ~F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    """(sample_id, rule, owner_id) of every violated constraint.
+
+    What a row breaks by itself is found in one pass per table; repeated ids and missing
+    targets take a count and an anti-join each.
+    """
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    spans, ends = F.col("spans"), lambda df: df.join(clips.select("sample_id", "duration_ds"), "sample_id", "left")
+    late = F.coalesce(iv.offset(spans) > F.col("duration_ds"), F.lit(False))
+    shared = lambda what: {f"{what}_span": F.exists(spans, bad_span), f"{what}_overlap": ~iv.disjoint(spans), f"{what}_confidence": no(F.col("confidence").between(0, 1)), f"{what}_outside": late}
     parts = [
-        found(clips.where(~F.coalesce(F.col("duration_ds") > 0, F.lit(False))), "duration", None),
-        found(events.where(F.size("spans") < 1), "event_without_span", "event_id"),
-        found(events.where(F.exists("spans", bad_span)), "event_span", "event_id"),
-        found(tracks.where(F.exists("spans", bad_span)), "track_span", "track_id"),
-        found(events.where(~iv.disjoint(F.col("spans"))), "event_overlap", "event_id"),
-        found(tracks.where(~iv.disjoint(F.col("spans"))), "track_overlap", "track_id"),
-        found(events.where(~F.coalesce(F.col("event_id").rlike("^E[0-9]+$"), F.lit(False))), "event_id", "event_id"),
-        found(tracks.where(~F.coalesce(F.col("track_id").rlike("^T[0-9]+$"), F.lit(False))), "track_id", "track_id"),
-        found(events.where(~F.coalesce(F.col("type").isin(TYPES), F.lit(False))), "event_type", "event_id"),
-        found(tracks.where(~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))), "track_kind", "track_id"),
-        found(events.where(F.coalesce(F.length("text"), F.lit(0)) < 1), "event_text", "event_id"),
-        found(events.where(unit("confidence")), "event_confidence", "event_id"),
-        found(tracks.where(unit("confidence")), "track_confidence", "track_id"),
+        own_rules(clips.withColumn("none_", F.lit(None).cast("string")), "none_", {"duration": no(F.col("duration_ds") > 0)}),
+        own_rules(ends(events), "event_id", shared("event") | {"event_without_span": F.size(spans) < 1, "event_id": no(F.col("event_id").rlike("^E[0-9]+$")), "event_type": no(F.col("type").isin(TYPES)), "event_text": F.coalesce(F.length("text"), F.lit(0)) < 1}),
+        own_rules(ends(tracks), "track_id", shared("track") | {"track_id": no(F.col("track_id").rlike("^T[0-9]+$")), "track_kind": no(F.col("kind").isin(KINDS))}),
+        own_rules(relations, "event_id", {"relation_predicate": no(F.col("predicate").isin(PREDICATES))}),
         found(repeated_ids(events, "event_id"), "event_repeated", "event_id"),
         found(repeated_ids(tracks, "track_id"), "track_repeated", "track_id"),
         found(dangling_tracks(events, tracks), "event_track", "event_id"),
-        found(outside_clip(events, clips), "event_outside", "event_id"),
-        found(outside_clip(tracks, clips), "track_outside", "track_id"),
-        found(relations.where(~F.coalesce(F.col("predicate").isin(PREDICATES), F.lit(False))), "relation_predicate", "event_id"),
         found(dangling_relations(relations, events), "relation_target", "event_id"),
     ]
     return reduce(DataFrame.unionAll, parts)

@@ -58,8 +58,7 @@ def tag_scan_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyed(spark: SparkSession, d: str) -> DataFrame:
-    key = F.concat_ws(":", "type", F.col("spans")[0]["start_ds"].cast("string"), F.col("spans")[0]["end_ds"].cast("string"))
-    sets = lambda df, name: df.groupBy("sample_id").agg(F.collect_set(key).alias(name))
+    sets = lambda df, name: clips_of(df).select("sample_id", ds.event_keys(F.col("events")).alias(name))
     none = F.array().cast("array<string>")
     rows = sets(b.references(spark, d), "gt_keys").join(sets(b.predictions(spark, d), "pred_keys"), "sample_id", "left")
     return rows.withColumn("pred_keys", F.coalesce("pred_keys", none))
@@ -77,15 +76,16 @@ def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     gt = clips_of(b.references(spark, d)).select("sample_id", tx.slot_caption(F.col("events")).alias("gt_text"))
     pred = clips_of(b.predictions(spark, d)).select("sample_id", tx.slot_caption(F.col("events")).alias("pred_text"))
     rows = keyed(spark, d).join(gt, "sample_id").join(pred, "sample_id")
-    return ds.preference_pairs(rows, "gt_keys", "pred_keys", F.sha2("gt_text", 256), F.length("pred_text").cast("long"))
+    return ds.preference_pairs(rows, "gt_keys", "pred_keys", F.col("gt_text"), F.col("pred_text"))
 
 
 def removal_view(spark: SparkSession, d: str) -> DataFrame:
-    """Each clip of two tracks or more without its first track."""
+    """Each clip of two tracks or more without its first track, and the caption that is left."""
     refs = b.references(spark, d)
-    first = refs.groupBy("sample_id").agg(F.min("track_id").alias("removed"), F.countDistinct("track_id").alias("n")).where("n > 1")
-    kept = refs.join(first, "sample_id").where("track_id <> removed")
-    return kept.groupBy("sample_id", "removed").agg(F.count("*").alias("n_events"))
+    tracks = refs.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_set("track_id")), lambda t: F.struct(t.alias("id"))).alias("tracks"))
+    clips = clips_of(refs).join(tracks, "sample_id").where(F.size("tracks") > 1).withColumn("removed", F.element_at("tracks", 1)["id"])
+    left = ds.without_source(clips, F.col("removed"))
+    return left.select("sample_id", "removed", F.size("tracks").cast("long").alias("n_tracks"), F.size("events").cast("long").alias("n_events"), tx.atomic_caption(F.col("events")).alias("caption"))
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
@@ -189,8 +189,9 @@ SELECT doc_id, item_id, CASE WHEN nx = 0 AND ny = 0 THEN 1.0::DOUBLE WHEN k = 0
     "event_key_diff": f"{KEYS} SELECT sample_id, n_correct, n_halluc, n_omit, error_type FROM diff",
     "error_label": f"{KEYS} SELECT error_type, count(*) AS n FROM diff GROUP BY ALL",
     "preference_pairs": f"{KEYS}, c AS (SELECT sample_id, {SLOTS} AS t FROM refs GROUP BY ALL), r AS (SELECT sample_id, {SLOTS} AS t FROM hyps GROUP BY ALL) "
-    "SELECT d.sample_id, sha256(c.t) AS chosen, length(r.t) AS rejected FROM diff d JOIN c ON c.sample_id = d.sample_id JOIN r ON r.sample_id = d.sample_id WHERE error_type <> 'correct'",
-    "removal_view": f"WITH {sql.REFS}, f AS (SELECT sample_id, min(track_id) AS removed FROM refs GROUP BY ALL HAVING count(DISTINCT track_id) > 1) SELECT r.sample_id, removed, count(*) AS n_events FROM refs r JOIN f ON r.sample_id = f.sample_id WHERE track_id <> removed GROUP BY ALL",
+    "SELECT d.sample_id, c.t AS chosen, r.t AS rejected FROM diff d JOIN c ON c.sample_id = d.sample_id JOIN r ON r.sample_id = d.sample_id WHERE error_type <> 'correct'",
+    "removal_view": f"WITH {sql.REFS}, f AS (SELECT sample_id, min(track_id) AS removed, count(DISTINCT track_id) - 1 AS n_tracks FROM refs GROUP BY ALL HAVING count(DISTINCT track_id) > 1) "
+    f"SELECT r.sample_id, removed, n_tracks, count(*) AS n_events, string_agg({ONE}, '' ORDER BY start_ds, {RANK}, event_id) AS caption FROM refs r JOIN f ON r.sample_id = f.sample_id WHERE track_id <> removed GROUP BY ALL",
     "group_key_sha1": "SELECT conv_id, substr(sha1(array_to_string(list_sort(list(DISTINCT role || '/' || turn)), '|')), 1, 12) AS group_key FROM conversations GROUP BY ALL",
     "group_split": f"WITH g AS (SELECT source, row_number() OVER (ORDER BY {UNIT.format('split-1', 'source')}) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) "
     "SELECT doc_id, d.source, CASE WHEN r <= greatest(1, round_even(n * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS split FROM documents d JOIN g ON d.source = g.source",

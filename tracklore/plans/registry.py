@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import captions, evaluation, generation, signals
+from . import building, captions, evaluation, generation, signals
 
-MODULES = (evaluation, captions, signals, generation)
+MODULES = (evaluation, captions, signals, generation, building)
 
 
 def queries() -> dict:

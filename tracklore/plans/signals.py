@@ -63,12 +63,13 @@ X = "x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(e
 RMS = f"{X}, rms AS (SELECT vec_id, pos // 4 AS pos, sqrt(sum(v * v) / 4) AS v FROM x GROUP BY ALL)"
 MASK = f"{RMS}, mask AS (SELECT vec_id, pos, v > 0.5::DOUBLE * max(v) OVER (PARTITION BY vec_id) AS \"on\" FROM rms)"
 RUNS = f"{MASK}, g AS (SELECT vec_id, pos, pos - row_number() OVER (PARTITION BY vec_id ORDER BY pos) AS g FROM mask WHERE \"on\"), runs AS (SELECT vec_id, min(pos) AS start_ds, max(pos) + 1 AS end_ds FROM g GROUP BY vec_id, g)"
+SPANS = f"""{RUNS}, n AS (SELECT *, CASE WHEN start_ds - lag(end_ds) OVER (PARTITION BY vec_id ORDER BY start_ds) < 3 THEN 0 ELSE 1 END AS new FROM runs),
+i AS (SELECT *, sum(new) OVER (PARTITION BY vec_id ORDER BY start_ds ROWS UNBOUNDED PRECEDING) AS i FROM n), spans AS (SELECT vec_id, min(start_ds) AS start_ds, max(end_ds) AS end_ds FROM i GROUP BY vec_id, i)"""
 ORACLES = {
     "frame_rms": f"WITH {RMS} SELECT vec_id, pos, round(v, 6) AS v FROM rms",
     "activity_mask": f"WITH {MASK} SELECT * FROM mask",
     "mask_runs": f"WITH {RUNS} SELECT * FROM runs",
-    "activity_spans": f"WITH {RUNS}, n AS (SELECT *, CASE WHEN start_ds - lag(end_ds) OVER (PARTITION BY vec_id ORDER BY start_ds) < 3 THEN 0 ELSE 1 END AS new FROM runs), "
-    "i AS (SELECT *, sum(new) OVER (PARTITION BY vec_id ORDER BY start_ds ROWS UNBOUNDED PRECEDING) AS i FROM n) SELECT vec_id, min(start_ds) AS start_ds, max(end_ds) AS end_ds FROM i GROUP BY vec_id, i",
+    "activity_spans": f"WITH {SPANS} SELECT * FROM spans",
     "fade": f"WITH {X} SELECT vec_id, pos, round(v * least(1.0::DOUBLE, pos / 8.0::DOUBLE, (63 - pos) / 8.0::DOUBLE), 6) AS v FROM x",
     "clip_guard": f"WITH {X}, g AS (SELECT vec_id, pos, v * pow(10.0::DOUBLE, 12.0::DOUBLE / 20) AS v FROM x), p AS (SELECT *, max(abs(v)) OVER (PARTITION BY vec_id) AS m FROM g) SELECT vec_id, pos, round(CASE WHEN m > 0.99::DOUBLE THEN v * 0.99::DOUBLE / m ELSE v END, 6) AS v FROM p",
     "echo": f"WITH {X} SELECT vec_id, pos, round(v + coalesce(lag(v, 5) OVER (PARTITION BY vec_id ORDER BY pos), 0) * pow(10.0::DOUBLE, -6.0::DOUBLE / 20), 6) AS v FROM x",

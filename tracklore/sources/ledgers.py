@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ledger import LEDGER_JSON, VERSION
 
@@ -52,13 +53,65 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select(F.explode("samples").alias("s")).select("s.*")
 
 
+def write_report(summary: DataFrame, rows: DataFrame, path: str, name: str = "samples") -> None:
+    """A report as one JSON document: the fields of the one row `summary` and the array `name` of all `rows`.
+
+    A document is one value, so this is for reports that a reader opens whole; of a large
+    corpus write the rows with `write_json_lines` instead.
+    """
+    order = rows.columns[0]
+    samples = rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns)), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)).alias(name))
+    summary.crossJoin(samples).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_strata(strata: DataFrame, path: str) -> None:
+    """Strata (axis, bucket, ..) as one JSON document: axis, then bucket, then measures; a few rows per axis."""
+    measures = [c for c in strata.columns if c not in ("axis", "bucket")]
+    by_axis = strata.groupBy("axis").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", F.struct(*measures).alias("m"))))).alias("buckets"))
+    whole = by_axis.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", F.to_json("buckets").alias("b"))))).alias("all_"))
+    parts = F.transform(F.map_entries("all_"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
+    whole.select(F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_strata(spark: SparkSession, path: str, measures: str) -> DataFrame:
+    """(axis, bucket, ..) of the document that `write_strata` makes; `measures` is a DDL of the measures' fields."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,map<string,struct<{measures}>>>")).alias("axis", "buckets"))
+    return rows.select("axis", F.explode("buckets").alias("bucket", "m")).select("axis", "bucket", "m.*")
+
+
+def listen_list(manifest: DataFrame) -> DataFrame:
+    """(scene_id, template, mixture_path, duration, n_events, first_event_text) to check clips by ear."""
+    events = F.col("target_ledger.events")
+    return manifest.select(F.col("scene.scene_id").alias("scene_id"), F.col("scene.template").alias("template"), "mixture_path", F.col("scene.duration").alias("duration"), F.greatest(F.size(events), F.lit(0)).alias("n_events"), F.coalesce(F.try_element_at(events, F.lit(1))["text"], F.lit("")).alias("first_event_text"))
+
+
 def conditions_of(manifest: DataFrame) -> DataFrame:
-    """Per clip the axes of the strata from `manifest(scene)`."""
-    c = F.col("scene.conditions")
-    return manifest.select(
-        F.col("scene.scene_id").alias("sample_id"), c["t60_sec"].alias("t60_sec"), c["overlap_ratio"].alias("overlap_ratio"), F.col("scene.duration").alias("duration"),
-        F.size("scene.sources").alias("source_count"), F.col("scene.template").alias("template"), c["echo_delay_ms"].alias("echo"),
+    """Per clip the axes of the strata from `manifest(scene, target_ledger)`; the last row of a clip counts.
+
+    What the scene leaves out of t60_sec, overlap_ratio, snr_db and echo comes from the
+    ledger's conditions, if the manifest has any.
+    """
+    has = lambda path, df=manifest: _field(df.schema, path)
+    scene = lambda c: F.col(f"scene.conditions.{c}") if has(f"scene.conditions.{c}") else F.lit(None)
+    target = lambda c: F.col(f"target_ledger.conditions.{c}") if has(f"target_ledger.conditions.{c}") else F.lit(None)
+    top = lambda c: F.col(f"scene.{c}") if has(f"scene.{c}") else F.lit(None)
+    echo = F.coalesce(scene("echo_delay_ms").cast("string"), scene("echo").cast("string"), target("echo").cast("string"))
+    rows = manifest.select(
+        F.col("scene.scene_id").alias("sample_id"), F.coalesce(scene("t60_sec"), target("t60_sec")).cast("double").alias("t60_sec"), F.coalesce(scene("overlap_ratio"), target("overlap_ratio")).cast("double").alias("overlap_ratio"),
+        top("duration").cast("double").alias("duration"), F.greatest(F.size(top("sources")), F.lit(0)).alias("source_count") if has("scene.sources") else F.lit(0).alias("source_count"), top("template").cast("string").alias("template"), echo.alias("echo"),
+        F.coalesce(scene("noise_snr_db"), scene("snr_db"), target("snr_db")).cast("double").alias("snr_db"), scene("codec").cast("string").alias("codec"), F.monotonically_increasing_id().alias("place_"),
     )
+    fields = [c for c in rows.columns if c not in ("sample_id", "place_")]
+    return rows.groupBy("sample_id").agg(F.max_by(F.struct(*fields), "place_").alias("x")).select("sample_id", "x.*")
+
+
+def _field(schema: StructType, path: str) -> bool:
+    """Whether a schema has a nested field."""
+    for name in path.split("."):
+        if not isinstance(schema, StructType) or name not in schema.names:
+            return False
+        schema = schema[name].dataType
+    return True
 
 
 def converted_manifest(mix: DataFrame) -> DataFrame:
