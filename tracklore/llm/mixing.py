@@ -11,8 +11,8 @@ are found from counts over all texts and dealt to the topics; a text belongs to
 whose words it uses most.
 
 Only cells are iterated over, in as few partitions as they need: a few hundred cells lie
-in one, where raking moves nothing. Documents are read three times and joined once with
-the cells.
+in one, where raking moves nothing. Texts are read twice, or three times where columns are
+kept with the sample; documents are joined once with the cells.
 """
 
 from __future__ import annotations
@@ -155,6 +155,8 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame | float], budget: float,
         columns["topic"] = topic_of(F.col(text_col), topic_words(docs, text_col))
     dims = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).alias(d) for d, c in columns.items()]
     rows = docs.select(F.col(id_col), *dims, token_count(F.col(text_col)).alias("tokens"), *([F.struct(*keep).alias("kept")] if keep else []))
+    if not keep:
+        rows = staged(rows)  # a few numbers and words a document, so that texts aren't split again
     cells = staged(rows.groupBy(*columns).agg(F.sum("tokens").alias("tokens")))
     tables = {d: t if isinstance(t, DataFrame) else tempered(cells, d, t) for d, t in targets.items()}
     weighted = probabilities(raked(cells, tables), budget).withColumnRenamed("tokens", "cell_tokens")

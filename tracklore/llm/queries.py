@@ -11,44 +11,54 @@ from .common import table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest id of its component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what was measured on its stored media, read back."""
     return media.media_features(table(spark, sf_dir, "documents"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of tokens and digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language and score."""
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licenses found in it."""
     found = licenses.licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "licenses", "n_licenses")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint, that of its edited text, and both likenesses."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled documents with their cell, weight and probability."""
     sampled = mixing.mixed(table(spark, sf_dir, "documents"), MIX, BUDGET)
     return sampled.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
