@@ -87,6 +87,34 @@ def test_copies_edges(spark):
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows(spark, k):
+    name, stage = cp.STAGES[k]
+    text = "The cat and the dog were here, and the garden of the house was green in the spring of that year. "
+    rows = [(i, text + f"Number {i} of them " * (i % 3), "en", f"s{i % 2}", 9, i, "x", "y") for i in range(12)]
+    rows += [(None, text, None, None, None, None, None, None), (50, None, "en", "s1", None, 1, "x", "y"), (51, "", None, "s1", 0, 1, "x", "y"), (3, *rows[3][1:]), (60, "12 ½ !?", "en", "s1", 7, 1, "x", "y"), (61, text * 2000, "en", "s0", 1, 1, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, raw string, kept string")
+    got = stage(spark, docs, DATA).collect()
+    assert stage(spark, docs.limit(0), DATA).collect() == []
+    if k == 4:
+        assert len(got) == len(rows)
+        assert {r.n_tokens for r in got if r.doc_id in (50, 51)} == {0}
+        return
+    assert all(r.__fields__ == docs.columns for r in got) and len(got) <= len(rows)
+    ids = [r.doc_id for r in got]
+    if name == "language ID":
+        assert {50, 51, 60}.isdisjoint(ids) and None in ids and ids.count(3) == 2
+    if k == 2:
+        assert ids.count(0) == 1 and 3 not in ids and len({50, 51}.intersection(ids)) == 1
+    if k == 3:
+        assert {50, 51}.isdisjoint(ids)
+
+
+def test_run_equals_its_stages(spark, steps):
+    got = sorted(map(tuple, cp.run(spark, DATA).collect()))
+    assert got == sorted(map(tuple, steps[5].collect()))
+
+
 @pytest.fixture(scope="module")
 def steps(spark, tmp_path_factory):
     made = [spark.read.parquet(f"{DATA}/documents.parquet")]
