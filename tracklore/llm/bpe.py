@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, released, staged
+from .common import AT_ONCE, raw_text, released, staged
 
 FREQUENT, SHORT, REMEMBERED, BUCKETS, GROUP = 1 << 18, 64, 1 << 17, 1024, 256
 BETWEEN = "\u0100"  # between byte texts, whose characters are below it
@@ -177,16 +176,10 @@ def by_word(words: pa.Table) -> dict[str, bytes]:
     return {w: flat[a:b] for w, a, b in zip(words.column(0).to_pylist(), ends, ends[1:], strict=False)}
 
 
-LOADED: dict[str, Words] = {}  # of this worker, for the tasks that follow
-
-
-def loaded(name: str, shared) -> Words:
-    if name not in LOADED:
-        pieces, words = shared.value
-        table = pa.ipc.open_stream(words).read_all()
-        LOADED.clear()
-        LOADED[name] = Words(by_word(table), {p: i for i, p in enumerate(pieces)})
-    return LOADED[name]
+def loaded(shared) -> Words:
+    """A task's words; they go with the task, so that workers hold no more than one table."""
+    pieces, words = shared.value
+    return Words(by_word(pa.ipc.open_stream(words).read_all()), {p: i for i, p in enumerate(pieces)})
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -201,11 +194,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, words.schema) as out:
         out.write_table(words)
-    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((pieces, sink.getvalue().to_pybytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, sink.getvalue().to_pybytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids_of = regex.compile(pattern).findall, loaded(name, shared).__getitem__
-        for batch in batches:
+        split, ids_of = regex.compile(pattern).findall, loaded(shared).__getitem__
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, max(1, whole.num_rows), AT_ONCE)):
             each = [b"".join(map(ids_of, split(raw.decode("utf-8", "replace")))) for raw in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32), pa.int32()))
