@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, toxicity
+from . import bpe, fim, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -63,19 +63,44 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with digests of its fill-in-the-middle output and of the text restored from it."""
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 #: Powers that flatten the shares of sources, languages and topics; part of the tokens that is sampled.
 MIX, BUDGET = {"source": 0.5, "lang": 0.7, "topic": 0.5}, 0.5
 
 
+FILL_IN_MIDDLE = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+    CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM texts),
+cut AS (
+  SELECT *, len(tokens) AS n, least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(tokens[1:a], '') AS p, array_to_string(tokens[a + 1:b], '') AS m, array_to_string(tokens[b + 1:], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict:
-    """The queries of the ten operators."""
+    """The queries of the operators."""
     made = (
         op1_simhash_near_dedup, op2_media_columns, op3_byte_bpe, op4_language_id, op5_quality,
-        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing,
+        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing, op13_fill_in_middle,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {}
+    return {"op13_fill_in_middle": FILL_IN_MIDDLE}
