@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import AT_ONCE, raw_text
+from .common import AT_ONCE, raw_text, staged
 
 SHARE, SEED, PLAIN, SPM = 256, 42, 50, 80
 P, S, M = b"<P>", b"<S>", b"<M>"
@@ -178,11 +178,12 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.groupBy("key", "id").agg(F.count("*").alias("times"))
     shares = rows.groupBy("key").agg(F.ceil(F.count("*") / share).alias("shares"))
     seat = F.pmod(F.xxhash64("id"), F.col("shares")).alias("seat")
-    seats = rows.join(shares, "key").groupBy("key", "shares", seat).agg(F.collect_list(F.struct("id", "times")).alias("ids"))
+    seats = staged(rows.join(shares, "key").groupBy("key", "shares", seat).agg(F.collect_list(F.struct("id", "times")).alias("ids")))
     index = text_index(docs, text_col)
-    few = index.withColumn("bounds", boundary_list("raw")).join(seats.where("shares = 1"), "key")
-    spread = index.join(shares.where("shares > 1"), "key").withColumn("bounds", boundary_list("raw"))
+    few = index.join(seats.where("shares = 1"), "key").withColumn("bounds", boundary_list("raw"))  # lists after the join, which keeps the index where it is
+    spread = index.join(seats.where("shares > 1").select("key", "shares").distinct(), "key").withColumn("bounds", boundary_list("raw"))
     spread = spread.select("key", "raw", "bounds", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("seat"))
+    spread = spread.repartition("key", "seat")
     many = spread.join(seats.where("shares > 1").select("key", "seat", "ids"), ["key", "seat"])
     schema = "id string, times bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string" + ", output binary" * keep_output
     cut = lambda joined: joined.select("raw", "bounds", "ids").mapInArrow(lambda batches: cut_each(batches, keep_output), schema)
