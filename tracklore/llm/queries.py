@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, toxicity
+from . import bpe, collocations, fim, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language with their counts and score."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with digests of its fill-in-the-middle output and of the text restored from it."""
     return fim.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -72,6 +77,28 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX, BUDGET = {"source": 0.5, "lang": 0.7, "topic": 0.5}, 0.5
 
 
+PHRASES = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM listed GROUP BY lang),
+starts AS (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM listed, range(1, 6) AS sizes(size)),
+grams AS (SELECT lang, size, array_to_string(words[i : i + size - 1], ' ') AS phrase FROM starts),
+counted AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, a, size, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM counted WHERE size > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score, c.k
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1 : c.k], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1 :], ' ') JOIN totals t ON t.lang = c.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, a, size, string_split(phrase, ' ') AS words, unnest(range(2, size)) AS s FROM counted WHERE size > 2),
+places AS (SELECT lang, a, words, s, unnest(range(1, size - s + 2)) AS i FROM parts),
+inside AS (SELECT lang, array_to_string(words[i : i + s - 1], ' ') AS phrase, max(a) AS longer FROM places GROUP BY 1, 2),
+kept AS (SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 FILL_IN_MIDDLE = r"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 drawn AS (
@@ -96,11 +123,11 @@ def queries() -> dict:
     """The queries of the operators."""
     made = (
         op1_simhash_near_dedup, op2_media_columns, op3_byte_bpe, op4_language_id, op5_quality,
-        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing, op13_fill_in_middle,
+        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing, op12_phrase_collocations, op13_fill_in_middle,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op13_fill_in_middle": FILL_IN_MIDDLE}
+    return {"op12_phrase_collocations": PHRASES, "op13_fill_in_middle": FILL_IN_MIDDLE}
