@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, fim, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, toxicity
+from . import bpe, collocations, fim, fingerprints, html_extract, langid, licenses, media, mixing, quality, simhash, substrings, toxicity
 from .common import table
 
 
@@ -63,6 +63,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled.select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of it without windows of 50 words that a smaller id has."""
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language with their counts and score."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -77,6 +82,24 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX, BUDGET = {"source": 0.5, "lang": 0.7, "topic": 0.5}, 0.5
 
 
+SUBSTRINGS = r"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM listed WHERE len(words) >= 50)),
+least AS (SELECT w, min(doc_id) AS doc_id FROM windows GROUP BY w),
+gone AS (SELECT x.doc_id, x.i FROM windows x JOIN least l ON l.w = x.w AND l.doc_id < x.doc_id),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM listed),
+marked AS (
+  SELECT p.doc_id, p.word, p.i, coalesce(max(CASE WHEN g.i IS NOT NULL THEN 1 END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS covered
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(covered) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (covered = 0), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id)
+SELECT l.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.kept_sha256, sha256('')) AS kept_sha256
+FROM listed l LEFT JOIN kept k ON k.doc_id = l.doc_id
+"""
+
 PHRASES = r"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
@@ -123,11 +146,11 @@ def queries() -> dict:
     """The queries of the operators."""
     made = (
         op1_simhash_near_dedup, op2_media_columns, op3_byte_bpe, op4_language_id, op5_quality,
-        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing, op12_phrase_collocations, op13_fill_in_middle,
+        op6_license_scan, op7_toxicity, op8_document_fingerprints, op9_html_extraction, op10_source_mixing, op11_substring_dedup, op12_phrase_collocations, op13_fill_in_middle,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op12_phrase_collocations": PHRASES, "op13_fill_in_middle": FILL_IN_MIDDLE}
+    return {"op11_substring_dedup": SUBSTRINGS, "op12_phrase_collocations": PHRASES, "op13_fill_in_middle": FILL_IN_MIDDLE}
