@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intervals as iv
 from ..functions.text import token_f1
+from .assign import assigned
 
 LEAST_IOU, TEXT_WEIGHT, TRACK_WEIGHT = 0.3, 0.3, 0.1
 
@@ -46,71 +48,6 @@ def isolated(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("alone", (others("ref") == 1) & (others("hyp") == 1))
 
 
-def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of least total cost, of whole numbers, that use every row; rows <= columns.
-
-    Shortest augmenting paths with potentials.
-    """
-    n, m = cost.shape
-    never = np.iinfo(np.int64).max // 4
-    u, v = np.zeros(n + 1, np.int64), np.zeros(m + 1, np.int64)
-    owner = np.zeros(m + 1, np.int64)  # the row, from 1, that has a column
-    for row in range(1, n + 1):
-        owner[0], at = row, 0
-        reach, came = np.full(m + 1, never), np.zeros(m + 1, np.int64)
-        done = np.zeros(m + 1, bool)
-        while owner[at]:
-            done[at] = True
-            gap = cost[owner[at] - 1] - u[owner[at]] - v[1:]
-            better = ~done[1:] & (gap < reach[1:])
-            reach[1:][better], came[1:][better] = gap[better], at
-            free = np.where(done[1:], never, reach[1:])
-            to = int(np.argmin(free)) + 1
-            step = free[to - 1]
-            u[owner[done]] += step
-            v[done] -= step
-            reach[~done] -= step
-            at = to
-        while at:
-            owner[at], at = owner[came[at]], came[at]
-    return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-
-
-def linked_parts(pairs: list[tuple]) -> list[list[int]]:
-    """Positions of `pairs(ref, hyp)` by the connected part they belong to; the assignment of a part is its own."""
-    top: dict = {}
-
-    def find(x):
-        while top.setdefault(x, x) != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    for r, h in pairs:
-        top[find((0, r))] = find((1, h))
-    parts: dict = {}
-    for k, (r, _) in enumerate(pairs):
-        parts.setdefault(find((0, r)), []).append(k)
-    return list(parts.values())
-
-
-def assigned(pairs: list[tuple], cost: list[int]) -> list[int]:
-    """Positions of the `pairs(ref, hyp)` of one block that match: the most there can be, at the least total cost."""
-    out = []
-    for part in linked_parts(pairs):
-        if len(part) == 1:
-            out += part
-            continue
-        refs, hyps = ({x: i for i, x in enumerate(dict.fromkeys(pairs[k][side] for k in part))} for side in (0, 1))
-        far = 1 + sum(cost[k] for k in part)  # more than any set of pairs costs, so matches count first
-        table = np.full((len(refs), len(hyps)), far, np.int64)
-        at = {(refs[pairs[k][0]], hyps[pairs[k][1]]): k for k in part}
-        for (i, j), k in at.items():
-            table[i, j] = cost[k]
-        chosen = least_cost(table) if len(refs) <= len(hyps) else [(i, j) for j, i in least_cost(table.T)]
-        out += [at[p] for p in chosen if p in at]
-    return sorted(out)
-
-
 def units(cost: Column, *ids: Column | str) -> Column:
     """A cost as a whole number: millionths, then 20 bits by the ids' hash, so that equal totals have one winner."""
     tie = F.conv(F.substring(F.md5(F.concat_ws("/", *ids)), 1, 5), 16, 10).cast("long")
@@ -120,9 +57,8 @@ def units(cost: Column, *ids: Column | str) -> Column:
 def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that match, from rows in order of (sample_id, type) that end in `alone` and the cost in units.
 
-    Rows that are alone match. A batch's last block may go on in the next, so its rows wait.
+    Rows that are alone match.
     """
-    held: pa.Table | None = None
 
     def matching(rows: pa.Table) -> pa.Table:
         alone = rows.column("alone").to_pylist()
@@ -136,28 +72,34 @@ def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep += [block[i][0] for i in assigned([x[1] for x in block], [x[2] for x in block])]
         return rows.take(pa.array(sorted(keep), pa.int64()))
 
+    yield from whole_blocks(batches, matching)
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch], each: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """`each` over rows in order of (sample_id, type), so that no block is cut: a batch's last block waits for the next batch."""
+    held: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
         if not rows.num_rows:
             continue
-        ends = [rows.column(c)[rows.num_rows - 1].as_py() for c in ("sample_id", "type")]
-        start = rows.num_rows  # of the last block
-        samples, kinds = (rows.column(c) for c in ("sample_id", "type"))
-        while start and samples[start - 1].as_py() == ends[0] and kinds[start - 1].as_py() == ends[1]:
-            start -= 1
+        last = np.ones(rows.num_rows, bool)
+        for column in (rows.column("sample_id"), rows.column("type")):
+            last &= pc.equal(column, column[rows.num_rows - 1]).to_numpy()
+        start = rows.num_rows - int(np.argmin(np.r_[last[::-1], False]))
         held = rows.slice(start)
-        yield from matching(rows.slice(0, start)).to_batches()
+        if start:
+            yield from each(rows.slice(0, start)).to_batches()
     if held is not None:
-        yield from matching(held).to_batches()
+        yield from each(held).to_batches()
 
 
 def matches(pairs: DataFrame) -> DataFrame:
     """The matching pairs of `candidates`: per clip and type the most there can be, at the least total cost.
 
     Costs count in millionths; equal totals go by a hash of the event ids. Isolated pairs
-    are known by window counts; the others are solved per connected part of a block, one
-    block after the other in tasks sorted by (clip, type). A part has to fit in memory.
+    are known by window counts; the others are solved on adjacency lists, one block after
+    the other in tasks sorted by (clip, type). A block's pairs have to fit in memory.
     """
     keep = ["sample_id", "type", "ref_event_id", "hyp_event_id", "ref_ord", "hyp_ord", "tiou", "text_sim", "track_match", "cost", "ref_spans", "hyp_spans"]
     marked = isolated(pairs).select(*keep, "alone", units(F.col("cost"), "sample_id", "type", "ref_event_id", "hyp_event_id").alias("units"))
