@@ -23,14 +23,15 @@ from .assign import assigned
 LEAST_IOU, TEXT_WEIGHT, TRACK_WEIGHT = 0.3, 0.3, 0.1
 
 
-def candidates(refs: DataFrame, hyps: DataFrame, least: float = LEAST_IOU, text_weight: float = TEXT_WEIGHT, track_weight: float = TRACK_WEIGHT, similarity: Callable[[Column, Column], Column] = token_f1) -> DataFrame:
+def candidates(refs: DataFrame, hyps: DataFrame, least: float = LEAST_IOU, text_weight: float = TEXT_WEIGHT, track_weight: float = TRACK_WEIGHT, similarity: Callable[[Column, Column], Column] = token_f1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of a reference and a predicted event of one clip and type with enough overlap, and their cost.
 
-    Inputs: sample_id, event_id, ord, type, track_id, text, spans. The cost is the missing
-    IoU, and weighted the missing text similarity and a differing track.
+    Inputs: sample_id, event_id, ord, type, track_id, text, spans; `carry` names columns of
+    `hyps` that go along. The cost is the missing IoU, and weighted the missing text
+    similarity and a differing track.
     """
-    side = lambda df, p: df.select("sample_id", "type", *(F.col(c).alias(f"{p}_{c}") for c in ("event_id", "ord", "track_id", "text", "spans")))
-    r, h = side(refs, "ref"), side(hyps, "hyp")
+    side = lambda df, p, *more: df.select("sample_id", "type", *more, *(F.col(c).alias(f"{p}_{c}") for c in ("event_id", "ord", "track_id", "text", "spans")))
+    r, h = side(refs, "ref"), side(hyps, "hyp", *carry)
     pairs = r.join(h, ["sample_id", "type"]).where((iv.onset(F.col("ref_spans")) < iv.offset(F.col("hyp_spans"))) & (iv.onset(F.col("hyp_spans")) < iv.offset(F.col("ref_spans"))))
     pairs = pairs.withColumn("tiou", iv.iou(F.col("ref_spans"), F.col("hyp_spans"))).where(F.col("tiou") >= least)
     pairs = pairs.withColumn("text_sim", similarity(F.col("ref_text"), F.col("hyp_text"))).withColumn("track_match", F.col("ref_track_id").eqNullSafe(F.col("hyp_track_id")))

@@ -110,13 +110,18 @@ def sample_metrics(clips: DataFrame, refs: DataFrame, hyps: DataFrame, predicted
         F.avg("on").alias("onset_mae"), F.avg("off").alias("offset_mae"), F.percentile("on", F.lit(0.9)).alias("onset_p90"), F.percentile("off", F.lit(0.9)).alias("offset_p90"),
         *(within(k).alias(f"tolerance_acc_{t}") for t, k in TOLERANCES.items()), F.avg(F.col("track_match").cast("double")).alias("pointer_accuracy"),
     ).where("is_clip")
+    return scores(clip)
+
+
+def scores(clip: DataFrame, *keys: str) -> DataFrame:
+    """The metrics of clips from their sums and means, with `keys` in front."""
     n = F.col
     p, r = ratio(n("n_matched"), n("n_hyp")), ratio(n("n_matched"), n("n_ref"))
     sp, sr = ratio(n("tp"), n("tp") + n("fp")), ratio(n("tp"), n("tp") + n("fn"))
     given = lambda c: F.when(n("has"), F.round(c, 6)).otherwise(0.0)
     scored = lambda c, empty: given(F.coalesce(c, F.lit(empty)))
     return clip.select(
-        "sample_id", n("has").alias("has_prediction"), "n_ref", "n_hyp", "n_matched", given(p).alias("event_precision"), given(r).alias("event_recall"), given(f1(p, r)).alias("event_f1"), given(f1(sp, sr)).alias("seg_f1_100ms"),
+        *keys, "sample_id", n("has").alias("has_prediction"), "n_ref", "n_hyp", "n_matched", given(p).alias("event_precision"), given(r).alias("event_recall"), given(f1(p, r)).alias("event_f1"), given(f1(sp, sr)).alias("seg_f1_100ms"),
         *(scored(n(c) / 10, 0.0).alias(c) for c in ("onset_mae", "offset_mae", "onset_p90", "offset_p90")), *(scored(n(f"tolerance_acc_{t}"), 1.0).alias(f"tolerance_acc_{t}") for t in TOLERANCES),
         (n("n_hyp") - n("n_matched")).alias("hallucination"), (n("n_ref") - n("n_matched")).alias("omission"),
         F.abs(n("n_ref_tracks") - n("n_hyp_tracks")).cast("double").alias("source_count_mae"), scored(n("pointer_accuracy"), 1.0).alias("pointer_accuracy"),

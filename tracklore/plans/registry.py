@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import building, captions, evaluation, generation, signals
+from . import building, captions, evaluation, generation, signals, sweeps
 
-MODULES = (evaluation, captions, signals, generation, building)
+MODULES = (evaluation, captions, signals, generation, building, sweeps)
 
 
 def queries() -> dict:
