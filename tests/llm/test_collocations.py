@@ -58,7 +58,7 @@ def test_equals_a_plain_version(spark, rows, limit):
 
 def test_blocks_and_flushes_lose_nothing(spark, rows, monkeypatch):
     docs = spark.createDataFrame(rows, "lang string, text string")
-    monkeypatch.setattr(co, "FLUSH", 50)  # in the driver; tasks that run here don't see it, so the parts are tried directly
+    monkeypatch.setattr(co, "BLOCK", 50)  # in the driver; tasks that run here don't see it, so the parts are tried directly
     text = "aa bb, cc. " * 20 + "no end " * 30
     assert b"".join(co.blocks(text.encode())) == text.encode().translate(co.PLAIN) and len(list(co.blocks(text.encode()))) > 3
     assert result(co.collocations(docs, least=8, longest=3, top=4)) == plainly(rows, 8, 3, 4)

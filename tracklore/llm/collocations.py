@@ -7,16 +7,18 @@ holds the pointers of its prefixes only and grows each to the right depth-first:
 pointers of a prefix are a range, those of its extensions are ranges inside, and a range
 that holds too few occurrences isn't entered.
 
-Pointers with equal words are counted together before they move. A unit that still holds
-more than `limit` of them is dealt again by prefixes one word longer, until it fits; the
-prefixes that were left behind are counted while that is done. So no task holds more than
-`limit` pointers, whatever share of the corpus begins with one word or word pair.
+Pointers with equal words are counted together before they move. There are as many units as
+the words ask for, and words that alone would fill a unit are dealt by pairs of words from
+the start. A unit that still holds more than `limit` pointers is dealt again by prefixes
+one word longer, until it fits; the prefixes that were left behind are counted while that is
+done. So no task holds more than `limit` pointers, whatever share of the corpus begins with
+one word or word pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,11 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import AT_ONCE, raw_text, staged
+from .common import AT_ONCE, raw_text, sized, staged
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-UNITS, LIMIT, FLUSH, SLOTS, SEED = 256, 1_000_000, 4_000_000, 1 << 25, 42
+LIMIT, BLOCK, FLUSH, SLOTS, SEED = 1_000_000, 4_000_000, 16_000_000, 1 << 25, 42
+UNITS, FEWEST, SHARE, LISTED = 256, 256, 4, 100_000
 #: A-Z in lower case, tabs as spaces, and what ends a piece as line feeds.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 POINTERS = "lang string, unit bigint, n bigint, words binary, pointers binary"
@@ -44,12 +47,12 @@ class Ids(dict):
 
 
 def blocks(raw: bytes) -> Iterator[bytes]:
-    """A text in normal form, in blocks of about `FLUSH` bytes that end where a piece does."""
+    """A text in normal form, in blocks of about `BLOCK` bytes that end where a piece does."""
     text, start = raw.translate(PLAIN), 0
     while start < len(text):
         end = len(text)
-        if end - start > FLUSH:
-            end = text.rfind(b"\n", start, start + FLUSH) + 1 or text.find(b"\n", start + FLUSH) + 1 or end
+        if end - start > BLOCK:
+            end = text.rfind(b"\n", start, start + BLOCK) + 1 or text.find(b"\n", start + BLOCK) + 1 or end
         yield text[start:end]
         start = end
 
@@ -138,19 +141,25 @@ def unpacked(n: int, names: bytes, columns: bytes) -> tuple[list[bytes], np.ndar
     return [b"", *unpack(names).split(b" ")], table[:-1].T.astype(np.int32), table[-1].astype(np.int64)
 
 
-def dealt(lang: str, words: list[bytes], pointers: np.ndarray, counts: np.ndarray, depth: int, unit: int = 0) -> Iterator[tuple]:
-    """Rows of `POINTERS`, by the hash of the first `depth` words, below `unit`; `pointers` are sorted and have as many words."""
+def dealt(lang: str, words: list[bytes], pointers: np.ndarray, counts: np.ndarray, depth: int, unit: int = 0, units: int = UNITS, hot: np.ndarray | None = None) -> Iterator[tuple]:
+    """Rows of `POINTERS`, by the hash of the first `depth` words, below `unit`; `pointers` are sorted and have as many words.
+
+    `hot` marks words that lengthen the prefix by the one that follows them.
+    """
     if not len(pointers):
         return
     new = np.r_[True, (pointers[1:, :depth] != pointers[:-1, :depth]).any(axis=1)]
+    if hot is not None:
+        new[1:] |= hot[pointers[1:, depth - 1]] & (pointers[1:, depth] != pointers[:-1, depth])
     seed = xxhash.xxh64_intdigest(lang.encode(), depth)
-    hashes = [xxhash.xxh64_intdigest(b" ".join([words[i] for i in p]), seed) % UNITS for p in pointers[new, :depth].tolist()]
-    units = np.repeat(np.array(hashes), np.diff(np.r_[np.flatnonzero(new), len(pointers)]))
-    order = np.argsort(units, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(units[order]) > 0])
+    length = lambda p: depth + (hot is not None and bool(hot[p[depth - 1]]))
+    hashes = [xxhash.xxh64_intdigest(b" ".join([words[i] for i in p[: length(p)]]), seed) % units for p in pointers[new, : depth + 1].tolist()]
+    units_of_rows = np.repeat(np.array(hashes), np.diff(np.r_[np.flatnonzero(new), len(pointers)]))
+    order = np.argsort(units_of_rows, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(units_of_rows[order]) > 0])
     for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
         rows = order[i:j]
-        yield (lang, unit * UNITS + int(units[rows[0]]), *packed(words, pointers[rows], counts[rows]))
+        yield (lang, unit * units + int(units_of_rows[rows[0]]), *packed(words, pointers[rows], counts[rows]))
 
 
 def batch_of(rows: list[tuple], schema: list[pa.Field]) -> pa.RecordBatch:
@@ -162,12 +171,12 @@ def fields(ddl: str) -> list[pa.Field]:
     return [pa.field(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")]
 
 
-def project(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """From (lang, raw): the pointers of frequent words that a frequent word follows, by their first word."""
+def project(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, hot: np.ndarray, longest: int, units: int) -> Iterator[pa.RecordBatch]:
+    """From (lang, raw): the pointers of frequent words that a frequent word follows, by their first word, or two if the first is hot."""
     schema = fields(POINTERS)
     for lang, words, numbers in numbered(batches):
         slots = slot_of(lang, words)
-        kept = (frequent[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+        kept, filling = ((bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool) for bits in (frequent, hot))
         kept[:2] = False
         numbers = np.where(kept[numbers], numbers, 0)
         at = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
@@ -179,9 +188,9 @@ def project(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, longest: in
             alive &= column > 0
             pointers[:, j] = np.where(alive, column, 0)
         pointers, counts = merged(pointers, np.ones(len(at), np.int64))
-        rows = list(dealt(lang, words, pointers, counts, 1))
-        for i in range(0, len(rows), AT_ONCE):
-            yield batch_of(rows[i : i + AT_ONCE], schema)
+        rows = dealt(lang, words, pointers, counts, 1, 0, units, filling)
+        while some := list(islice(rows, AT_ONCE)):
+            yield batch_of(some, schema)
 
 
 def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[tuple]]]:
@@ -263,11 +272,15 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     counted = texts.mapInArrow(count_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = staged(counted.where((F.col("n") >= least) | F.col("word").isNull()))
     single = counted.where("word IS NOT NULL")
-    slots = word_slots(single)
-    pointers, found = staged(texts.mapInArrow(lambda batches: project(batches, slots, longest), POINTERS)), []
+    total = counted.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    units = FEWEST
+    while units * limit < SHARE * total and units < 1 << 14:
+        units *= 2
+    slots, hot = word_slots(single), word_slots(single.where(F.col("n") * 2 > limit))
+    pointers, found = staged(texts.mapInArrow(lambda batches: project(batches, slots, hot, longest, units), POINTERS)), []
     for depth in range(1, longest + 1):
         large = pointers.groupBy("lang", "unit").agg(F.sum("n").alias("n")).where((F.col("n") > limit) & F.lit(depth < longest)).select("lang", "unit")
-        large = staged(large)
+        large = sized(staged(large), LISTED)
         split = not large.isEmpty()
         fitting = pointers.join(large, ["lang", "unit"], "left_anti") if split else pointers
         sorted_ = lambda df: df.repartition("lang", "unit").sortWithinPartitions("lang", "unit")
