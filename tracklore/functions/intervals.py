@@ -50,16 +50,57 @@ def seconds(tenths: Column) -> Column:
 def merged(spans: Column, gap: int = 0) -> Column:
     """Sorted spans with those joined that overlap, or that are less than `gap` apart.
 
-    With gap 0 spans that only touch stay apart.
+    With gap 0 spans that only touch stay apart. Starts and ends are sorted by themselves:
+    where the start after the i-th is `gap` beyond the i-th end, exactly the first i spans
+    are over, so a joined span ends there. That takes no running state and no copy.
     """
 
+    def joined(all_: Column) -> Column:
+        return let(starts_of(all_), lambda s: let(ends_of(all_), lambda e: let(last_places(s, e), lambda at: F.transform(at, lambda i, k: span(F.get(s, F.coalesce(F.get(at, k - 1) + 1, F.lit(0))), F.get(e, i))))))
+
+    def last_places(s: Column, e: Column) -> Column:
+        return F.filter(places(F.size(s)), lambda i: F.coalesce(F.get(s, i + 1) - F.get(e, i) >= gap, F.lit(True)))
+
+    def one(all_: Column) -> Column:
+        return F.when(F.exists(all_, lambda x: x["start_ds"] >= x["end_ds"]), folded(all_, gap)).otherwise(joined(all_))
+
+    return let(F.coalesce(spans, none()), one)
+
+
+def folded(spans: Column, gap: int) -> Column:
+    """`merged` of spans of which some have no length: one after the other, as starts and ends alone don't tell."""
+
     def step(done: Column, new: Column) -> Column:
         last = F.element_at(done, -1)
         apart = (F.size(done) == 0) | (new["start_ds"] - last["end_ds"] >= gap)
         longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(span(last["start_ds"], F.greatest(last["end_ds"], new["end_ds"]))))
         return F.when(apart, F.concat(done, F.array(new))).otherwise(longer)
 
-    return F.aggregate(F.array_sort(F.coalesce(spans, none())), none(), step)
+    return F.aggregate(F.array_sort(spans), none(), step)
+
+
+def starts_of(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda x: x["start_ds"]))
+
+
+def ends_of(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda x: x["end_ds"]))
+
+
+def places(n: Column) -> Column:
+    """0, 1, .. n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def covered(spans: Column, times: int) -> Column:
+    """Tenths that `times` of the spans or more cover at once.
+
+    Between the i-th end and the next, in order, i spans are over; so `times` are open from
+    the start on that is `times` further.
+    """
+    part = lambda s, e, i: F.get(e, i) - F.greatest(F.coalesce(F.get(e, i - 1), F.get(s, F.lit(0))), F.get(s, i + times - 1))
+    total = lambda s, e: F.aggregate(places(F.size(s) - (times - 1)), F.lit(0), lambda n, i: n + F.greatest(F.lit(0), part(s, e, i)))
+    return let(F.coalesce(spans, none()), lambda all_: let(starts_of(all_), lambda s: let(ends_of(all_), lambda e: total(s, e))))
 
 
 def length(spans: Column) -> Column:
@@ -68,10 +109,10 @@ def length(spans: Column) -> Column:
 
 
 def common(a: Column, b: Column) -> Column:
-    """Length of the intersection of two sets of disjoint spans."""
+    """Length of the intersection of two sets of disjoint spans, which is what is covered twice."""
     shared = lambda s, t: F.greatest(F.lit(0), F.least(s["end_ds"], t["end_ds"]) - F.greatest(s["start_ds"], t["start_ds"]))
-    each = lambda spans: F.aggregate(F.coalesce(a, none()), F.lit(0), lambda n, s: n + F.aggregate(spans, F.lit(0), lambda m, t: m + shared(s, t)))
-    return let(F.coalesce(b, none()), each)
+    both = lambda x, y: F.when((F.size(x) == 1) & (F.size(y) == 1), shared(F.get(x, F.lit(0)), F.get(y, F.lit(0)))).otherwise(covered(F.concat(x, y), 2))
+    return let(F.coalesce(a, none()), lambda x: let(F.coalesce(b, none()), lambda y: both(x, y)))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -98,20 +139,13 @@ def runs(mask: Column) -> Column:
     """Spans of the runs of true in an array of flags: first position and the one after the last."""
 
     def found(m: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            last = F.element_at(state, -1)
-            goes_on = (F.size(state) > 0) & (last["end_ds"] == i)
-            longer = F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(span(last["start_ds"], i + 1)))
-            return F.when(~F.get(m, i), state).when(goes_on, longer).otherwise(F.concat(state, F.array(span(i, i + 1))))
-
-        return F.when(F.size(m) > 0, F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), none(), step)).otherwise(none())
+        edge = lambda by: F.filter(places(F.size(m)), lambda i: F.get(m, i) & ~F.coalesce(F.get(m, i + by), F.lit(False)))
+        return F.zip_with(edge(-1), edge(1), lambda first, last: span(first, last + 1))
 
     return let(mask, found)
 
 
 def overlap_ratio(spans_by_source: Column, duration: Column) -> Column:
     """Share of a clip's tenths in which two sources or more are active: array of span arrays."""
-    frames = F.flatten(F.transform(spans_by_source, lambda spans: F.flatten(F.transform(merged(spans), lambda s: F.when(s["end_ds"] > s["start_ds"], F.sequence(s["start_ds"], s["end_ds"] - 1)).otherwise(F.array().cast("array<int>"))))))
-    # of sorted frames, those that equal the one before and not the one before that
-    again = lambda f: F.size(F.array_distinct(F.filter(F.transform(f, lambda x, i: F.when(x == F.get(f, i - 1), x)), lambda x: x.isNotNull())))
-    return F.when(duration > 0, F.round(let(F.array_sort(frames), again) / duration, 6)).otherwise(F.lit(0.0))
+    each = F.flatten(F.transform(spans_by_source, lambda spans: F.filter(merged(spans), lambda s: s["end_ds"] > s["start_ds"])))
+    return F.when(duration > 0, F.round(covered(each, 2) / duration, 6)).otherwise(F.lit(0.0))

@@ -72,12 +72,35 @@ def top_per_stratum(rows: DataFrame, strata: list[str], order: list[Column], k:
 
 
 def review_sheet(rows: DataFrame, template: str, has_error: str, key: str, seed: str, errors: int = 2, correct: int = 3, total: int = 50) -> DataFrame:
-    """Per template at most `errors` clips with an error and `correct` without, errors first, `total` in all."""
+    """Per template at most `errors` clips with an error and `correct` without, errors first, `total` in all.
+
+    The larger of the two numbers is a constant limit on the rank, which Spark applies
+    within partitions before the shuffle.
+    """
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(template, has_error).orderBy(uniform(F.col(key).cast("string"), seed), key)))
-    kept = ranked.where(F.col("rank") <= F.when(F.col(has_error), errors).otherwise(correct))
+    kept = ranked.where(F.col("rank") <= max(errors, correct)).where(F.col("rank") <= F.when(F.col(has_error), errors).otherwise(correct))
     return kept.orderBy(F.col(has_error).desc(), template, "rank", key).limit(total)
 
 
+def fill_quotas(rows: DataFrame, stratum: str, quotas: dict[str, int], key: str, seed: str, bins: int = 1 << 14) -> DataFrame:
+    """The first rows of each stratum of `quotas` by the hash of their key, as many as its quota, or all if it has fewer.
+
+    A stratum may hold any share of the rows: they are counted by bins of the hash, running
+    sums over the bins tell which bins are taken whole, and only the bin in which a quota
+    ends is put in order. Rows of equal key go by the hash of all their columns.
+    """
+    u = uniform(F.col(key).cast("string"), seed)
+    wanted = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
+    dealt = rows.withColumns({"u__": u, "quota__": wanted[F.col(stratum)]}).where("quota__ IS NOT NULL").withColumn("bin__", F.floor(F.col("u__") * bins))
+    counts = dealt.groupBy(stratum, "bin__", "quota__").agg(F.count("*").alias("n__"))
+    before = F.coalesce(F.sum("n__").over(Window.partitionBy(stratum).orderBy("bin__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `bins` rows of a stratum
+    left = counts.withColumn("left__", F.col("quota__") - before).where("left__ > 0").select(stratum, "bin__", "n__", "left__")
+    taken = dealt.drop("quota__").join(F.broadcast(left), [stratum, "bin__"])  # at most bins x quotas rows
+    order = Window.partitionBy(stratum, "bin__").orderBy("u__", F.xxhash64(*rows.columns))
+    last = taken.where("left__ < n__").withColumn("rank__", F.row_number().over(order)).where("rank__ <= left__")
+    return taken.where("left__ >= n__").select(*rows.columns).union(last.select(*rows.columns))
+
+
 def event_keys(events: Column, ends: bool = True) -> Column:
     """Distinct keys of events: type and first start, with `ends` also the last end, in tenths."""
     key = lambda e: F.concat_ws(":", e["type"], iv.onset(e["spans"]).cast("string"), *([iv.offset(e["spans"]).cast("string")] if ends else []))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import building, captions, evaluation, generation, signals, sweeps, speech, reliability
+from . import building, captions, evaluation, generation, signals, sweeps, speech, reliability, curation
 
-MODULES = (evaluation, captions, signals, generation, building, sweeps, speech, reliability)
+MODULES = (evaluation, captions, signals, generation, building, sweeps, speech, reliability, curation)
 
 
 def queries() -> dict:
