@@ -48,8 +48,10 @@ def rows():
     return out + out[:9] + [("en", "x " * 3000), ("fr", "once upon a time")]
 
 
+@pytest.mark.parametrize("known", [0, co.KNOWN])
 @pytest.mark.parametrize("limit", [20, 400, co.LIMIT])
-def test_equals_a_plain_version(spark, rows, limit):
+def test_equals_a_plain_version(spark, rows, limit, known, monkeypatch):
+    monkeypatch.setattr(co, "KNOWN", known)  # words that rows bring, or that are broadcast
     docs = spark.createDataFrame([(lang, text, "clash", 3) for lang, text in rows], "lang string, text string, phrase string, n int")
     want = plainly(rows, 8)
     assert len(want) > 50
@@ -74,6 +76,8 @@ def test_parts_of_pointers_can_be_packed_and_merged():
     words = [b"", b"a", "é".encode(), b"c", b"d"]
     names, again, n = co.unpacked(*co.packed(words, rows, counts))
     assert [[names[i] for i in x] for x in again.tolist()] == [[words[i] for i in x] for x in rows.tolist()] and (n == counts).all()
+    names, again, n = co.unpacked(*co.packed(words, rows, counts, True), words)
+    assert names is words and (again == rows).all() and (n == counts).all()
     full = rows[(rows > 0).all(axis=1)]
     names, again, _ = co.unpacked(*co.packed(words, full, counts[: len(full)]))
     assert [[names[i] for i in x] for x in again.tolist()] == [[words[i] for i in x] for x in full.tolist()]

@@ -31,7 +31,7 @@ from .common import AT_ONCE, raw_text, sized, staged
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 LIMIT, BLOCK, FLUSH, SLOTS, SEED = 1_000_000, 4_000_000, 16_000_000, 1 << 25, 42
-UNITS, FEWEST, SHARE, LISTED = 256, 256, 4, 100_000
+UNITS, FEWEST, SHARE, LISTED, KNOWN = 256, 256, 4, 100_000, 1 << 20
 #: A-Z in lower case, tabs as spaces, and what ends a piece as line feeds.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 POINTERS = "lang string, unit bigint, n bigint, words binary, pointers binary"
@@ -124,24 +124,32 @@ def merged(pointers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return pointers[order[starts]], np.add.reduceat(counts[order], starts)
 
 
-def packed(words: list[bytes], pointers: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Number of pointers, the words they use, and their words' places and counts by column."""
-    used, places = np.unique(pointers, return_inverse=True)
-    shift = int(used[0] != 0)  # place 0 is no word
-    names = b" ".join(words[i] for i in used[1 - shift :].tolist())
-    columns = np.vstack([(places + shift).reshape(pointers.shape).T, counts[None]]).astype("<u4")
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return len(pointers), pack(names), pack(columns.tobytes())
-
+def packed(words: list[bytes], pointers: np.ndarray, counts: np.ndarray, shared: bool = False) -> tuple[int, bytes, bytes]:
+    """Number of pointers, the words they use, and their words' places and counts, by column and byte.
 
-def unpacked(n: int, names: bytes, columns: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words (the first of them none), pointers as places among them, counts."""
+    If all tasks share the words, there are none to pack and places are those of `words`.
+    """
+    pack = zstandard.ZstdCompressor(level=1).compress
+    names = b""
+    if not shared:
+        used, places = np.unique(pointers, return_inverse=True)
+        shift = int(used[0] != 0)  # place 0 is no word
+        names = pack(b" ".join(words[i] for i in used[1 - shift :].tolist()))
+        pointers = (places + shift).reshape(pointers.shape)
+    columns = np.ascontiguousarray(np.vstack([pointers.T, counts[None]]).astype("<u4"))
+    planes = columns.view(np.uint8).reshape(len(columns), -1, 4).transpose(0, 2, 1)
+    return len(pointers), names, pack(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(n: int, names: bytes, columns: bytes, words: list[bytes] | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words (the first of them none), pointers as places among them, counts; `words` are those that all tasks share."""
     unpack = zstandard.ZstdDecompressor().decompress
-    table = np.frombuffer(unpack(columns), "<u4").reshape(-1, n)
-    return [b"", *unpack(names).split(b" ")], table[:-1].T.astype(np.int32), table[-1].astype(np.int64)
+    planes = np.frombuffer(unpack(columns), np.uint8).reshape(-1, 4, n).transpose(0, 2, 1)
+    table = np.ascontiguousarray(planes).view("<u4")[..., 0]
+    return words or [b"", *unpack(names).split(b" ")], table[:-1].T.astype(np.int32), table[-1].astype(np.int64)
 
 
-def dealt(lang: str, words: list[bytes], pointers: np.ndarray, counts: np.ndarray, depth: int, unit: int = 0, units: int = UNITS, hot: np.ndarray | None = None) -> Iterator[tuple]:
+def dealt(lang: str, words: list[bytes], pointers: np.ndarray, counts: np.ndarray, depth: int, unit: int = 0, units: int = UNITS, hot: np.ndarray | None = None, shared: bool = False) -> Iterator[tuple]:
     """Rows of `POINTERS`, by the hash of the first `depth` words, below `unit`; `pointers` are sorted and have as many words.
 
     `hot` marks words that lengthen the prefix by the one that follows them.
@@ -159,7 +167,7 @@ def dealt(lang: str, words: list[bytes], pointers: np.ndarray, counts: np.ndarra
     starts = np.flatnonzero(np.r_[True, np.diff(units_of_rows[order]) > 0])
     for i, j in zip(starts, [*starts[1:], len(order)], strict=True):
         rows = order[i:j]
-        yield (lang, unit * units + int(units_of_rows[rows[0]]), *packed(words, pointers[rows], counts[rows]))
+        yield (lang, unit * units + int(units_of_rows[rows[0]]), *packed(words, pointers[rows], counts[rows], shared))
 
 
 def batch_of(rows: list[tuple], schema: list[pa.Field]) -> pa.RecordBatch:
@@ -171,14 +179,37 @@ def fields(ddl: str) -> list[pa.Field]:
     return [pa.field(x.split()[0], kinds[x.split()[1]]) for x in ddl.split(", ")]
 
 
-def project(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, hot: np.ndarray, longest: int, units: int) -> Iterator[pa.RecordBatch]:
-    """From (lang, raw): the pointers of frequent words that a frequent word follows, by their first word, or two if the first is hot."""
-    schema = fields(POINTERS)
+def shared_words(frequent: DataFrame, limit: int) -> dict[str, tuple[list[bytes], int]] | None:
+    """Per language its frequent words, the most frequent first behind none, and how many of them are hot; None if all are more than `KNOWN`."""
+    if frequent.count() > KNOWN:
+        return None
+    rows = frequent.orderBy("lang", F.desc("n"), "word").toArrow()
+    out: dict[str, tuple[list[bytes], int]] = {}
+    for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+        words, hot = out.get(lang, ([b""], 0))
+        words.append(word.encode())
+        out[lang] = (words, hot + (2 * n > limit))
+    return out
+
+
+def project(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None, hot: np.ndarray | None, shared, longest: int, units: int) -> Iterator[pa.RecordBatch]:
+    """From (lang, raw): the pointers of frequent words that a frequent word follows, by their first word, or two if the first is hot.
+
+    Words are known from the broadcast `shared`, or else by the bits of `frequent` and `hot`.
+    """
+    schema, known = fields(POINTERS), {}
     for lang, words, numbers in numbered(batches):
-        slots = slot_of(lang, words)
-        kept, filling = ((bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool) for bits in (frequent, hot))
-        kept[:2] = False
-        numbers = np.where(kept[numbers], numbers, 0)
+        if shared:
+            all_, many = shared.value.get(lang, ([b""], 0))
+            places = known.setdefault(lang, {w: i for i, w in enumerate(all_)} if lang not in known else None)
+            kept = np.fromiter((places.get(w, 0) for w in words), np.int32, len(words))
+            kept[:2] = 0
+            numbers, words, filling = kept[numbers], all_, np.arange(len(all_)) <= many
+        else:
+            slots = slot_of(lang, words)
+            kept, filling = ((bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool) for bits in (frequent, hot))
+            kept[:2] = False
+            numbers = np.where(kept[numbers], numbers, 0)
         at = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
         padded = np.r_[numbers, np.zeros(longest, np.int32)]
         pointers = np.empty((len(at), longest), np.int32)
@@ -188,40 +219,40 @@ def project(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, hot: np.nda
             alive &= column > 0
             pointers[:, j] = np.where(alive, column, 0)
         pointers, counts = merged(pointers, np.ones(len(at), np.int64))
-        rows = dealt(lang, words, pointers, counts, 1, 0, units, filling)
+        rows = dealt(lang, words, pointers, counts, 1, 0, units, filling, bool(shared))
         while some := list(islice(rows, AT_ONCE)):
             yield batch_of(some, schema)
 
 
-def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[tuple]]]:
+def units_of(batches: Iterator[pa.RecordBatch], shared) -> Iterator[tuple[tuple[str, int], Iterator[tuple]]]:
     """Runs of rows of one (lang, unit), as unpacked pointers."""
     rows = ((x["lang"], x["unit"], x["n"], x["words"], x["pointers"]) for batch in batches for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist())
     for key, run in groupby(rows, key=lambda x: x[:2]):
-        yield key, (unpacked(*x[2:]) for x in run)
+        yield key, (unpacked(*x[2:], shared.value[x[0]][0] if shared else None) for x in run)
 
 
-def gathered(run: Iterator[tuple], limit: int | None = None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """The merged pointers of a run; with a limit, in parts of about as many distinct ones."""
+def gathered(run: Iterator[tuple], same: bool, limit: int | None = None) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """The merged pointers of a run, whose rows have the same words or not; with a limit, in parts of about as many distinct ones."""
     ids, parts, counts, held = Ids({b"": 0}), [], [], 0
+    names = lambda: words if same else list(ids)
 
     def joined():
         return merged(np.concatenate(parts), np.concatenate(counts))
 
     for words, pointers, n in run:
-        places = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
-        parts.append(places[pointers])
+        parts.append(pointers if same else np.fromiter(map(ids.__getitem__, words), np.int32, len(words))[pointers])
         counts.append(n)
         held += len(n)
         if held >= 2 * (limit or LIMIT):
             both = joined()
             if limit and len(both[0]) >= limit:
-                yield list(ids), *both
+                yield names(), *both
                 ids, parts, counts, held = Ids({b"": 0}), [], [], 0
             else:
                 parts, counts = [both[0]], [both[1]]
                 held = len(both[0]) if limit else 0
     if parts:
-        yield list(ids), *joined()
+        yield names(), *joined()
 
 
 def grown(words: list[bytes], pointers: np.ndarray, counts: np.ndarray, least: int, shortest: int) -> Iterator[tuple[str, int, int]]:
@@ -243,22 +274,22 @@ def grown(words: list[bytes], pointers: np.ndarray, counts: np.ndarray, least: i
                 todo.append((int(starts[i]), int(ends[i]), phrase, size + 1))
 
 
-def mine(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[pa.RecordBatch]:
+def mine(batches: Iterator[pa.RecordBatch], depth: int, least: int, shared) -> Iterator[pa.RecordBatch]:
     """The frequent phrases of units, whose prefixes have `depth` words."""
     schema = fields(PHRASES)
-    for (lang, _), run in units_of(batches):
-        for words, pointers, counts in gathered(run):
+    for (lang, _), run in units_of(batches, shared):
+        for words, pointers, counts in gathered(run, bool(shared)):
             rows = [(lang, *x) for x in grown(words, pointers, counts, least, max(2, depth))]
             for i in range(0, len(rows), 10_000):
                 yield batch_of(rows[i : i + 10_000], schema)
 
 
-def lengthen(batches: Iterator[pa.RecordBatch], depth: int, limit: int) -> Iterator[pa.RecordBatch]:
+def lengthen(batches: Iterator[pa.RecordBatch], depth: int, limit: int, shared) -> Iterator[pa.RecordBatch]:
     """Deals units again by prefixes of one word more; also partial counts of the prefixes of `depth` words, if 2 or more."""
     schema = fields(f"{POINTERS}, {PHRASES.split(', ', 1)[1]}")
-    for (lang, unit), run in units_of(batches):
-        for words, pointers, counts in gathered(run, limit):
-            rows = [(*x, None, None, None) for x in dealt(lang, words, pointers[pointers[:, depth] > 0], counts[pointers[:, depth] > 0], depth + 1, unit)]
+    for (lang, unit), run in units_of(batches, shared):
+        for words, pointers, counts in gathered(run, bool(shared), limit):
+            rows = [(*x, None, None, None) for x in dealt(lang, words, pointers[pointers[:, depth] > 0], counts[pointers[:, depth] > 0], depth + 1, unit, shared=bool(shared))]
             if depth > 1:
                 heads, sums = merged(pointers[:, :depth], counts)
                 rows += [(lang, None, None, None, None, b" ".join([words[i] for i in p]).decode("utf-8", "replace"), depth, n) for p, n in zip(heads.tolist(), sums.tolist(), strict=True)]
@@ -276,19 +307,23 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     units = FEWEST
     while units * limit < SHARE * total and units < 1 << 14:
         units *= 2
-    slots, hot = word_slots(single), word_slots(single.where(F.col("n") * 2 > limit))
-    pointers, found = staged(texts.mapInArrow(lambda batches: project(batches, slots, hot, longest, units), POINTERS)), []
+    shared, slots, hot = shared_words(single, limit), None, None
+    if shared is None:  # more words than can be broadcast: rows bring their own
+        slots, hot = word_slots(single), word_slots(single.where(F.col("n") * 2 > limit))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(shared)
+    pointers, found = staged(texts.mapInArrow(lambda batches: project(batches, slots, hot, shared, longest, units), POINTERS)), []
     for depth in range(1, longest + 1):
         large = pointers.groupBy("lang", "unit").agg(F.sum("n").alias("n")).where((F.col("n") > limit) & F.lit(depth < longest)).select("lang", "unit")
         large = sized(staged(large), LISTED)
         split = not large.isEmpty()
         fitting = pointers.join(large, ["lang", "unit"], "left_anti") if split else pointers
         sorted_ = lambda df: df.repartition("lang", "unit").sortWithinPartitions("lang", "unit")
-        found.append(sorted_(fitting).mapInArrow(lambda batches, depth=depth: mine(batches, depth, least), PHRASES))
+        found.append(sorted_(fitting).mapInArrow(lambda batches, depth=depth: mine(batches, depth, least, shared), PHRASES))
         if not split:
             break
         longer = sorted_(pointers.join(large, ["lang", "unit"], "left_semi"))
-        longer = staged(longer.mapInArrow(lambda batches, depth=depth: lengthen(batches, depth, limit), f"{POINTERS}, {PHRASES.split(', ', 1)[1]}"))
+        longer = staged(longer.mapInArrow(lambda batches, depth=depth: lengthen(batches, depth, limit, shared), f"{POINTERS}, {PHRASES.split(', ', 1)[1]}"))
         found.append(longer.where("unit IS NULL").select("lang", "phrase", "size", "a"))
         pointers = longer.where("unit IS NOT NULL").select(*pointers.columns)
     phrases = single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("a"))
