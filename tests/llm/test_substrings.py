@@ -45,6 +45,7 @@ def made(seed: int, n: int = 150) -> list[tuple]:
             p = r.choice(passages)
             parts += some(r.randint(0, 25)) + p[r.randint(0, 6) :][: r.randint(3, 40)]
         rows.append((r.choice([i, i, i, r.randint(0, n), None]), r.choice([" ", "\n", " \t "]).join(parts)))
+    rows += [(30_000 + i, "z " * r.randint(9, 90) + "y " * r.randint(0, 30) + "ab cd " * r.randint(0, 40)) for i in range(6)]  # the same windows over and over
     rows += rows[:5] + [(10_000 + i, rows[0][1]) for i in range(20)] + [(20_000 + i, f"{rows[2][1]} end {i}") for i in range(20)]
     rows += [(1, None), (2, ""), (3, " \n "), (None, None)]
     r.shuffle(rows)

@@ -21,14 +21,15 @@ passage that any number of texts share shrinks to one member. Halving ends when
 is the window itself.
 
 Anchors that only one distinct text has can't belong to a repeat. They are counted first,
-with 16 bytes each, and their members are never made.
+with a few numbers each, and their members are never made.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,25 @@ def runs_of(texts: list[list[bytes]], window: int) -> list[tuple[int, int, int,
     return list(zip(text.tolist(), values[anchor].view(np.int64).tolist(), start.tolist(), top.tolist(), count.tolist(), strict=True))
 
 
+def distinct_runs(texts: list[list[bytes]], window: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(text, hash, distance to the anchor, windows, first windows) of the runs of each text, those of equal words together.
+
+    A text that repeats itself, a word or a line over and over, has the same run at many places.
+    """
+    by: dict[tuple, list[int]] = {}
+    for text, h, start, top, n in runs_of(texts, window):
+        by.setdefault((text, h, top, n), []).append(start)
+    for (text, h, top, n), starts in by.items():
+        if len(starts) == 1:
+            yield text, h, top, n, starts
+            continue
+        same: dict[bytes, list[int]] = {}
+        for i in starts:
+            same.setdefault(b" ".join(texts[text][i : i + n + window - 1]), []).append(i)
+        for some in same.values():
+            yield text, h, top, n, some
+
+
 def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     """Columns of some rows at a time."""
     for whole in batches:
@@ -106,12 +126,12 @@ def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """From (key, t, raw): (h, t), the distinct anchors of each text whose key the task hasn't seen."""
+    """From (key, t, raw): (h, t, n), the anchors of each text whose key the task hasn't seen, and how many distinct runs have them."""
     seen: set[bytes] = set()
     for keys, names, raws in in_slices(batches):
         new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-        found = {(h, names[new[text]]) for text, h, *_ in runs_of([raws[i].split() for i in new], window)}
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["h", "t"])
+        found = Counter((h, names[new[text]]) for text, h, *_ in distinct_runs([raws[i].split() for i in new], window))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)] + [pa.array(list(found.values()), pa.int64())], names=["h", "t", "n"])
 
 
 def member_rows(batches: Iterator[pa.RecordBatch], window: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -119,16 +139,18 @@ def member_rows(batches: Iterator[pa.RecordBatch], window: int, kind: pa.DataTyp
     for keys, raws, ids, marks in in_slices(batches):
         texts = [x.split() for x in raws]
         wanted = [set(x) for x in marks]
-        rows = [(h, 0, window - gram_of(window), ids[i], keys[i], start, top, n, b" ".join(texts[i][start : start + n + window - 1])) for i, h, start, top, n in runs_of(texts, window) if h in wanted[i]]
-        yield member_batch(rows, kind)
+        runs = (x for x in distinct_runs(texts, window) if x[1] in wanted[x[0]])
+        while some := list(islice(runs, CHUNK)):
+            rows = [(h, 0, window - gram_of(window), ids[i], keys[i], starts, top, n, b" ".join(texts[i][starts[0] : starts[0] + n + window - 1])) for i, h, top, n, starts in some]
+            yield member_batch(rows, kind)
 
 
 def member_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), kind, pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), kind, pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=MEMBER)
 
 
-MEMBER = ["g", "a", "b", "id", "key", "start", "top", "n", "words"]
+MEMBER = ["g", "a", "b", "id", "key", "starts", "top", "n", "words"]
 
 
 def halved(batches: Iterator[pa.RecordBatch], window: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -139,7 +161,7 @@ def halved(batches: Iterator[pa.RecordBatch], window: int, kind: pa.DataType) ->
     """
     for columns in in_slices(batches):
         rows = []
-        for g, a, b, ident, key, start, top, n, joined in zip(*columns, strict=True):
+        for g, a, b, ident, key, starts, top, n, joined in zip(*columns, strict=True):
             words, middle = joined.split(b" "), (a + b) // 2
             for low, high in ((a, middle), (middle + 1, b)):
                 first, last = min(top, high), max(top - n + 1, low)  # distances of the half's windows in this member
@@ -148,7 +170,7 @@ def halved(batches: Iterator[pa.RecordBatch], window: int, kind: pa.DataType) ->
                 prefix = words[top - low : top + window - high]
                 group = xxhash.xxh64_intdigest(b" ".join([str((g, low, high)).encode(), *prefix]), SEED) - (1 << 63)
                 count = first - last + 1
-                rows.append((group, low, high, ident, key, start + top - first, first, count, b" ".join(words[top - first : top - first + count + window - 1])))
+                rows.append((group, low, high, ident, key, [x + top - first for x in starts], first, count, b" ".join(words[top - first : top - first + count + window - 1])))
         yield member_batch(rows, kind)
 
 
@@ -208,15 +230,17 @@ def decide(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
     def ranges(rows: list[dict]) -> pa.RecordBatch:
         column = lambda k: np.array([r[k] for r in rows], np.int64)
-        start, top = column("start"), column("top")
+        top = column("top")
         member, distance = repeats([r["g"] for r in rows], [r["id"] for r in rows], top, column("n"), [r["words"] for r in rows], window)
-        at = start[member] + top[member] - distance
-        order = np.lexsort([at, member])
-        member, at = member[order], at[order]
-        new = np.flatnonzero(np.r_[True, (member[1:] != member[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
-        last = np.r_[new[1:], len(at)] - 1 if len(at) else new
-        keys = [rows[i]["key"] for i in member[new].tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at[new], pa.int32()), pa.array(at[last] + window, pa.int32())], names=["key", "start", "stop"])
+        found: list[tuple] = []
+        order = np.lexsort([-distance, member])
+        for m, some in groupby(zip(member[order].tolist(), (top[member] - distance)[order].tolist(), strict=True), key=lambda x: x[0]):
+            offsets = np.array([x for _, x in some])
+            begins = np.add.outer(np.array(rows[m]["starts"]), offsets).ravel()  # of repeated windows
+            begins.sort()
+            new = np.flatnonzero(np.r_[True, np.diff(begins) > window])
+            found += zip([rows[m]["key"]] * len(new), begins[new].tolist(), (begins[np.r_[new[1:], len(begins)] - 1] + window).tolist(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.int32()))], names=["key", "start", "stop"])
 
     held: list[dict] = []
     rows = (x for batch in batches for i in range(0, batch.num_rows, AT_ONCE) for x in batch.slice(i, AT_ONCE).to_pylist())
@@ -256,13 +280,13 @@ def spans_of(docs: DataFrame, ident, text_col: str, window: int, limit: int) ->
     raw = raw_text(text_col)
     keyed = docs.select(F.unhex(F.sha2(raw, 256)).alias("key"), ident.alias("id"), raw.alias("raw"))
     id_type = keyed.schema["id"].dataType
-    kind, schema = to_arrow_type(id_type), f"g bigint, a int, b int, id {id_type.simpleString()}, key binary, start int, top int, n int, words binary"
+    kind, schema = to_arrow_type(id_type), f"g bigint, a int, b int, id {id_type.simpleString()}, key binary, starts array<int>, top int, n int, words binary"
     order = F.struct(F.col("id").isNull().alias("none"), "id")
     first = keyed.groupBy("key").agg(F.min(order).alias("least"))
 
-    anchors = keyed.select("key", F.xxhash64("key").alias("t"), "raw").mapInArrow(lambda batches: anchor_rows(batches, window), "h bigint, t bigint")
+    anchors = keyed.select("key", F.xxhash64("key").alias("t"), "raw").mapInArrow(lambda batches: anchor_rows(batches, window), "h bigint, t bigint, n bigint")
     anchors = staged(anchors.distinct())
-    shared = anchors.groupBy("h").agg(F.count("*").alias("members")).where("members > 1")
+    shared = anchors.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("members")).where("texts > 1")
     marks = anchors.join(shared, "h").groupBy("t").agg(F.collect_list(F.struct("h", "members")).alias("marks"))
     texts = staged(first.withColumn("t", F.xxhash64("key")).join(marks, "t", "left").drop("t"))
 
@@ -282,7 +306,8 @@ def spans_of(docs: DataFrame, ident, text_col: str, window: int, limit: int) ->
             same = ["g", "top", "n", "words"]
             classes = staged(large.groupBy(*same).agg(F.min(order).alias("least")))
             ranked = large.join(classes, same)
-            found.append(staged(ranked.where(order > F.col("least")).select("key", "start", (F.col("start") + F.col("n") + window - 1).alias("stop"))))
+            covered = ranked.where(order > F.col("least")).select("key", "n", F.explode("starts").alias("start"))
+            found.append(staged(covered.select("key", "start", (F.col("start") + F.col("n") + window - 1).alias("stop"))))
             rest = ranked.where((order == F.col("least")) & (F.col("a") < F.col("b"))).select(*MEMBER)
             rest = staged(rest.mapInArrow(lambda batches: halved(batches, window, kind), schema))
             sizes = rest.groupBy("g").agg(F.count("*").alias("members"))
