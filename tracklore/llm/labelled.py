@@ -14,7 +14,7 @@ from .common import raw_text, staged
 
 GRAINS = 1 << 20
 SAMPLE_BYTES = 256 << 20  # of features that a fit takes at most; beyond it rows are left out by the hash of their order
-REMEMBERED, AT_ONCE, ROWS = 1 << 18, 4096, 1024
+REMEMBERED, AT_ONCE, ROWS = 1 << 17, 4096, 512
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
@@ -90,7 +90,7 @@ class WordRows:
 
     def __init__(self, width: int, make: Callable[[list], np.ndarray]):
         self.at: dict = {}
-        self.rows, self.make = np.zeros((1024, width)), make
+        self.rows, self.make = np.zeros((1024, width), np.float32), make
 
     def learn(self, words) -> None:
         """Makes the rows of the words that have none; call before `of`."""
@@ -130,22 +130,27 @@ def scored(docs: DataFrame, model, make_scorer: Callable, id_col: str, text_col:
     """id, `columns` and kept (a struct of the `keep` columns) per row.
 
     `make_scorer(model)` gives a function from a list of texts to tuples; tasks hand it
-    `ROWS` texts at a time.
+    `ROWS` texts at a time. A kept text goes through the tasks once, as the bytes that are scored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
-    kept = (F.struct(*keep) if keep else F.lit(None).cast("boolean")).alias("kept")
-    schema = f"id {kind}, {columns}, kept {docs.select(kept).schema[0].dataType.simpleString()}"
+    text_kind = docs.schema[text_col].dataType
+    rest = F.struct(*(c for c in keep if c != text_col), F.col(text_col).isNull().alias("none__")).alias("rest")
+    with_text = text_col in keep
+    schema = f"id {kind}, {columns}, rest {docs.select(rest).schema[0].dataType.simpleString()}" + ", raw binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make_scorer(shared.value)
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             made = score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)] + [batch.column(2)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)] + [batch.column(2)] + [batch.column(1)] * with_text, names=names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     fields = list(to_arrow_schema(StructType.fromDDL(schema)))
-    kinds, names = [f.type for f in fields[1:-1]], [f.name for f in fields]
-    return docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"), kept).mapInArrow(run, schema)
+    kinds, names = [f.type for f in fields[1 : len(fields) - 1 - with_text]], [f.name for f in fields]
+    made = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"), rest).mapInArrow(run, schema)
+    own = lambda c: F.when(~F.col("rest.none__"), F.col("raw").cast("string").cast(text_kind)) if c == text_col else F.col("rest").getField(c)
+    kept = F.struct(*(own(c).alias(c) for c in keep)) if keep else F.lit(None).cast("boolean")
+    return made.withColumn("kept", kept).drop("rest", "raw")
