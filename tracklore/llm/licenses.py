@@ -10,13 +10,15 @@ its text window. A band is one minimum under a hash of its own; `bands_for` give
 number that finds such a window with the certainty asked for, and a template of n shingles
 has about n / STRIDE windows to be found by.
 
-Collisions retrieve templates; then the share of the template's shingles that stand near
-the window must reach `least`. All is done inside the row by higher-order functions:
-nothing is shuffled or exploded, and the band table, whose size is checked, is a literal.
+Windows are rows, whose minima are plain expressions; each minimum meets the band table,
+which is broadcast and whose size is checked. Collisions retrieve templates: a few pairs of
+a window and a template per text, that go back to it by the text's MD5. There the share of
+the template's shingles that stand near the window must reach `least`.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -24,10 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sized, staged
 from .license_texts import NOTICES, TEXTS
 
 WIDTH, PIECE, WINDOW, STRIDE, CERTAINTY = 3, 3, 5, 3, 0.999
-SLOTS, MOST = 2048, 1_000_000  # parts of the band table, and its entries at most: some 16 MB
+MOST, BROADCAST = 1_000_000, 100_000  # entries of the band table: some 16 MB; texts with a collision, up to which these are broadcast
 
 TEMPLATES = TEXTS + NOTICES
 
@@ -56,11 +59,15 @@ def banded(shingle: int, band: int) -> int:
     return signed(xxhash.xxh64_intdigest(band.to_bytes(8, "little", signed=True), first))
 
 
+def text_words(text: Column) -> Column:
+    """Letters and digits in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def text_shingles(text: Column) -> Column:
     """Hashes of the shingles of a text's words; fewer than `WIDTH` words: none."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     joined = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + j) for j in range(WIDTH)))))
-    return let(words, lambda w: F.when(F.size(w) >= WIDTH, joined(w)).otherwise(F.array().cast("array<bigint>")))
+    return let(text_words(text), lambda w: F.when(F.size(w) >= WIDTH, joined(w)).otherwise(F.array().cast("array<bigint>")))
 
 
 def let(value: Column, body) -> Column:
@@ -68,8 +75,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def numbers(values: list[int]) -> Column:
-    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")  # folded to a literal
+def numbers(values: list[list[int]]) -> Column:
+    """An array of arrays that is read from one text, and so folded to a single literal."""
+    return F.from_json(F.lit(json.dumps(values)), "array<array<bigint>>")
 
 
 def band_table(templates: list[list[int]], bands: int) -> dict[int, set[int]]:
@@ -95,6 +103,21 @@ def rivals(templates: list[tuple[str, set[int]]], least: float) -> list[list[str
     return out
 
 
+def retrieved(keyed: DataFrame, templates: list[list[int]]) -> DataFrame:
+    """(key__, w, t): the w-th window of a text of `keyed(key__, text__)`, one of whose minima is that of a window of template t."""
+    bands = bands_for(PIECE / WINDOW, CERTAINTY)
+    entries = [(low, t) for low, some in band_table(templates, bands).items() for t in some]
+    table = keyed.sparkSession.createDataFrame(entries, "low bigint, t bigint")
+    texts = keyed.select("key__", text_words(F.col("text__")).alias("words")).where(F.size("words") >= WIDTH + PIECE - 1)
+    windows = texts.select("key__", "words", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - WIDTH) / STRIDE).cast("int"))).alias("w"))
+    word = lambda i: F.get("words", F.col("w") * STRIDE + i)
+    shingle = lambda i: F.when(word(i + WIDTH - 1).isNotNull(), F.xxhash64(F.concat_ws(" ", *(word(i + j) for j in range(WIDTH)))))
+    windows = windows.select("key__", "w", *(shingle(i).alias(f"s{i}") for i in range(WINDOW)))
+    banded_ = lambda i, band: F.when(F.col(f"s{i}").isNotNull(), F.xxhash64(f"s{i}", F.lit(band).cast("bigint")))
+    minima = F.array(*(F.least(*(banded_(i, band) for i in range(WINDOW))) for band in range(bands)))
+    return windows.select("key__", "w", F.explode(minima).alias("low")).join(F.broadcast(table), "low").select("key__", "w", "t").distinct()
+
+
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """Per row of `docs`: id, matches (array of license, first_shingle, containment; by license), licenses, n_licenses.
 
@@ -112,24 +135,11 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
         raise ValueError(f"a template has fewer than {WIDTH + PIECE - 1} words")
     ordered = [shingle_hashes(w) for w in words]
     sets = [(name, set(h)) for (name, _), h in zip(templates, ordered, strict=True)]
-    bands = bands_for(PIECE / WINDOW, CERTAINTY)
-    slots: list[list[tuple[int, int]]] = [[] for _ in range(SLOTS)]
-    for minimum, found in band_table(ordered, bands).items():
-        slots[minimum % SLOTS] += [(minimum, t) for t in found]
-    minima, owners = (F.array(*(numbers([x[k] for x in s] or [0]) for s in slots)) for k in (0, 1))
-    own = F.array(*(numbers(sorted(h)) for _, h in sets))
-    none = F.array().cast("array<struct<w:int,t:bigint>>")
-
-    def retrieved(h: Column, band: int) -> Column:
-        """(w, t) of the windows whose minimum in this band is that of a window of template t."""
-
-        def at(low: Column, w: Column) -> Column:
-            slot = (F.pmod(low, F.lit(SLOTS)) + 1).cast("int")
-            same = F.filter(F.zip_with(F.element_at(minima, slot), F.element_at(owners, slot), lambda m, t: F.when(m == low, F.struct(w.alias("w"), t.alias("t")))), lambda x: x.isNotNull())
-            return F.when(F.array_contains(F.element_at(minima, slot), low), same).otherwise(none)
-
-        lows = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / STRIDE).cast("int")), lambda w: F.array_min(F.slice(b, w * STRIDE + 1, F.lit(WINDOW))))
-        return F.flatten(F.transform(let(F.transform(h, lambda x: F.xxhash64(x, F.lit(band).cast("bigint"))), lows), at))
+    own = numbers([sorted(h) for _, h in sets])
+    text = F.coalesce(text_col, F.lit(""))
+    keyed = docs.select(F.col(id_col), text.alias("text__"), F.unhex(F.md5(text.cast("binary"))).alias("key__"))
+    pairs = retrieved(keyed, ordered).groupBy("key__").agg(F.collect_set(F.struct("w", "t")).alias("pairs"))
+    hits = sized(staged(pairs), BROADCAST)
 
     def verified(h: Column, p: Column) -> Column:
         size = F.size(F.element_at(own, (p["t"] + 1).cast("int")))
@@ -138,10 +148,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
         share = F.size(F.array_intersect(F.element_at(own, (p["t"] + 1).cast("int")), near)) / size
         return F.struct(share.alias("share"), size.alias("size"), (p["w"] * STRIDE).alias("at"), p["t"].alias("t"))
 
-    def scan(h: Column) -> Column:
-        pairs = F.array_distinct(F.flatten(F.array(*(retrieved(h, band) for band in range(bands)))))
-        return F.when(F.size(h) < PIECE, F.array().cast("array<struct<share:double,size:int,at:int,t:bigint>>")).otherwise(F.filter(F.transform(pairs, lambda p: verified(h, p)), lambda v: v["share"] >= least))
-
+    scan = lambda h: F.filter(F.transform("pairs", lambda p: verified(h, p)), lambda v: v["share"] >= least)
     names = F.array(*(F.lit(n) for n, _ in templates))
     against = F.array(*(F.array(*map(F.lit, r)).cast("array<string>") for r in rivals(sets, least)))
     license_of = lambda v: F.element_at(names, (v["t"] + 1).cast("int"))
@@ -155,6 +162,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
         mine = lambda name: F.filter(found, lambda v: license_of(v) == name)
         return F.transform(each, lambda n: F.struct(n.alias("license"), F.array_min(F.transform(mine(n), lambda v: v["at"])).alias("first_shingle"), F.array_max(F.transform(mine(n), lambda v: v["share"])).alias("containment")))
 
-    matches = let(text_shingles(F.coalesce(text_col, F.lit(""))), lambda h: let(scan(h), summed))
-    rows = docs.select(F.col(id_col), matches.alias("matches"))
+    none = F.array().cast("array<struct<license:string,first_shingle:int,containment:double>>")
+    matches = F.when(F.col("pairs").isNull(), none).otherwise(let(text_shingles(F.col("text__")), lambda h: let(scan(h), summed)))
+    rows = keyed.join(hits, "key__", "left").select(id_col, matches.alias("matches"))
     return rows.select(id_col, "matches", F.array_join(F.col("matches.license"), ",").alias("licenses"), F.size("matches").cast("long").alias("n_licenses"))
