@@ -82,6 +82,16 @@ QUERIES = {f.__name__: f for f in (build_ledger, activity_to_ledger, dataset_ite
 
 CONFIDENCE = "CASE type " + " ".join(f"WHEN '{t}' THEN {c}::DOUBLE" for t, c in building.EVENT_CONFIDENCE.items()) + " END"
 VERBATIM = "CASE type WHEN 'lys' THEN true WHEN 'speech' THEN false END"
+# All matchings of a clip, target by target: as many pairs as targets or slots allow, at the least cost in millionths.
+SLOT_PAIRS = f"""WITH RECURSIVE {sql.BOTH}, n AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) - 1 AS pos FROM refs),
+t AS (SELECT sample_id, pos, type, least(300, start_ds) AS onset, greatest(least(300, start_ds) + 1, least(300, end_ds)) AS "offset" FROM n WHERE pos < {SLOTS}),
+costs AS (SELECT t.sample_id, t.pos, h.ord AS slot, CASE WHEN h.type = t.type THEN 1 - 0.7::DOUBLE ELSE 1 - 0.1::DOUBLE END + (abs(h.start_ds - onset) + abs(h.end_ds - "offset")) / (2.0::DOUBLE * greatest(1, "offset" - onset)) AS cost FROM t JOIN hyps h ON h.sample_id = t.sample_id),
+units AS (SELECT *, CAST(round(cost * 1000000) AS BIGINT) * 1048576 + CAST(('0x' || substr(md5(sample_id || '/' || pos || '/' || slot), 1, 5)) AS BIGINT) AS units FROM costs),
+tries AS (SELECT DISTINCT sample_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS units, 0.0::DOUBLE AS cost FROM units
+  UNION ALL SELECT t.sample_id, t.k + 1, CASE WHEN o.slot IS NULL THEN t.used ELSE list_append(t.used, o.slot) END, t.units + o.units, t.cost + o.cost
+  FROM tries t JOIN (SELECT sample_id, pos, slot, units, cost FROM units UNION ALL SELECT DISTINCT sample_id, pos, NULL, 0, 0.0 FROM units) o ON o.sample_id = t.sample_id AND o.pos = t.k AND NOT coalesce(list_contains(t.used, o.slot), false)),
+best AS (SELECT * FROM tries JOIN (SELECT sample_id, max(pos) + 1 AS k FROM units GROUP BY ALL) USING (sample_id, k) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY len(used) DESC, units) = 1)
+SELECT sample_id, len(used) AS n, round(cost, 4) AS cost FROM best"""
 ORACLES = {
     "build_ledger": f"""WITH {sql.REFS},{sql.islands('refs', 'sample_id, type', 3)},
 tracks AS (SELECT sample_id, type, 'T' || row_number() OVER (PARTITION BY sample_id ORDER BY {captions.RANK}) AS track_id, row_number() OVER (PARTITION BY sample_id ORDER BY {captions.RANK}) AS pos FROM (SELECT DISTINCT sample_id, type FROM refs)),
@@ -100,4 +110,5 @@ FROM (SELECT sample_id, unnest(range(0, {SLOTS})) AS pos FROM (SELECT DISTINCT s
     "slot_events": f"""WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS sample_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS w, unnest(range(0, 8)) AS slot FROM embeddings),
 s AS (SELECT sample_id, slot, w[slot * 8 + 1] * 4 AS e, w[slot * 8 + 2 : slot * 8 + 5] AS p, list_transform(w[slot * 8 + 6 : slot * 8 + 8], lambda x: x * 5 > 0.5) AS m FROM w), k AS (SELECT * FROM s WHERE e >= 0.4 AND list_contains(m, true))
 SELECT sample_id, 'E' || lpad(CAST(row_number() OVER (PARTITION BY sample_id ORDER BY slot) AS VARCHAR), 3, '0') AS event_id, slot, ['speech', 'lys', 'music', 'sfx'][list_position(p, list_max(p))] AS type, list_position(m, true) - 1 AS start_ds, 4 - list_position(list_reverse(m), true) AS end_ds, round(e, 3) AS confidence FROM k""",
+    "slot_assignment": SLOT_PAIRS,
 }
