@@ -75,7 +75,7 @@ def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
     kind = lambda t: F.when(F.col("type") == t, 0.7).otherwise(0.1)
     made = hyps.select("sample_id", F.col("ord").alias("slot"), F.array(*map(kind, tx.TYPES)).alias("type_probs"), iv.onset(F.col("spans")).alias("onset_ds"), iv.offset(F.col("spans")).alias("offset_ds"))
     pairs = slots.slot_assignment(slots.slot_costs(made, slot_target_rows(spark, d), b.CLIP_DS))
-    return pairs.groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
+    return pairs.groupBy("sample_id").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("cost") * 1_000_000).cast("long")) / 1_000_000).alias("cost"))
 
 
 QUERIES = {f.__name__: f for f in (build_ledger, activity_to_ledger, dataset_items, slot_targets, slot_events, slot_assignment)}
@@ -87,11 +87,11 @@ SLOT_PAIRS = f"""WITH RECURSIVE {sql.BOTH}, n AS (SELECT *, row_number() OVER (P
 t AS (SELECT sample_id, pos, type, least(300, start_ds) AS onset, greatest(least(300, start_ds) + 1, least(300, end_ds)) AS "offset" FROM n WHERE pos < {SLOTS}),
 costs AS (SELECT t.sample_id, t.pos, h.ord AS slot, CASE WHEN h.type = t.type THEN 1 - 0.7::DOUBLE ELSE 1 - 0.1::DOUBLE END + (abs(h.start_ds - onset) + abs(h.end_ds - "offset")) / (2.0::DOUBLE * greatest(1, "offset" - onset)) AS cost FROM t JOIN hyps h ON h.sample_id = t.sample_id),
 units AS (SELECT *, CAST(round(cost * 1000000) AS BIGINT) * 1048576 + CAST(('0x' || substr(md5(sample_id || '/' || pos || '/' || slot), 1, 5)) AS BIGINT) AS units FROM costs),
-tries AS (SELECT DISTINCT sample_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS units, 0.0::DOUBLE AS cost FROM units
+tries AS (SELECT DISTINCT sample_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS units, 0::BIGINT AS cost FROM units
   UNION ALL SELECT t.sample_id, t.k + 1, CASE WHEN o.slot IS NULL THEN t.used ELSE list_append(t.used, o.slot) END, t.units + o.units, t.cost + o.cost
-  FROM tries t JOIN (SELECT sample_id, pos, slot, units, cost FROM units UNION ALL SELECT DISTINCT sample_id, pos, NULL, 0, 0.0 FROM units) o ON o.sample_id = t.sample_id AND o.pos = t.k AND NOT coalesce(list_contains(t.used, o.slot), false)),
+  FROM tries t JOIN (SELECT sample_id, pos, slot, units, units // 1048576 AS cost FROM units UNION ALL SELECT DISTINCT sample_id, pos, NULL, 0, 0 FROM units) o ON o.sample_id = t.sample_id AND o.pos = t.k AND NOT coalesce(list_contains(t.used, o.slot), false)),
 best AS (SELECT * FROM tries JOIN (SELECT sample_id, max(pos) + 1 AS k FROM units GROUP BY ALL) USING (sample_id, k) QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY len(used) DESC, units) = 1)
-SELECT sample_id, len(used) AS n, round(cost, 4) AS cost FROM best"""
+SELECT sample_id, len(used) AS n, cost / 1000000.0::DOUBLE AS cost FROM best"""
 ORACLES = {
     "build_ledger": f"""WITH {sql.REFS},{sql.islands('refs', 'sample_id, type', 3)},
 tracks AS (SELECT sample_id, type, 'T' || row_number() OVER (PARTITION BY sample_id ORDER BY {captions.RANK}) AS track_id, row_number() OVER (PARTITION BY sample_id ORDER BY {captions.RANK}) AS pos FROM (SELECT DISTINCT sample_id, type FROM refs)),
