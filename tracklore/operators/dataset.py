@@ -101,6 +101,19 @@ def fill_quotas(rows: DataFrame, stratum: str, quotas: dict[str, int], key: str,
     return taken.where("left__ >= n__").select(*rows.columns).union(last.select(*rows.columns))
 
 
+def sharing_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", width: int = 5) -> DataFrame:
+    """(left_id, right_id) of the rows whose texts share `width` consecutive words, in lower case; each pair once.
+
+    Every row of either side takes part. Shingles meet by their hash, one row per text and
+    shingle, and pairs are collapsed before they move on. Texts with fewer words, and null
+    ones, share nothing.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\u00a0]+"), lambda w: w != "")
+    each = lambda w: F.when(F.size(w) >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " ")))))
+    side = lambda df, key: df.select(key, F.explode(iv.let(words, each)).alias("shingle"))
+    return side(left, left_id).join(side(right, right_id), "shingle").select(left_id, right_id).distinct()
+
+
 def event_keys(events: Column, ends: bool = True) -> Column:
     """Distinct keys of events: type and first start, with `ends` also the last end, in tenths."""
     key = lambda e: F.concat_ws(":", e["type"], iv.onset(e["spans"]).cast("string"), *([iv.offset(e["spans"]).cast("string")] if ends else []))

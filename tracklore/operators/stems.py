@@ -60,7 +60,8 @@ def oracle_events(sources: DataFrame, events: DataFrame) -> DataFrame:
     """
     rank = F.array_position(F.array(*map(F.lit, tx.TYPES)), F.col("type"))
     first = events.groupBy("sample_id", "type").agg(F.min_by("spans", F.struct(iv.onset(F.col("spans")), rank, "event_id")).alias("spans"))
-    typed = sources.withColumn("type", F.coalesce(ledger.type_of_kind(F.col("kind")), F.lit("sfx")))
+    kind = ledger.type_of_kind(F.col("kind"))
+    typed = sources.withColumn("type", F.when(kind.isin(*tx.TYPES), kind).otherwise("sfx"))
     rows = typed.join(first, ["sample_id", "type"], "left")
     own = F.array(iv.span(F.col("onset_ds"), F.least(F.col("duration_ds"), F.col("onset_ds") + ORACLE_DS)))
     said = F.coalesce(F.when(F.col("caption") != "", F.substring("caption", 1, ORACLE_CAPTION)), "text", F.lit("an event"))

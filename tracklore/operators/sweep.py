@@ -182,6 +182,9 @@ def soft_f1(clips: DataFrame, refs: DataFrame, hyps: DataFrame, alpha: float = 1
     ]
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     clip = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy("sample_id").agg(F.bool_or("is_clip").alias("is_clip"), *map(count, ("n_ref", "n_hyp", "weight"))).where("is_clip")
-    w = F.col("weight") / 1_000_000
-    p, r = metrics.ratio(w, F.col("n_hyp")), metrics.ratio(w, F.col("n_ref"))
-    return clip.select("sample_id", F.round(w, 6).alias("weight"), "n_ref", "n_hyp", F.round(p, 6).alias("soft_precision"), F.round(r, 6).alias("soft_recall"), F.round(metrics.f1(p, r), 6).alias("soft_f1"))
+    rounded = lambda part, whole: F.expr(f"(2 * ({part}) + ({whole})) div (2 * ({whole}))") / 1_000_000  # noqa: E731  of whole millionths, half up
+    share = lambda part, whole: F.when(F.expr(whole) > 0, rounded(part, whole)).otherwise(F.lit(1.0))
+    return clip.select(
+        "sample_id", (F.col("weight") / 1_000_000).alias("weight"), "n_ref", "n_hyp",
+        share("weight", "n_hyp").alias("soft_precision"), share("weight", "n_ref").alias("soft_recall"), share("2 * weight", "n_ref + n_hyp").alias("soft_f1"),
+    )

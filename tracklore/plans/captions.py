@@ -21,6 +21,14 @@ def token_f1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(items, docs.doc_id % 40 == items.item_id).select("doc_id", "item_id", tx.token_f1(F.col("text"), F.col("item")).alias("token_f1"))
 
 
+def benchmark_token_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Token F1 of each document with every benchmark item that it shares five consecutive words with."""
+    docs, items = b.table(spark, d, "documents").select("doc_id", "text"), b.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item_text"))
+    pairs = dataset.sharing_pairs(docs, items.withColumnRenamed("item_text", "text"), "doc_id", "item_id")
+    rows = pairs.join(docs, "doc_id").join(items, "item_id")
+    return rows.select("doc_id", "item_id", tx.token_f1(F.col("text"), F.col("item_text")).alias("token_f1"))
+
+
 def style_text(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "documents").select("doc_id", *(F.sha2(tx.styled(F.col("text"), s), 256).alias(s) for s in tx.STYLE_WORDS))
 
@@ -155,7 +163,7 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_f1_pairs, style_text, time_token_roundtrip, atomic_caption, slot_caption, xml_caption, parse_atomic, tag_scan_pages, event_key_diff, error_label, preference_pairs, removal_view,
+        token_f1_pairs, benchmark_token_f1, style_text, time_token_roundtrip, atomic_caption, slot_caption, xml_caption, parse_atomic, tag_scan_pages, event_key_diff, error_label, preference_pairs, removal_view,
         group_key_sha1, group_split, hash_split, weighted_template, topk_per_stratum, review_sheet, data_card, canonical_order, positional_ids, label_confusion, threshold_sweep,
     )
 }
@@ -177,6 +185,10 @@ ORACLES = {
     "token_f1_pairs": f"""WITH w AS (SELECT doc_id, item_id, list_distinct({WORDS.format('lower(d.text)')}) AS x, list_distinct({WORDS.format('lower(b.text)')}) AS y FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
 n AS (SELECT doc_id, item_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS k FROM w)
 SELECT doc_id, item_id, CASE WHEN nx = 0 AND ny = 0 THEN 1.0::DOUBLE WHEN k = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * k / (nx + ny), 6) END AS token_f1 FROM n""",
+    "benchmark_token_f1": f"""WITH dw AS (SELECT doc_id, {WORDS.format('lower(text)')} AS w FROM documents), bw AS (SELECT item_id, {WORDS.format('lower(text)')} AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw)), bs AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM bw)),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)), n AS (SELECT p.doc_id, p.item_id, len(list_distinct(dw.w)) AS nx, len(list_distinct(bw.w)) AS ny, len(list_intersect(list_distinct(dw.w), list_distinct(bw.w))) AS k FROM pairs p JOIN dw USING (doc_id) JOIN bw USING (item_id))
+SELECT doc_id, item_id, round(2.0::DOUBLE * k / (nx + ny), 6) AS token_f1 FROM n""",
     "style_text": f"WITH w AS (SELECT doc_id, text, {WORDS.format('text')} AS w FROM documents) SELECT doc_id, "
     + ", ".join(f"sha256(CASE WHEN len(w) <= {n} THEN text ELSE array_to_string(w[1:{n}], ' ') || '…' END) AS {s}" for s, n in tx.STYLE_WORDS.items())
     + " FROM w",

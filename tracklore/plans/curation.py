@@ -73,7 +73,7 @@ def edit_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flat_events(events: DataFrame) -> DataFrame:
-    return events.select("sample_id", "event_id", "type", "track_id", "text", F.col("confidence_mils").cast("int").alias("confidence_mils"), F.get("spans", F.lit(0))["start_ds"].alias("start_ds"), F.get("spans", F.lit(0))["end_ds"].alias("end_ds"))
+    return events.select("sample_id", "event_id", "type", "track_id", "text", F.col("confidence_mils").cast("int").alias("confidence_mils"), *(F.get("spans", F.lit(0))[c].cast("long").alias(c) for c in ("start_ds", "end_ds")))
 
 
 def edited_events(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,8 @@ def turns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def word_error_rates(spark: SparkSession, d: str) -> DataFrame:
     t = b.table(spark, d, "conversations")
     rated = speech.error_rates(t.select("conv_id", "turn", F.col("text").alias("ref_text"), misheard(F.col("text")).alias("hyp_text")))
-    return rated.select("conv_id", "turn", "n_words", "word_errors", "wer", "n_chars", "char_errors", "cer")
+    counts = {c: F.col(c).cast("long") for c in ("n_words", "word_errors", "n_chars", "char_errors")}
+    return rated.withColumns(counts).select("conv_id", "turn", "n_words", "word_errors", "wer", "n_chars", "char_errors", "cer")
 
 
 def corpus_word_errors(spark: SparkSession, d: str) -> DataFrame:

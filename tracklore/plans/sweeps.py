@@ -78,10 +78,10 @@ tries AS (SELECT DISTINCT sample_id, type, 0::BIGINT AS k, []::VARCHAR[] AS used
   FROM tries t JOIN (SELECT sample_id, type, k, hyp_event_id AS h, w FROM ranked UNION ALL SELECT DISTINCT sample_id, type, k, NULL, 0 FROM ranked) o
   ON o.sample_id = t.sample_id AND o.type = t.type AND o.k = t.k + 1 AND NOT coalesce(list_contains(t.used, o.h), false)),
 best AS (SELECT sample_id, sum(w)::BIGINT AS w FROM (SELECT sample_id, type, max(w) AS w FROM tries GROUP BY ALL) GROUP BY ALL),
-clips AS (SELECT r.sample_id, n_ref, coalesce(n_hyp, 0) AS n_hyp, coalesce(w, 0) / 1000000.0::DOUBLE AS w FROM (SELECT sample_id, count(*) AS n_ref FROM refs GROUP BY ALL) r
-  LEFT JOIN (SELECT sample_id, count(*) AS n_hyp FROM hyps GROUP BY ALL) h ON h.sample_id = r.sample_id LEFT JOIN best b ON b.sample_id = r.sample_id),
-shares AS (SELECT *, CASE WHEN n_hyp = 0 THEN 1.0::DOUBLE ELSE w / n_hyp END AS p, w / n_ref AS q FROM clips)
-SELECT sample_id, round(w, 6) AS weight, n_ref, n_hyp, round(p, 6) AS soft_precision, round(q, 6) AS soft_recall, round(CASE WHEN p + q = 0 THEN 0.0::DOUBLE ELSE 2 * p * q / (p + q) END, 6) AS soft_f1 FROM shares"""
+clips AS (SELECT r.sample_id, n_ref, coalesce(n_hyp, 0) AS n_hyp, coalesce(w, 0) AS w FROM (SELECT sample_id, count(*) AS n_ref FROM refs GROUP BY ALL) r
+  LEFT JOIN (SELECT sample_id, count(*) AS n_hyp FROM hyps GROUP BY ALL) h ON h.sample_id = r.sample_id LEFT JOIN best b ON b.sample_id = r.sample_id)
+SELECT sample_id, w / 1000000.0::DOUBLE AS weight, n_ref, n_hyp, CASE WHEN n_hyp = 0 THEN 1.0::DOUBLE ELSE ((2 * w + n_hyp) // (2 * n_hyp)) / 1000000.0::DOUBLE END AS soft_precision, ((2 * w + n_ref) // (2 * n_ref)) / 1000000.0::DOUBLE AS soft_recall,
+  ((4 * w + n_ref + n_hyp) // (2 * (n_ref + n_hyp))) / 1000000.0::DOUBLE AS soft_f1 FROM clips"""
 
 ORACLES = {
     "threshold_metrics": f"{SWEPT} SELECT * FROM swept",

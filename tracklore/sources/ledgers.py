@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import dataset
 from ..operators.ledger import LEDGER_JSON, VERSION
 
 
@@ -64,6 +65,50 @@ def write_report(summary: DataFrame, rows: DataFrame, path: str, name: str = "sa
     summary.crossJoin(samples).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def report_rows(reports: DataFrame) -> DataFrame:
+    """The rows of an inference report: what was read of each raw text, with five warnings and 500 characters of it at most.
+
+    `reports` has sample_id, ok, strict_format_success, events_recovered, events_rejected,
+    warnings and raw_text, which may be null.
+    """
+    kept = ("sample_id", "ok", "strict_format_success", "events_recovered", "events_rejected")
+    return reports.select(*kept, F.slice(F.coalesce("warnings", F.array().cast("array<string>")), 1, 5).alias("warnings"), F.substring("raw_text", 1, 500).alias("raw_text"))
+
+
+def write_inference_report(reports: DataFrame, path: str, backend: str) -> None:
+    """The summary of parsed outputs and their rows as one JSON document, as `write_report` does."""
+    summary = dataset.parse_summary(reports).select(F.lit(backend).alias("backend"), "*")
+    write_report(summary, report_rows(reports), path)
+
+
+#: A scene as manifests hold it, and what a scene has that leaves a field out.
+SOURCE = "source_id string, kind string, path string, onset double, gain_db double, text string, identity string, repeat int, repeat_gap_s double, rir_id string, t60_sec double, is_foreground boolean"
+SCENE = (
+    f"scene_id string, seed bigint, duration double, template string, sources array<struct<{SOURCE.replace(' ', ':').replace(',:', ',')}>>, "
+    "conditions struct<noise_snr_db:double,echo_delay_ms:double,echo_atten_db:double,t60_sec:double,codec:string,overlap_ratio:double>, "
+    "supervision struct<style:string,activity_threshold:double,merge_threshold_s:double,resolution_s:double>, sample_rate int"
+)
+SOURCE_DEFAULTS = {"repeat": 1, "repeat_gap_s": 0.0, "is_foreground": True}
+SUPERVISION_DEFAULTS = {"style": "brief", "activity_threshold": 0.05, "merge_threshold_s": 0.25, "resolution_s": 0.1}
+
+
+def read_scene(text: Column) -> Column:
+    """A scene's JSON as a struct with every field, those left out with their defaults; null where it isn't one."""
+    s = F.from_json(text, SCENE)
+    fields = lambda ddl: [x.split()[0] for x in ddl.split(", ")]
+    or_else = lambda value, defaults, c: F.coalesce(value[c], F.lit(defaults[c])) if c in defaults else value[c]
+    sources = F.transform(s["sources"], lambda x: F.struct(*(or_else(x, SOURCE_DEFAULTS, c).alias(c) for c in fields(SOURCE))))
+    conditions = F.struct(*(s["conditions"][c].alias(c) for c in ("noise_snr_db", "echo_delay_ms", "echo_atten_db", "t60_sec", "codec", "overlap_ratio")))
+    supervision = F.struct(*(F.coalesce(s["supervision"][c], F.lit(v)).alias(c) for c, v in SUPERVISION_DEFAULTS.items()))
+    whole = F.struct(*(s[c].alias(c) for c in ("scene_id", "seed", "duration", "template")), sources.alias("sources"), conditions.alias("conditions"), supervision.alias("supervision"), F.coalesce(s["sample_rate"], F.lit(24_000)).alias("sample_rate"))
+    return F.when(s["scene_id"].isNotNull(), whole)
+
+
+def scene_json(scene: Column) -> Column:
+    """The JSON of a scene, null fields included; `read_scene` gives the scene back."""
+    return F.to_json(scene, {"ignoreNullFields": "false"})
+
+
 def write_strata(strata: DataFrame, path: str) -> None:
     """Strata (axis, bucket, ..) as one JSON document: axis, then bucket, then measures; a few rows per axis."""
     measures = [c for c in strata.columns if c not in ("axis", "bucket")]
@@ -89,17 +134,19 @@ def conditions_of(manifest: DataFrame) -> DataFrame:
     """Per clip the axes of the strata from `manifest(scene, target_ledger)`; the last row of a clip counts.
 
     What the scene leaves out of t60_sec, overlap_ratio, snr_db and echo comes from the
-    ledger's conditions, if the manifest has any.
+    ledger's conditions, if the manifest has any. n_events counts the events that the scene
+    itself lists; null, if it lists none.
     """
     has = lambda path, df=manifest: _field(df.schema, path)
     scene = lambda c: F.col(f"scene.conditions.{c}") if has(f"scene.conditions.{c}") else F.lit(None)
     target = lambda c: F.col(f"target_ledger.conditions.{c}") if has(f"target_ledger.conditions.{c}") else F.lit(None)
     top = lambda c: F.col(f"scene.{c}") if has(f"scene.{c}") else F.lit(None)
     echo = F.coalesce(scene("echo_delay_ms").cast("string"), scene("echo").cast("string"), target("echo").cast("string"))
+    n_events = F.when(top("events").isNotNull(), F.size(top("events"))) if has("scene.events") else F.lit(None).cast("int")
     rows = manifest.select(
         F.col("scene.scene_id").alias("sample_id"), F.coalesce(scene("t60_sec"), target("t60_sec")).cast("double").alias("t60_sec"), F.coalesce(scene("overlap_ratio"), target("overlap_ratio")).cast("double").alias("overlap_ratio"),
         top("duration").cast("double").alias("duration"), F.greatest(F.size(top("sources")), F.lit(0)).alias("source_count") if has("scene.sources") else F.lit(0).alias("source_count"), top("template").cast("string").alias("template"), echo.alias("echo"),
-        F.coalesce(scene("noise_snr_db"), scene("snr_db"), target("snr_db")).cast("double").alias("snr_db"), scene("codec").cast("string").alias("codec"), F.monotonically_increasing_id().alias("place_"),
+        F.coalesce(scene("noise_snr_db"), scene("snr_db"), target("snr_db")).cast("double").alias("snr_db"), scene("codec").cast("string").alias("codec"), n_events.alias("n_events"), F.monotonically_increasing_id().alias("place_"),
     )
     fields = [c for c in rows.columns if c not in ("sample_id", "place_")]
     return rows.groupBy("sample_id").agg(F.max_by(F.struct(*fields), "place_").alias("x")).select("sample_id", "x.*")
