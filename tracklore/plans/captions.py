@@ -24,7 +24,7 @@ def token_f1_pairs(spark: SparkSession, d: str) -> DataFrame:
 def benchmark_token_f1(spark: SparkSession, d: str) -> DataFrame:
     """Token F1 of each document with every benchmark item that it shares five consecutive words with."""
     docs, items = b.table(spark, d, "documents").select("doc_id", "text"), b.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item_text"))
-    pairs = dataset.sharing_pairs(docs, items.withColumnRenamed("item_text", "text"), "doc_id", "item_id")
+    pairs = ds.sharing_pairs(docs, items.withColumnRenamed("item_text", "text"), "doc_id", "item_id")
     rows = pairs.join(docs, "doc_id").join(items, "item_id")
     return rows.select("doc_id", "item_id", tx.token_f1(F.col("text"), F.col("item_text")).alias("token_f1"))
 
