@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -86,12 +87,11 @@ def split_literal(texts: list[str]) -> Column:
 
 def rank_map(pieces: list[bytes]) -> Column:
     """A literal array of maps from a piece, as a byte text, to its rank; a piece is in the map that its hash names."""
-    parts: list[list[tuple[str, int]]] = [[] for _ in range(BUCKETS)]
+    parts: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for rank, piece in enumerate(pieces):
         text = byte_text(piece)
-        parts[xxhash.xxh64_intdigest(text.encode(), 42) % BUCKETS].append((text, rank))
-    maps = [F.map_from_arrays(split_literal([k for k, _ in p]), F.split(F.lit(" ".join(str(v) for _, v in p)), " ").cast("array<int>")) for p in (p or [("", -1)] for p in parts)]
-    return F.array(*maps)
+        parts[xxhash.xxh64_intdigest(text.encode(), 42) % BUCKETS][text] = rank
+    return F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")  # folded to one literal, so plans stay small
 
 
 def merged_ids(word: Column, pieces: list[bytes]) -> Column:

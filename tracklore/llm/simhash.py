@@ -239,6 +239,7 @@ def alike(texts: DataFrame, profiles: DataFrame, pairs: DataFrame, least: float)
     pairs = staged(pairs.join(brief("a"), "a").join(brief("b"), "b").where(differ <= allowed).select("a", "b"))
     if pairs.isEmpty():
         return pairs
+    released(pairs)
     wanted = staged(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(profiles.select("key", "uid"), "uid"))
     held = texts.join(sized(wanted, BROADCAST), "key").groupBy(F.col("uid").alias("b")).agg(F.first("raw").alias("raw"))
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
@@ -329,6 +330,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     names = ["fps", "n", "parity", "prefix", "stars"]
     profiles = profiles.groupBy("key").agg(F.first(F.struct(*names)).alias("p")).select("key", "p.*")
     profiles = staged(profiles.withColumn("uid", F.monotonically_increasing_id()))
+    released(docs)
     linked = alike(texts, profiles, ordered(stars_of(profiles).union(near_prints(profiles))), least)
     edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     few = 1 + profiles.count() // 100
