@@ -119,18 +119,3 @@ def guarded(wave: Column, most: float = 0.99) -> Column:
 def smoothed(wave: Column, taps: int = 10) -> Column:
     """Mean of each sample and the `taps` - 1 before it; before the start are zeros."""
     return F.transform(wave, lambda _, i: F.aggregate(F.slice(wave, F.greatest(i - taps + 2, F.lit(1)), F.least(i + 1, F.lit(taps))), F.lit(0.0), lambda s, x: s + x) / taps)
-
-
-def mask_iou(a: Column, b: Column) -> Column:
-    """Intersection over union of two masks; 0 where both are empty."""
-    both = F.size(F.filter(F.zip_with(a, b, lambda x, y: x & y), lambda x: x))
-    any_ = F.size(F.filter(F.zip_with(a, b, lambda x, y: x | y), lambda x: x))
-    return F.when(any_ > 0, both / any_).otherwise(0.0)
-
-
-@iv.bound
-def mask_bounds(mask: Column) -> Column:
-    """(onset, offset): the first set frame and the one after the last; null if none is set."""
-    on = F.array_position(mask, True)
-    off = F.size(mask) - F.array_position(F.reverse(mask), True) + 1
-    return F.when(on > 0, F.struct((on - 1).cast("int").alias("onset"), off.cast("int").alias("offset")))

@@ -8,13 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ledger import LEDGER_JSON
+from ..operators.ledger import LEDGER_JSON, VERSION
+
+
+def line_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """The lines of JSONL files that appear in a folder: json, its ledger l, and `error` where it isn't one; blank lines are left out."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).where(F.trim("value") != "")
+    read = lines.select(F.col("value").alias("json"), F.from_json("value", LEDGER_JSON).alias("l"))
+    wrong = F.when(F.col("l.sample_id").isNull(), "no sample_id").when(~F.col("l.schema_version").eqNullSafe(F.lit(VERSION)), "other schema version")
+    return read.withColumn("error", wrong)
 
 
 def ledger_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """The ledgers of JSONL files that appear in a folder; lines that aren't ledgers are left out."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.select(F.from_json("value", LEDGER_JSON).alias("l")).select("l.*").where("sample_id is not null")
+    """The ledgers of those lines; what isn't a ledger is in `fault_stream`."""
+    return line_stream(spark, path, files_per_batch).where("l.sample_id is not null").select("l.*")
+
+
+def fault_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """(json, error) of the lines that aren't ledgers, or of another version, to be written beside the ledgers."""
+    return line_stream(spark, path, files_per_batch).where("error is not null").select("json", "error")
 
 
 def write_batches(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
