@@ -48,8 +48,7 @@ def rows():
     return out + out[:9] + [("en", "x " * 3000), ("fr", "once upon a time")]
 
 
-@pytest.mark.parametrize("known", [0, co.KNOWN])
-@pytest.mark.parametrize("limit", [20, 400, co.LIMIT])
+@pytest.mark.parametrize(("limit", "known"), [(20, 0), (20, co.KNOWN), (400, 0), (co.LIMIT, co.KNOWN)])
 def test_equals_a_plain_version(spark, rows, limit, known, monkeypatch):
     monkeypatch.setattr(co, "KNOWN", known)  # words that rows bring, or that are broadcast
     docs = spark.createDataFrame([(lang, text, "clash", 3) for lang, text in rows], "lang string, text string, phrase string, n int")

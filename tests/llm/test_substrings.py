@@ -52,8 +52,7 @@ def made(seed: int, n: int = 150) -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize("limit", [2, 6, sub.LIMIT])
-@pytest.mark.parametrize("window", [10, 3])
+@pytest.mark.parametrize(("limit", "window"), [(2, 10), (6, 3), (sub.LIMIT, 10), (sub.LIMIT, 3)])
 def test_equals_brute_force(spark, limit, window):
     rows = made(window)
     docs = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, words string, g int")
