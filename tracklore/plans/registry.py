@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import building, captions, evaluation, generation, signals, sweeps, speech, reliability, curation, stem_ledgers
+from . import building, captions, evaluation, generation, signals, sweeps, speech, reliability, curation, stem_ledgers, real_mixes
 
-MODULES = (evaluation, captions, signals, generation, building, sweeps, speech, reliability, curation, stem_ledgers)
+MODULES = (evaluation, captions, signals, generation, building, sweeps, speech, reliability, curation, stem_ledgers, real_mixes)
 
 
 def queries() -> dict:
