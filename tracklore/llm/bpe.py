@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import AT_ONCE, raw_text, released, staged
+from .common import AT_ONCE, given_back, raw_text, released, staged
 
 FREQUENT, SHORT, REMEMBERED, BUCKETS, GROUP = 1 << 18, 64, 1 << 17, 1024, 256
 BETWEEN = "\u0100"  # between byte texts, whose characters are below it
@@ -203,6 +203,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
             ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+        given_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)

@@ -42,6 +42,11 @@ def sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def given_back() -> None:
+    """At the end of a task: memory that Arrow holds for reuse goes back to the machine, as an idle worker would keep it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+
+
 def raw_text(column: str = "text"):
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -62,6 +67,7 @@ def per_row(df: DataFrame, make: Callable[[], Callable[[bytes], tuple]], keys: l
             made = [each(x) for x in batch.column(n).to_pylist()]
             columns = list(zip(*made, strict=True)) if made else [[] for _ in fields[n:]]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + [pa.array(c, f.type) for c, f in zip(columns, fields[n:], strict=True)], names=[f.name for f in fields])
+        given_back()
 
     picked = df.select(*(F.col(k) for k in keys), raw_text(text).alias("raw__"))
     from pyspark.sql.pandas.types import to_arrow_schema

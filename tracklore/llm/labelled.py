@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text, staged
+from .common import given_back, raw_text, staged
 
 GRAINS = 1 << 20
 SAMPLE_BYTES = 256 << 20  # of features that a fit takes at most; beyond it rows are left out by the hash of their order
@@ -144,6 +144,7 @@ def scored(docs: DataFrame, model, make_scorer: Callable, id_col: str, text_col:
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             made = score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)] + [batch.column(2)] + [batch.column(1)] * with_text, names=names)
+        given_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, raw_text, released, sized, staged
+from .common import AT_ONCE, given_back, per_row, raw_text, released, sized, staged
 from .graph import connected_components
 
 BITS, SEGMENTS, BUCKET, SEED = 64, 7, 32, 42
@@ -212,7 +212,7 @@ def frequent(keyed: DataFrame) -> list[int]:
 def compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """From (hub, share, leaf, raw), each hub's own text before those of its leaves: the (hub, leaf) that are `least` alike."""
     hub, own = None, np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
         out: list[tuple] = []
         for a, share, b, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if (a, share) != hub:
@@ -223,6 +223,7 @@ def compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             if shared >= least * (len(own) + len(its) - shared):
                 out.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    given_back()
 
 
 def alike(texts: DataFrame, profiles: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
