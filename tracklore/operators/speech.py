@@ -70,7 +70,7 @@ def cpwer(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     r, h = side(refs, "ref"), side(hyps, "hyp")
     pairs = r.join(h, "sample_id").withColumn("type", F.lit("speaker"))  # the few speakers of one clip
     saved = F.size("ref") + F.size("hyp") - edit_distance(F.col("ref"), F.col("hyp"))
-    best = sweep.heaviest(pairs.select("sample_id", "type", "ref_event_id", "hyp_event_id", saved.alias("saved")).repartition("sample_id", "type"), F.col("saved") / 1_000_000)
+    best = sweep.heaviest(pairs.select("sample_id", "type", "ref_event_id", "hyp_event_id", saved.alias("saved")), F.col("saved") / 1_000_000)
     rows = [r.select("sample_id", F.size("ref").alias("n_words")), h.select("sample_id", F.size("hyp").alias("n_hyp")), best.select("sample_id", "saved")]
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     clip = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy("sample_id").agg(F.count("n_words").alias("known"), *(count(c).alias(c) for c in ("n_words", "n_hyp", "saved")))
@@ -109,7 +109,7 @@ def mapped_speakers(refs: DataFrame, hyps: DataFrame) -> DataFrame:
     side = lambda df, p: merged_turns(df).select("sample_id", F.col("speaker").alias(f"{p}_event_id"), F.col("spans").alias(f"{p}_spans"))
     pairs = side(refs, "ref").join(side(hyps, "hyp"), "sample_id").withColumn("type", F.lit("speaker"))
     pairs = pairs.withColumn("common_ds", iv.common(F.col("ref_spans"), F.col("hyp_spans"))).withColumn("all_ds", iv.length(F.col("ref_spans")) + iv.length(F.col("hyp_spans")) - F.col("common_ds"))
-    best = sweep.heaviest(pairs.drop("ref_spans", "hyp_spans").repartition("sample_id", "type"), F.col("common_ds") / 1_000_000)
+    best = sweep.heaviest(pairs.drop("ref_spans", "hyp_spans"), F.col("common_ds") / 1_000_000)
     return best.select("sample_id", F.col("ref_event_id").alias("ref_speaker"), F.col("hyp_event_id").alias("hyp_speaker"), "common_ds", "all_ds")
 
 

@@ -165,7 +165,7 @@ def heaviest(pairs: DataFrame, weight: Column) -> DataFrame:
     """
     some = match.isolated(pairs.withColumn("weight", F.round(weight * 1_000_000).cast("long")).where("weight > 0"))
     marked = some.withColumn("units", match.units(F.col("weight") / 1_000_000, "sample_id", "type", "ref_event_id", "hyp_event_id"))
-    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve_weights, marked.schema).drop("alone", "units")
+    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve_weights, marked.schema).drop("in_block", "alone", "units")
 
 
 def soft_f1(clips: DataFrame, refs: DataFrame, hyps: DataFrame, alpha: float = 1.0, beta: float = 1.0, similarity: Callable[[Column, Column], Column] = token_f1) -> DataFrame:
