@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklore.functions import intervals as iv
-from tracklore.operators import match, speech
+from tracklore.operators import components, match, speech
+from tracklore.operators.staging import kept
 
 
 @contextmanager
@@ -34,3 +35,12 @@ def test_blocks_stay_whole_over_many_partitions(spark, limit):
         for found in (mapped, matched):
             assert sorted(map(tuple, found.collect())) == sorted((f"c{c}", f"E{k}", f"E{k}") for c in range(60) for k in range(4))
         assert all(x.der == 0 and x.jer == 0 for x in speech.diarization(turns, turns).collect())
+
+
+def test_rounds_of_components_plan_in_constant_time(spark):
+    """Halves of chains that meet round by round: what one round knows of its rows isn't handed to the next."""
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(40)] + [(i + 1, f"p{i}") for i in range(39)], "clip long, path string")
+    df = rows.select("clip", F.col("clip").alias("same")).where("clip >= 0 AND clip = same")
+    left = kept(df)._jdf.queryExecution().optimizedPlan().constraints()
+    assert left.isEmpty()
+    assert {x.component for x in components.clip_components(rows, "clip", "path").collect()} == {0}

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """`df` as a reliable checkpoint in the folder of ``spark.checkpoint.dir``, which a cluster has to name; a local master gets a temporary one."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+    """`df` written to the folder of ``spark.checkpoint.dir`` and read back; a cluster has to name the folder, a local master gets a temporary one.
+
+    A checkpoint would hand on what the optimizer knows of its rows, and in a loop the
+    conditions that it infers multiply with each turn, until planning takes minutes. Files
+    hand on nothing but their size. Like checkpoints they stay until the folder is cleaned.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not (folder := spark.conf.get("spark.checkpoint.dir", "")) and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/kept-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
