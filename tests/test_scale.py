@@ -44,3 +44,9 @@ def test_rounds_of_components_plan_in_constant_time(spark):
     left = kept(df)._jdf.queryExecution().optimizedPlan().constraints()
     assert left.isEmpty()
     assert {x.component for x in components.clip_components(rows, "clip", "path").collect()} == {0}
+
+
+def test_repeated_spans_unite_as_single_ones(spark):
+    for gap, want in ((0, [(35, 40), (40, 75), (80, 90)]), (1, [(35, 75), (80, 90)])):
+        rows = spark.createDataFrame([([(80, 90), (40, 75), (35, 40)] * n,) for n in (1, 6, 60)], f"spans {iv.SPANS}")
+        assert [[tuple(s) for s in x.u] for x in rows.select(iv.merged(F.col("spans"), gap).alias("u")).collect()] == [want] * 3
