@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklore.functions import intervals as iv
-from tracklore.operators import components, match, speech
+from tracklore.operators import components, match, speech, uncertainty
 from tracklore.operators.staging import kept
 
 
@@ -50,3 +50,9 @@ def test_repeated_spans_unite_as_single_ones(spark):
     for gap, want in ((0, [(35, 40), (40, 75), (80, 90)]), (1, [(35, 75), (80, 90)])):
         rows = spark.createDataFrame([([(80, 90), (40, 75), (35, 40)] * n,) for n in (1, 6, 60)], f"spans {iv.SPANS}")
         assert [[tuple(s) for s in x.u] for x in rows.select(iv.merged(F.col("spans"), gap).alias("u")).collect()] == [want] * 3
+
+
+def test_a_draw_is_hashed_once(spark):
+    rows = spark.range(5).select(F.col("id").alias("sample_id"), F.col("id").cast("double").alias("m"))
+    plan = uncertainty.bootstrap(rows, ["m"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1

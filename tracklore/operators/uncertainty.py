@@ -44,7 +44,8 @@ def bootstrap(samples: DataFrame, metrics: list[str], replicates: int = 200, see
     """
     clips = samples.select(F.col(key).cast("string").alias("key"), *(in_millionths(F.col(m)).alias(m) for m in metrics))
     drawn = clips.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))  # 0 is the table itself
-    weight = F.when(F.col("replicate") == 0, 1).otherwise(poisson(draw(F.lit(seed), "replicate", "key")))
+    drawn = drawn.withColumn("u", draw(F.lit(seed), "replicate", "key"))  # a column of its own: inside the condition each step would hash anew
+    weight = F.when(F.col("replicate") == 0, 1).otherwise(poisson(F.col("u")))
     sums = drawn.withColumn("w", weight).groupBy("replicate").agg(*(F.struct(F.sum(F.col("w") * F.col(m)).alias("sum"), F.sum(F.when(F.col(m).isNotNull(), F.col("w"))).alias("n")).alias(m) for m in metrics))
     rows = sums.select("replicate", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}.sum").alias("sum"), F.col(f"{m}.n").alias("n")) for m in metrics))).alias("x"))
     means = rows.select("replicate", "x.metric", "x.n", F.when(F.col("x.n") > 0, F.col("x.sum") / F.col("x.n") / MILLION).alias("mean"))
