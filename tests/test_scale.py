@@ -56,3 +56,10 @@ def test_a_draw_is_hashed_once(spark):
     rows = spark.range(5).select(F.col("id").alias("sample_id"), F.col("id").cast("double").alias("m"))
     plan = uncertainty.bootstrap(rows, ["m"], 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1
+
+
+def test_an_edit_distance_is_computed_once(spark):
+    turns = spark.createDataFrame([("c", "a", 1, "one two"), ("c", "b", 2, "three")], "sample_id string, speaker string, pos long, text string")
+    found = speech.cpwer(turns, turns)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+    assert [tuple(x) for x in found.collect()] == [("c", 3, 0, 0.0)]
