@@ -62,7 +62,7 @@ def merged(spans: Column, gap: int = 0) -> Column:
         return F.filter(places(F.size(s)), lambda i: F.coalesce(F.get(s, i + 1) - F.get(e, i) >= gap, F.lit(True)))
 
     def one(all_: Column) -> Column:
-        return F.when(F.exists(all_, lambda x: x["start_ds"] >= x["end_ds"]), folded(all_, gap)).otherwise(joined(all_))
+        return F.when(F.size(all_) < 2, all_).when(F.exists(all_, lambda x: x["start_ds"] >= x["end_ds"]), folded(all_, gap)).otherwise(joined(all_))
 
     return let(F.coalesce(spans, none()), one)
 
@@ -111,7 +111,7 @@ def length(spans: Column) -> Column:
 def common(a: Column, b: Column) -> Column:
     """Length of the intersection of two sets of disjoint spans, which is what is covered twice."""
     shared = lambda s, t: F.greatest(F.lit(0), F.least(s["end_ds"], t["end_ds"]) - F.greatest(s["start_ds"], t["start_ds"]))
-    both = lambda x, y: F.when((F.size(x) == 1) & (F.size(y) == 1), shared(F.get(x, F.lit(0)), F.get(y, F.lit(0)))).otherwise(covered(F.concat(x, y), 2))
+    both = lambda x, y: F.when((F.size(x) == 1) & (F.size(y) == 1), shared(F.get(x, F.lit(0)), F.get(y, F.lit(0)))).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(covered(F.concat(x, y), 2))
     return let(F.coalesce(a, none()), lambda x: let(F.coalesce(b, none()), lambda y: both(x, y)))
 
 

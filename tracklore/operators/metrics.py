@@ -86,31 +86,74 @@ def sample_metrics(clips: DataFrame, refs: DataFrame, hyps: DataFrame, predicted
     in one aggregation by clip.
     """
     matched = match.matches(match.candidates(refs, hyps)) if matched is None else matched
-    side = lambda df, which: df.select("sample_id", "type", F.lit(which).alias("side"), "spans", "track_id")
-    of = lambda which, c: F.when(F.col("side") == which, F.col(c))
-    by_type = side(refs, "ref").unionByName(side(hyps, "hyp")).groupBy("sample_id", "type").agg(
-        *(F.collect_list(of(x, "spans")).alias(f"{x}_spans") for x in ("ref", "hyp")), *(F.collect_set(of(x, "track_id")).alias(f"{x}_tracks") for x in ("ref", "hyp")),
-        *(F.count_if(F.col("side") == x).alias(f"n_{x}") for x in ("ref", "hyp")),
-    )
-    united = {f"{x}_spans": iv.merged(F.flatten(f"{x}_spans")) for x in ("ref", "hyp")}
-    by_type = by_type.withColumns(united).withColumn("tp", iv.common(F.col("ref_spans"), F.col("hyp_spans")))
-    by_type = by_type.withColumns({"fp": iv.length(F.col("hyp_spans")) - F.col("tp"), "fn": iv.length(F.col("ref_spans")) - F.col("tp")}).drop(*united)
-    gap = lambda end: F.abs(end(F.col("ref_spans")) - end(F.col("hyp_spans")))
-    pairs = matched.select("sample_id", gap(iv.onset).alias("on"), gap(iv.offset).alias("off"), "track_match")
-    flag = lambda df, name: df.select("sample_id", F.lit(True).alias(name))
-    rows = [by_type, pairs, flag(clips, "is_clip"), flag(predicted, "has_prediction")]
+    measures = by_type_measures(events_by_type(refs, hyps))
     counted = {"ref": ref_tracks, "hyp": hyp_tracks}
-    rows += [df.select("sample_id", F.col("n_tracks").alias(f"n_{x}_tracks")) for x, df in counted.items() if df is not None]
-    tracks = {x: F.size(F.array_distinct(F.flatten(F.collect_list(f"{x}_tracks")))) if df is None else F.coalesce(F.max(f"n_{x}_tracks"), F.lit(0)) for x, df in counted.items()}
-    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    within = lambda k: F.avg(F.when(F.col("on").isNotNull(), ((F.col("on") <= k) & (F.col("off") <= k)).cast("double")))
-    clip = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy("sample_id").agg(
-        F.coalesce(F.bool_or("is_clip"), F.lit(False)).alias("is_clip"), F.coalesce(F.bool_or("has_prediction"), F.lit(False)).alias("has"), F.count("on").alias("n_matched"),
-        *(count(c).alias(c) for c in ("n_ref", "n_hyp", "tp", "fp", "fn")), *(n.alias(f"n_{x}_tracks") for x, n in tracks.items()),
-        F.avg("on").alias("onset_mae"), F.avg("off").alias("offset_mae"), F.percentile("on", F.lit(0.9)).alias("onset_p90"), F.percentile("off", F.lit(0.9)).alias("offset_p90"),
-        *(within(k).alias(f"tolerance_acc_{t}") for t, k in TOLERANCES.items()), F.avg(F.col("track_match").cast("double")).alias("pointer_accuracy"),
-    ).where("is_clip")
-    return scores(clip)
+    tracks = {f"n_{x}_tracks": df.select("sample_id", F.col("n_tracks").alias(f"n_{x}_tracks")) for x, df in counted.items() if df is not None}
+    clip = by_clip(clips, predicted, measures, pair_errors(matched), tracks)
+    return scores(clip_sums(clip, *tracks))
+
+
+def events_by_type(refs: DataFrame, hyps: DataFrame, *more: str) -> DataFrame:
+    """(sample_id, type, ref, hyp): the events of both sides as lists of (spans, track_id and `more` columns)."""
+    side = lambda df, is_ref: df.select("sample_id", "type", F.struct(F.lit(is_ref).alias("is_ref"), "spans", "track_id", *more).alias("event"))
+    lists = side(refs, True).unionByName(side(hyps, False)).groupBy("sample_id", "type").agg(F.collect_list("event").alias("events"))
+    return lists.select("sample_id", "type", F.filter("events", lambda e: e["is_ref"]).alias("ref"), F.filter("events", lambda e: ~e["is_ref"]).alias("hyp"))
+
+
+def by_type_measures(by_type: DataFrame, *keys: str) -> DataFrame:
+    """(sample_id, measure): of each row's lists `ref` and `hyp` the `keys`, the tenths tp, fp, fn, the numbers of events and the distinct tracks."""
+    spans = lambda x: F.flatten(F.transform(x, lambda e: F.coalesce(e["spans"], iv.none())))
+    rows = by_type.withColumns({f"{x}_spans": iv.merged(spans(x)) for x in ("ref", "hyp")}).withColumn("tp", iv.common(F.col("ref_spans"), F.col("hyp_spans")))
+    tracks = lambda x: F.filter(F.array_distinct(F.transform(x, lambda e: e["track_id"])), lambda t: t.isNotNull()).alias(f"{x}_tracks")
+    rest = lambda x: iv.length(F.col(f"{x}_spans")) - F.col("tp")
+    return rows.select("sample_id", F.struct(*keys, "tp", rest("hyp").alias("fp"), rest("ref").alias("fn"), *(F.size(x).alias(f"n_{x}") for x in ("ref", "hyp")), *map(tracks, ("ref", "hyp"))).alias("measure"))
+
+
+def pair_errors(matched: DataFrame, *keys: str) -> DataFrame:
+    """(sample_id, pair): of matched pairs the `keys`, the errors of both ends and whether the track matches."""
+    gap = lambda end: F.abs(end(F.col("ref_spans")) - end(F.col("hyp_spans")))
+    return matched.select("sample_id", F.struct(*keys, gap(iv.onset).alias("on"), gap(iv.offset).alias("off"), "track_match").alias("pair"))
+
+
+def by_clip(clips: DataFrame, predicted: DataFrame, measures: DataFrame, pairs: DataFrame, numbers: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per clip: whether it `has` a prediction, its `measures` and `pairs` as lists, and the greatest of each of the `numbers`.
+
+    Lists of small rows move instead of partial sums of each metric, which are wider.
+    """
+    flag = lambda df, name: df.select("sample_id").distinct().withColumn(name, F.lit(True))
+    rows = [measures, pairs, flag(clips, "is_clip"), flag(predicted, "has_prediction"), *(numbers or {}).values()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy("sample_id").agg(
+        F.bool_or("is_clip").alias("is_clip"), F.coalesce(F.bool_or("has_prediction"), F.lit(False)).alias("has"), F.collect_list("measure").alias("measures"), F.collect_list("pair").alias("pairs"),
+        *(F.coalesce(F.max(n), F.lit(0)).alias(n) for n in numbers or {}),
+    ).where("is_clip").drop("is_clip")
+
+
+def mean(values: Column) -> Column:
+    """Mean of an array of numbers without nulls; null if it is empty."""
+    return iv.let(values, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda n, v: n + v) / F.size(x)))
+
+
+def upper_tenth(values: Column) -> Column:
+    """The 90th percentile of an array of numbers without nulls, between its two neighbours as `percentile` has it; null if it is empty."""
+    at = lambda x: (F.size(x) - 1) * 0.9
+    below = lambda x: F.floor(at(x)).cast("int")
+    one = lambda x: (below(x) + 1 - at(x)) * F.get(x, below(x)) + (at(x) - below(x)) * F.coalesce(F.get(x, below(x) + 1), F.lit(0))
+    return iv.let(F.array_sort(values), lambda x: F.when(F.size(x) > 0, one(x)))
+
+
+def clip_sums(clip: DataFrame, *known: str) -> DataFrame:
+    """The rows of `by_clip` with the sums and means that `scores` takes; counts of tracks that are `known` stay."""
+    known_ = lambda x: f"n_{x}_tracks" in known
+    total = lambda c: F.aggregate("measures", F.lit(0).cast("long"), lambda n, m: n + m[c]).alias(c)
+    tracks = lambda x: F.col(f"n_{x}_tracks") if known_(x) else F.size(F.array_distinct(F.flatten(F.transform("measures", lambda m: m[f"{x}_tracks"])))).alias(f"n_{x}_tracks")
+    of = lambda value: F.filter(F.transform("pairs", value), lambda v: v.isNotNull())
+    error = lambda end: of(lambda p: p[end])
+    within = lambda k: of(lambda p: F.when(p["on"].isNotNull(), ((p["on"] <= k) & (p["off"] <= k)).cast("double")))
+    return clip.select(
+        *(c for c in clip.columns if c not in ("measures", "pairs", *known)), F.size(error("on")).cast("long").alias("n_matched"), *map(total, ("n_ref", "n_hyp", "tp", "fp", "fn")), *map(tracks, ("ref", "hyp")),
+        *(mean(error(end)).alias(f"{name}_mae") for name, end in (("onset", "on"), ("offset", "off"))), *(upper_tenth(error(end)).alias(f"{name}_p90") for name, end in (("onset", "on"), ("offset", "off"))),
+        *(mean(within(k)).alias(f"tolerance_acc_{t}") for t, k in TOLERANCES.items()), mean(of(lambda p: p["track_match"].cast("double"))).alias("pointer_accuracy"),
+    )
 
 
 def scores(clip: DataFrame, *keys: str) -> DataFrame:

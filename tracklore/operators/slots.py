@@ -87,5 +87,5 @@ def slot_assignment(costs: DataFrame) -> DataFrame:
     """The pairs of `slot_costs` that are assigned: as many as slots or targets allow, at the least total cost."""
     ids = {"ref_event_id": F.col("target").cast("string"), "hyp_event_id": F.col("slot").cast("string"), "type": F.lit("")}
     units = match.units(F.col("cost"), "sample_id", "ref_event_id", "hyp_event_id")
-    marked = costs.repartition("sample_id").withColumns(ids).withColumns({"alone": F.lit(False), "units": units}).sortWithinPartitions("sample_id")
+    marked = costs.repartition("sample_id").withColumns(ids).withColumns({"units": units}).sortWithinPartitions("sample_id")
     return marked.mapInArrow(match.solve, marked.schema).select(*costs.columns)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import intervals as iv
 from ..functions.text import token_f1
@@ -25,26 +26,32 @@ def level_of(confidence: Column, thresholds: list[float]) -> Column:
 
 
 def solve_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that match at each level, with the level as `at`, from rows in order of (sample_id, type)."""
+    """The rows that match at some level, with those levels as `ats`, from rows in order of (sample_id, type)."""
 
     def matching(rows: pa.Table) -> pa.Table:
-        alone, level = rows.column("alone").to_pylist(), rows.column("level").to_pylist()
-        found = [(k, at) for k, x in enumerate(alone) if x for at in range(level[k] + 1)]
-        blocks: dict = {}
-        hard = [k for k, x in enumerate(alone) if not x]
-        some = rows.take(pa.array(hard, pa.int64()))
-        for k, sample, kind, ref, hyp, cost in zip(hard, *(some.column(c).to_pylist() for c in ("sample_id", "type", "ref_event_id", "hyp_event_id", "units")), strict=True):
-            blocks.setdefault((sample, kind), []).append((k, (ref, hyp), cost))
-        for block in blocks.values():
-            levels = {hyp: level[k] for k, (_, hyp), _ in block}
-            by_level = assigned_by_level([x[1] for x in block], [x[2] for x in block], levels)
-            found += [(block[i][0], at) for at, some in zip(range(len(by_level) - 1, -1, -1), by_level, strict=True) for i in some]
-        out = rows.take(pa.array([k for k, _ in found], pa.int64()))
-        return out.append_column("at", pa.array([at for _, at in found], pa.int32()))
+        alone, blocks = match.contested(rows)
+        level = rows.column("level").to_pylist()
+        found = {k: list(range(level[k] + 1)) for k in np.flatnonzero(alone).tolist()}
+        for block in blocks:
+            by_level = assigned_by_level([x[1] for x in block], [x[2] for x in block], {hyp: level[k] for k, (_, hyp), _ in block})
+            for at, some in zip(range(len(by_level) - 1, -1, -1), by_level, strict=True):
+                for i in some:
+                    found.setdefault(block[i][0], []).append(at)
+        out = rows.take(pa.array(found, pa.int64()))
+        return out.append_column("ats", pa.array(list(found.values()), pa.list_(pa.int32())))
 
     yield from match.whole_blocks(batches, matching)
 
 
+def matches_with_levels(refs: DataFrame, hyps: DataFrame, thresholds: list[float], **costs) -> DataFrame:
+    """The pairs that match at some threshold, once each, with the numbers of those thresholds as `ats`."""
+    active = hyps.withColumn("level", level_of(F.col("confidence"), thresholds)).where("level >= 0")
+    pairs = match.gathered(match.candidates(refs, active, carry=("level",), **costs))
+    units = match.units(F.col("cost"), "sample_id", "type", "ref_event_id", "hyp_event_id").alias("units")
+    marked = pairs.select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou", "track_match", "cost", "ref_spans", "hyp_spans", "in_block", "level", units)
+    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve_levels, StructType([*marked.schema, StructField("ats", ArrayType(IntegerType()))])).drop("in_block", "level", "units")
+
+
 def matches_by_threshold(refs: DataFrame, hyps: DataFrame, thresholds: list[float], **costs) -> DataFrame:
     """The matching pairs at each threshold of the predictions' confidence, numbered by `at`.
 
@@ -52,47 +59,27 @@ def matches_by_threshold(refs: DataFrame, hyps: DataFrame, thresholds: list[floa
     candidates are made once, and each block is solved once: from the highest threshold
     down, predictions are added to the assignment of those above.
     """
-    active = hyps.withColumn("level", level_of(F.col("confidence"), thresholds)).where("level >= 0")
-    pairs = match.isolated(match.candidates(refs, active, carry=("level",), **costs))
-    units = match.units(F.col("cost"), "sample_id", "type", "ref_event_id", "hyp_event_id").alias("units")
-    marked = pairs.select("sample_id", "type", "ref_event_id", "hyp_event_id", "tiou", "track_match", "cost", "ref_spans", "hyp_spans", "alone", "level", units)
-    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve_levels, StructType([*marked.schema, StructField("at", IntegerType())])).drop("alone", "level", "units")
+    return matches_with_levels(refs, hyps, thresholds, **costs).withColumn("at", F.explode("ats")).drop("ats")
 
 
 def threshold_metrics(clips: DataFrame, refs: DataFrame, hyps: DataFrame, predicted: DataFrame, thresholds: list[float], **costs) -> DataFrame:
     """`metrics.sample_metrics` of each clip at each threshold of the predictions' confidence.
 
     `predicted(sample_id)` lists the clips with a prediction, at any threshold. Events move
-    once, to their (clip, type); from there on there is a row of sums per threshold.
+    once, to their (clip, type), where they are measured once for all thresholds that have
+    the same predictions; clips get a row per threshold when all their rows are together.
     """
     thresholds = sorted(thresholds)
-    every = F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))).alias("at")
-    side = lambda df, which, level: df.select("sample_id", "type", F.lit(which).alias("side"), F.struct(level.alias("level"), "spans", "track_id").alias("event"))
-    events = side(refs, "ref", F.lit(0)).unionByName(side(hyps, "hyp", level_of(F.col("confidence"), thresholds)))
-    of = lambda which: F.collect_list(F.when(F.col("side") == which, F.col("event"))).alias(which)
-    by_type = events.groupBy("sample_id", "type").agg(of("ref"), of("hyp")).select("*", every)
-    by_type = by_type.withColumn("hyp", F.filter("hyp", lambda x: x["level"] >= F.col("at")))
-    united = {f"{x}_spans": iv.merged(F.flatten(F.transform(x, lambda e: e["spans"]))) for x in ("ref", "hyp")}
-    by_type = by_type.withColumns(united).withColumn("tp", iv.common(F.col("ref_spans"), F.col("hyp_spans")))
-    tracks = lambda x: F.filter(F.array_distinct(F.transform(x, lambda e: e["track_id"])), lambda t: t.isNotNull()).alias(f"{x}_tracks")
-    by_type = by_type.select(
-        "sample_id", "at", "tp", (iv.length(F.col("hyp_spans")) - F.col("tp")).alias("fp"), (iv.length(F.col("ref_spans")) - F.col("tp")).alias("fn"),
-        *(F.size(x).alias(f"n_{x}") for x in ("ref", "hyp")), *map(tracks, ("ref", "hyp")),
-    )
-    gap = lambda end: F.abs(end(F.col("ref_spans")) - end(F.col("hyp_spans")))
-    pairs = matches_by_threshold(refs, hyps, thresholds, **costs).select("sample_id", "at", gap(iv.onset).alias("on"), gap(iv.offset).alias("off"), "track_match")
-    flag = lambda df, name: df.select("sample_id", every, F.lit(True).alias(name))
-    rows = [by_type, pairs, flag(clips, "is_clip"), flag(predicted, "has_prediction")]
-    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    within = lambda k: F.avg(F.when(F.col("on").isNotNull(), ((F.col("on") <= k) & (F.col("off") <= k)).cast("double")))
-    clip = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy("sample_id", "at").agg(
-        F.coalesce(F.bool_or("is_clip"), F.lit(False)).alias("is_clip"), F.coalesce(F.bool_or("has_prediction"), F.lit(False)).alias("has"), F.count("on").alias("n_matched"),
-        *(count(c).alias(c) for c in ("n_ref", "n_hyp", "tp", "fp", "fn")), *(F.size(F.array_distinct(F.flatten(F.collect_list(f"{x}_tracks")))).alias(f"n_{x}_tracks") for x in ("ref", "hyp")),
-        F.avg("on").alias("onset_mae"), F.avg("off").alias("offset_mae"), F.percentile("on", F.lit(0.9)).alias("onset_p90"), F.percentile("off", F.lit(0.9)).alias("offset_p90"),
-        *(within(k).alias(f"tolerance_acc_{t}") for t, k in metrics.TOLERANCES.items()), F.avg(F.col("track_match").cast("double")).alias("pointer_accuracy"),
-    ).where("is_clip")
+    last = len(thresholds) - 1
+    by_type = metrics.events_by_type(refs.withColumn("level", F.lit(0)), hyps.withColumn("level", level_of(F.col("confidence"), thresholds)), "level")
+    ends = F.array_sort(F.array_distinct(F.concat(F.filter(F.transform("hyp", lambda e: e["level"]), lambda x: x >= 0), F.array(F.lit(last)))))  # the last threshold of each set of predictions
+    steps = iv.let(ends, lambda e: F.transform(e, lambda x, i: F.struct(F.coalesce(F.get(e, i - 1) + 1, F.lit(0)).alias("lo"), x.alias("hi"))))
+    by_type = by_type.select("*", F.inline(steps)).withColumn("hyp", F.filter("hyp", lambda x: x["level"] >= F.col("lo")))
+    pairs = metrics.pair_errors(matches_with_levels(refs, hyps, thresholds, **costs), "ats")
+    clip = metrics.by_clip(clips, predicted, metrics.by_type_measures(by_type, "lo", "hi"), pairs).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    of_level = {"measures": F.filter("measures", lambda m: F.col("at").between(m["lo"], m["hi"])), "pairs": F.filter("pairs", lambda p: F.array_contains(p["ats"], F.col("at")))}
     named = F.element_at(F.array(*map(F.lit, thresholds)), F.col("at") + 1)
-    return metrics.scores(clip.withColumn("threshold", named), "threshold")
+    return metrics.scores(metrics.clip_sums(clip.withColumns(of_level)).withColumn("threshold", named), "threshold")
 
 
 def corpus_by_threshold(samples: DataFrame) -> DataFrame:
@@ -143,16 +130,10 @@ def solve_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The rows of the matching of greatest weight, from rows in order of (sample_id, type)."""
 
     def matching(rows: pa.Table) -> pa.Table:
-        alone = rows.column("alone").to_pylist()
-        keep = [k for k, x in enumerate(alone) if x]
-        blocks: dict = {}
-        hard = [k for k, x in enumerate(alone) if not x]
-        some = rows.take(pa.array(hard, pa.int64()))
-        for k, sample, kind, ref, hyp, weight in zip(hard, *(some.column(c).to_pylist() for c in ("sample_id", "type", "ref_event_id", "hyp_event_id", "units")), strict=True):
-            blocks.setdefault((sample, kind), []).append((k, (ref, hyp), weight))
-        for block in blocks.values():
-            keep += [block[i][0] for i in best_weight([x[1] for x in block], [x[2] for x in block])]
-        return rows.take(pa.array(sorted(keep), pa.int64()))
+        keep, blocks = match.contested(rows)
+        for block in blocks:
+            keep[[block[i][0] for i in best_weight([x[1] for x in block], [x[2] for x in block])]] = True
+        return rows.filter(pa.array(keep))
 
     yield from match.whole_blocks(batches, matching)
 
@@ -163,9 +144,9 @@ def heaviest(pairs: DataFrame, weight: Column) -> DataFrame:
     Pairs without weight are left out, as may be others that stand in the way of more.
     `pairs` has ref_event_id and hyp_event_id besides the two keys.
     """
-    some = match.isolated(pairs.withColumn("weight", F.round(weight * 1_000_000).cast("long")).where("weight > 0"))
+    some = match.gathered(pairs.withColumn("weight", F.round(weight * 1_000_000).cast("long")).where("weight > 0"))
     marked = some.withColumn("units", match.units(F.col("weight") / 1_000_000, "sample_id", "type", "ref_event_id", "hyp_event_id"))
-    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve_weights, marked.schema).drop("in_block", "alone", "units")
+    return marked.sortWithinPartitions("sample_id", "type").mapInArrow(solve_weights, marked.schema).drop("in_block", "units")
 
 
 def soft_f1(clips: DataFrame, refs: DataFrame, hyps: DataFrame, alpha: float = 1.0, beta: float = 1.0, similarity: Callable[[Column, Column], Column] = token_f1) -> DataFrame:
