@@ -54,3 +54,15 @@ def test_fold_equals_the_library(spark, model):
 def test_empty(spark):
     tokens = bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN)
     assert bpe.digests(tokens, PATH).collect() == []
+
+
+def test_merging_at_once_equals_one_by_one(model):
+    r = random.Random(4)
+    pieces = bpe.read_ranks(PATH)
+    words = {"".join(r.choice("etaoin shrdluéß中'xqz") for _ in range(r.randint(1, 30))) for _ in range(800)} | {"aaaaaaaaaaa", "éééééé", "zq"}
+    words = [[w for w in words], ["ab" * 40, "x" * 3000, "q"]]
+    table = bpe.Words({}, pieces, bpe.Pairs(pieces))
+    table.prepare(words)
+    assert len(table.rare) > 700
+    for w in words[0] + words[1]:
+        assert table[w] == b"".join(i.to_bytes(4, "little") for i in model._encode_single_piece(w.encode())), w

@@ -8,12 +8,14 @@ Encoding has three steps.
    lowest rank, found in a literal rank map, until none is left.
 3. Tasks split their texts again and look each piece up in that table, which is broadcast
    and whose size is bounded by those two numbers. Other pieces are merged where they
-   occur, by a function that gives the same ids, and remembered up to `REMEMBERED`.
+   occur, those of some texts at once, by functions that give the same ids, and
+   remembered up to `REMEMBERED`.
 
 Moving each occurrence to a table of all distinct pieces and back would shuffle several
 times the input; this way only the piece counts are shuffled.
 
-Decoding concatenates the binary pieces of the ids, which are a literal array, natively.
+Decoding joins the byte texts of the ids, which are a literal array, natively, and turns
+the joined text into bytes.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import AT_ONCE, given_back, raw_text, released, staged
 
-FREQUENT, SHORT, REMEMBERED, BUCKETS, GROUP = 1 << 18, 64, 1 << 17, 1024, 256
+FREQUENT, SHORT, REMEMBERED, BUCKETS, AT_ONCE_BYTES = 1 << 18, 64, 1 << 17, 1024, 1 << 20
 BETWEEN = "\u0100"  # between byte texts, whose characters are below it
 
 
@@ -75,6 +79,54 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
+class Pairs:
+    """Which id two neighbouring ids merge to, as sorted keys."""
+
+    def __init__(self, pieces: list[bytes]):
+        ranks = {p: i for i, p in enumerate(pieces)}
+        found = [(a * len(pieces) + b, i) for i, p in enumerate(pieces) for k in range(1, len(p)) if (a := ranks.get(p[:k])) is not None and (b := ranks.get(p[k:])) is not None]
+        self.n, self.none = len(pieces), np.int32(2**31 - 1)
+        keys = np.array([k for k, _ in found] + [-1], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array([i for _, i in found] + [0], np.int32)[order]
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id that each pair merges to, `none` for those that don't; a negative id has no pair."""
+        key = left.astype(np.int64) * self.n + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ids[at], self.none)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """`merge` of words of several bytes and similar length that have no rank as a whole, as int32 bytes: one merge of every word a step."""
+        ends, out = np.cumsum([0, *map(len, words)]), [b""] * len(words)
+        size = np.diff(ends)
+        place = np.arange(size.max())
+        inside = place < size[:, None]
+        ids = np.full(inside.shape, -1, np.int32)
+        ids[inside] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        rank, which = self.merged(ids[:, :-1], ids[:, 1:]), np.arange(len(words))
+        while len(which):
+            at, row = rank.argmin(1), np.arange(len(which))  # the first of the lowest
+            best = rank[row, at]
+            for k in np.flatnonzero(best == self.none).tolist():
+                out[which[k]] = ids[k, : size[k]].tobytes()
+            go = best != self.none
+            ids, rank, size, which, at, best = ids[go], rank[go], size[go] - 1, which[go], at[go], best[go]
+            if not len(which):
+                break
+            row, width = np.arange(len(which)), ids.shape[1] - 1
+            ids = np.where(place[:width] > at[:, None], ids[:, 1:], ids[:, :-1])
+            ids[row, at] = best
+            rank = np.where(place[: width - 1] > at[:, None], rank[:, 1:], rank[:, :-1]) if width > 1 else np.full((len(which), 1), self.none)
+            after = ids[row, np.minimum(at + 1, width - 1)]
+            has = at < width - 1
+            rank[row[has], at[has]] = self.merged(best[has], after[has])
+            has = at > 0
+            rank[row[has], at[has] - 1] = self.merged(ids[row[has], at[has] - 1], best[has])
+        return out
+
+
 def byte_text(raw: bytes) -> str:
     """Bytes as a text of as many characters: a literal map of Spark can't have binary keys made by a function."""
     return raw.decode("iso-8859-1")
@@ -152,19 +204,24 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 class Words(dict):
     """Ids by word, as int32 bytes: the broadcast table, and what isn't in it merged when first asked for."""
 
-    def __init__(self, table: dict[str, bytes], ranks: dict[bytes, int]):
+    def __init__(self, table: dict[str, bytes], pieces: list[bytes], pairs: Pairs):
         super().__init__(table)
-        self.ranks, self.rare = ranks, {}
+        self.ranks, self.pairs, self.rare = {p: i for i, p in enumerate(pieces)}, pairs, {}
+
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Merges the short words of some texts that aren't known yet, those of similar length at once."""
+        if len(self.rare) >= REMEMBERED:
+            self.rare.clear()
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for word in set().union(*texts).difference(self.rare):
+            if word not in self and 1 < len(raw := word.encode()) <= SHORT and raw not in self.ranks:
+                by_size.setdefault(len(raw).bit_length(), []).append((word, raw))
+        for some in by_size.values():
+            self.rare.update(zip((w for w, _ in some), self.pairs.merge_all([raw for _, raw in some]), strict=True))
 
     def __missing__(self, word: str) -> bytes:
         ids = self.rare.get(word)
-        if ids is None:
-            if len(self.rare) >= REMEMBERED:
-                self.rare.clear()
-            ids = np.array(merge(word.encode(), self.ranks), np.int32).tobytes()
-            if len(word) <= SHORT:
-                self.rare[word] = ids
-        return ids
+        return np.array(merge(word.encode(), self.ranks), np.int32).tobytes() if ids is None else ids
 
 
 def by_word(words: pa.Table) -> dict[str, bytes]:
@@ -178,8 +235,8 @@ def by_word(words: pa.Table) -> dict[str, bytes]:
 
 def loaded(shared) -> Words:
     """A task's words; they go with the task, so that workers hold no more than one table."""
-    pieces, words = shared.value
-    return Words(by_word(pa.ipc.open_stream(words).read_all()), {p: i for i, p in enumerate(pieces)})
+    pieces, pairs, words = shared.value
+    return Words(by_word(pa.ipc.open_stream(words).read_all()), pieces, pairs)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -194,12 +251,20 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, words.schema) as out:
         out.write_table(words)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, sink.getvalue().to_pybytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, Pairs(pieces), sink.getvalue().to_pybytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, ids_of = regex.compile(pattern).findall, loaded(shared).__getitem__
+        split, words = regex.compile(pattern).findall, loaded(shared)
+
+        def ids_of(raws: list[bytes]) -> list[bytes]:
+            texts = [split(raw.decode("utf-8", "replace")) for raw in raws]
+            words.prepare(texts)
+            return [b"".join(map(words.__getitem__, text)) for text in texts]
+
         for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, max(1, whole.num_rows), AT_ONCE)):
-            each = [b"".join(map(ids_of, split(raw.decode("utf-8", "replace")))) for raw in batch.column(1).to_pylist()]
+            raws = batch.column(1).to_pylist()
+            group = (np.cumsum(list(map(len, raws))) // AT_ONCE_BYTES).tolist()
+            each = [ids for _, some in groupby(zip(group, raws, strict=True), itemgetter(0)) for ids in ids_of([raw for _, raw in some])]
             ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
@@ -210,12 +275,9 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
 
 def decoded(ids: Column, rank_path: str) -> Column:
-    """The bytes that an array of ids stands for: its pieces, concatenated as binary in groups, then the groups."""
-    pieces, none = split_literal([byte_text(p) for p in read_ranks(rank_path)]), F.lit(bytearray())
-    piece = lambda i: F.encode(F.element_at(pieces, i + 1), "ISO-8859-1")
-    group = lambda start: F.aggregate(F.slice(ids, start, F.lit(GROUP)), none, lambda done, i: F.concat(done, piece(i)))
-    groups = F.transform(F.sequence(F.lit(1), F.size(ids), F.lit(GROUP)), group)
-    return F.when(F.size(ids) > 0, F.aggregate(groups, none, lambda done, part: F.concat(done, part))).otherwise(none)
+    """The bytes that an array of ids stands for: the byte texts of its pieces, joined."""
+    pieces = split_literal([byte_text(p) for p in read_ranks(rank_path)])
+    return F.encode(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""), "ISO-8859-1")
 
 
 def digests(tokens: DataFrame, rank_path: str, id_col: str = "doc_id") -> DataFrame:
