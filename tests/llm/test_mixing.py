@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracklore.llm import mixing
 
@@ -55,3 +56,9 @@ def test_sample_follows_probabilities_and_edges(spark):
         assert shares[s] / sum(shares.values()) == pytest.approx(roots[s] / sum(roots.values()), abs=0.03)
     assert mixing.mixed(docs.limit(0), {"source": 0.5}, 0.5).collect() == []
     assert np.isclose(spark.range(20000).select(mixing.unit_hash(__import__("pyspark.sql.functions").sql.functions.col("id")).alias("u")).agg({"u": "avg"}).first()[0], 0.5, atol=0.01)
+
+
+def test_a_topic_splits_its_text_once(spark):
+    df = spark.createDataFrame([("a b",)], "text string").select(mixing.topic_of(F.col("text"), ["a", "b"]).alias("t"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(lower(") == 1

@@ -61,8 +61,8 @@ def topic_of(text: Column, words: list[str], topics: int = TOPICS) -> Column:
     uses = lambda used, k: F.size(F.filter(used, lambda t: t == k))
     best = lambda used: F.array_max(F.array(*(F.struct(uses(used, k).alias("n"), F.lit(-k).alias("less")) for k in range(topics))))
     used = F.transform(F.filter(text_words(text), lambda w: w.isin(words)), place)
-    top = F.element_at(F.transform(F.array(used), best), 1)
-    return F.when(top["n"] > 0, F.concat(F.lit("topic-"), (-top["less"]).cast("string"))).otherwise(F.lit(OTHER))
+    named = lambda top: F.when(top["n"] > 0, F.concat(F.lit("topic-"), (-top["less"]).cast("string"))).otherwise(F.lit(OTHER))
+    return F.element_at(F.transform(F.transform(F.array(used), best), named), 1)  # inside a lambda; named twice, the text would be split twice
 
 
 def unit_hash(ident: Column) -> Column:
