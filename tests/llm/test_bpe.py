@@ -66,3 +66,20 @@ def test_merging_at_once_equals_one_by_one(model):
     assert len(table.rare) > 700
     for w in words[0] + words[1]:
         assert table[w] == b"".join(i.to_bytes(4, "little") for i in model._encode_single_piece(w.encode())), w
+
+
+def test_texts_are_read_and_split_once(spark, model):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text: str) -> str:
+        reads.add(1)
+        return text
+
+    texts = [x or "" for x in samples()]
+    docs = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).select("doc_id", F.udf(seen)("text").alias("text"))
+    blocks = bpe.blocks_of(docs, "doc_id", "text", P.PATTERN, block_bytes=100)
+    assert blocks.count() > 10 and reads.value == len(texts)
+    got = bpe.encode(docs, PATH, P.PATTERN, frequent=20).collect()
+    assert reads.value == 2 * len(texts)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, list(r.ids)) for r in got), key=key) == sorted(((i if i % 5 else None, model.encode_ordinary(t)) for i, t in enumerate(texts)), key=key)

@@ -2,14 +2,16 @@
 
 Encoding has three steps.
 
-1. Tasks split their texts and count the pieces; counts are summed per distinct piece.
+1. Tasks split their texts, once, into blocks: a block's distinct pieces with their counts,
+   and each text as the numbers of its pieces in that block. Blocks are staged, compressed,
+   and counts are summed per distinct piece.
 2. The most frequent pieces (at most `FREQUENT`, of at most `SHORT` bytes) are encoded
    once each: a higher-order fold over the piece's bytes merges the neighbours with the
    lowest rank, found in a literal rank map, until none is left.
-3. Tasks split their texts again and look each piece up in that table, which is broadcast
-   and whose size is bounded by those two numbers. Other pieces are merged where they
-   occur, those of some texts at once, by functions that give the same ids, and
-   remembered up to `REMEMBERED`.
+3. Tasks look a block's distinct pieces up in that table, which is broadcast and whose
+   size is bounded by those two numbers. Other pieces are merged once a block, many at
+   once, by functions that give the same ids, and remembered up to `REMEMBERED`. The ids
+   of texts are then picked by number.
 
 Moving each occurrence to a table of all distinct pieces and back would shuffle several
 times the input; this way only the piece counts are shuffled.
@@ -25,8 +27,6 @@ import heapq
 import json
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import AT_ONCE, given_back, raw_text, released, staged
 
-FREQUENT, SHORT, REMEMBERED, BUCKETS, AT_ONCE_BYTES = 1 << 18, 64, 1 << 17, 1024, 1 << 20
+FREQUENT, SHORT, REMEMBERED, BUCKETS, AT_ONCE_BYTES, BLOCK_BYTES = 1 << 18, 64, 1 << 17, 1024, 1 << 20, 1 << 24
 BETWEEN = "\u0100"  # between byte texts, whose characters are below it
 
 
@@ -167,25 +167,70 @@ def merged_ids(word: Column, pieces: list[bytes]) -> Column:
     return F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank))
 
 
-def piece_counts(docs: DataFrame, text: str, pattern: str) -> DataFrame:
-    """(word, n) summed over all texts."""
+def packed(rows: pa.Table, compression: str | None = None) -> bytes:
+    """A table as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+class Numbers(dict):
+    """A number for each word, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def lists_of(ends: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32()), pa.array(flat, pa.int32()))
+
+
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(words, texts), a row per block of some texts: packed tables of (word, n), and of (id, numbers) with places in the former."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = regex.compile(pattern).findall, Counter()
+        split, seen, ids, texts, size = regex.compile(pattern).findall, Numbers(), [], [], 0
+
+        def row() -> pa.RecordBatch:
+            flat = np.concatenate(texts)
+            words = pa.table({"word": pa.array(list(seen), pa.string()), "n": pa.array(np.bincount(flat, minlength=len(seen)), pa.int64())})
+            rows = pa.table({"id": pa.chunked_array(ids), "numbers": lists_of(np.cumsum([0, *map(len, texts)]), flat)})
+            return pa.RecordBatch.from_arrays([pa.array([packed(x, "zstd")], pa.binary()) for x in (words, rows)], names=["words", "texts"])
+
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
+            begin = 0
+            for i, raw in enumerate(batch.column(1).to_pylist(), 1):
+                words = split(raw.decode("utf-8", "replace"))
+                texts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                size += len(raw)
+                if i == batch.num_rows or size > block_bytes or len(seen) > FREQUENT:
+                    ids.append(batch.column(0).slice(begin, i - begin))
+                    begin = i
+                if size > block_bytes or len(seen) > FREQUENT:
+                    yield row()
+                    seen, ids, texts, size = Numbers(), [], [], 0
+        if texts:
+            yield row()
+        given_back()
+
+    return staged(docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw")).mapInArrow(run, "words binary, texts binary"))
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
+def piece_counts(blocks: DataFrame) -> DataFrame:
+    """(word, n) summed over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                seen.update(split(raw.decode("utf-8", "replace")))
-                if len(seen) > FREQUENT:
-                    yield rows()
-                    seen.clear()
-        yield rows()
+                yield from unpacked(raw).to_batches()
 
-    found = docs.select(raw_text(text).alias("raw")).mapInArrow(run, "word string, n bigint")
-    return found.groupBy("word").agg(F.sum("n").alias("n"))
+    return blocks.select("words").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> DataFrame:
@@ -216,8 +261,9 @@ class Words(dict):
         for word in set().union(*texts).difference(self.rare):
             if word not in self and 1 < len(raw := word.encode()) <= SHORT and raw not in self.ranks:
                 by_size.setdefault(len(raw).bit_length(), []).append((word, raw))
-        for some in by_size.values():
-            self.rare.update(zip((w for w, _ in some), self.pairs.merge_all([raw for _, raw in some]), strict=True))
+        for bits, words in by_size.items():
+            for some in (words[i : i + (AT_ONCE_BYTES >> bits)] for i in range(0, len(words), AT_ONCE_BYTES >> bits)):
+                self.rare.update(zip((w for w, _ in some), self.pairs.merge_all([raw for _, raw in some]), strict=True))
 
     def __missing__(self, word: str) -> bytes:
         ids = self.rare.get(word)
@@ -236,7 +282,7 @@ def by_word(words: pa.Table) -> dict[str, bytes]:
 def loaded(shared) -> Words:
     """A task's words; they go with the task, so that workers hold no more than one table."""
     pieces, pairs, words = shared.value
-    return Words(by_word(pa.ipc.open_stream(words).read_all()), pieces, pairs)
+    return Words(by_word(unpacked(words)), pieces, pairs)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -245,33 +291,28 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     Null and empty texts have no ids; null or repeated ids keep their rows; an empty table
     gives an empty result; other columns are not read.
     """
-    pieces = read_ranks(rank_path)
-    words = frequent_words(piece_counts(docs, text_col, pattern), frequent).select("word", merged_ids(F.col("word"), pieces).alias("ids")).toArrow()
+    pieces, blocks = read_ranks(rank_path), blocks_of(docs, id_col, text_col, pattern)
+    words = frequent_words(piece_counts(blocks), frequent).select("word", merged_ids(F.col("word"), pieces).alias("ids")).toArrow()
     released(docs)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, words.schema) as out:
-        out.write_table(words)
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, Pairs(pieces), sink.getvalue().to_pybytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, Pairs(pieces), packed(words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = regex.compile(pattern).findall, loaded(shared)
-
-        def ids_of(raws: list[bytes]) -> list[bytes]:
-            texts = [split(raw.decode("utf-8", "replace")) for raw in raws]
-            words.prepare(texts)
-            return [b"".join(map(words.__getitem__, text)) for text in texts]
-
-        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, max(1, whole.num_rows), AT_ONCE)):
-            raws = batch.column(1).to_pylist()
-            group = (np.cumsum(list(map(len, raws))) // AT_ONCE_BYTES).tolist()
-            each = [ids for _, some in groupby(zip(group, raws, strict=True), itemgetter(0)) for ids in ids_of([raw for _, raw in some])]
-            ends = np.cumsum([0, *(len(x) // 4 for x in each)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+        table = loaded(shared)
+        for raw_words, raw_texts in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            words, texts = unpacked(raw_words).column("word").to_pylist(), unpacked(raw_texts).combine_chunks()
+            table.prepare([words])
+            each = list(map(table.__getitem__, words))
+            size, flat = np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.int32)
+            lists = texts.column("numbers").chunk(0)
+            numbers = lists.values.to_numpy()
+            ends = np.cumsum(np.r_[0, size[numbers]])  # of each piece's ids
+            start = np.repeat((np.cumsum(size) - size)[numbers] - ends[:-1], size[numbers])
+            found = pa.RecordBatch.from_arrays([texts.column("id").chunk(0), lists_of(ends[lists.offsets.to_numpy()], flat[start + np.arange(len(start))])], names=["id", "ids"])
+            yield from (found.slice(i, AT_ONCE) for i in range(0, found.num_rows, AT_ONCE))
         given_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return blocks.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decoded(ids: Column, rank_path: str) -> Column:
