@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklore.functions import intervals as iv
-from tracklore.operators import components, match, speech, uncertainty
+from tracklore.operators import components, match, speech, staging, sweep, uncertainty
 from tracklore.operators.staging import kept
 
 
@@ -63,3 +63,20 @@ def test_an_edit_distance_is_computed_once(spark):
     found = speech.cpwer(turns, turns)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
     assert [tuple(x) for x in found.collect()] == [("c", 3, 0, 0.0)]
+
+
+def clip_events(spark, n):
+    """Two tables of n events each, five a clip, the second one a tenth later."""
+    rows = lambda late: [(f"c{i // 5}", f"E{i}", i, "speech", "T1", "x", 0.9, [(10 * (i % 5) + late, 10 * (i % 5) + 8 + late)]) for i in range(n)]
+    schema = "sample_id string, event_id string, ord long, type string, track_id string, text string, confidence double, spans array<struct<start_ds int, end_ds int>>"
+    return spark.createDataFrame(rows(0), schema), spark.createDataFrame(rows(1), schema)
+
+
+def test_collars_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    refs, hyps = clip_events(spark, 600)
+    clips = refs.select("sample_id").distinct()
+    whole = sorted(map(tuple, sweep.collar_f1(clips, refs, hyps).collect()))
+    monkeypatch.setattr(staging, "TASK_ROWS", 30)
+    dealt = sweep.collar_f1(clips, refs, hyps)
+    assert dealt.rdd.getNumPartitions() >= 40
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 120 * len(sweep.COLLARS)

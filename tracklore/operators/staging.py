@@ -1,4 +1,4 @@
-"""Cutting the lineage of loops."""
+"""Cutting the lineage of loops, and dealing rows to tasks of bounded size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
+TASK_ROWS = 1 << 18
+
 
 def kept(df: DataFrame) -> DataFrame:
     """`df` written to the folder of ``spark.checkpoint.dir`` and read back; a cluster has to name the folder, a local master gets a temporary one.
@@ -23,3 +25,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{context._jsc.sc().getCheckpointDir().get()}/kept-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """`df` dealt by its keys to tasks of some `TASK_ROWS` rows, so that a task's memory doesn't grow with the table.
+
+    `rows` is the number of rows to deal; by default `df` is counted. Equal keys stay together.
+    """
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)

@@ -15,6 +15,7 @@ from ..functions import intervals as iv
 from ..functions.text import token_f1
 from . import match, metrics
 from .assign import assigned_by_level, best_weight
+from .staging import dealt
 
 #: Whole tenths that an onset may be off, by the collar's name.
 COLLARS = metrics.TOLERANCES
@@ -111,16 +112,18 @@ def most_within(refs: Column, hyps: Column, collar: int) -> Column:
 def collar_f1(clips: DataFrame, refs: DataFrame, hyps: DataFrame, collars: dict[str, int] | None = None) -> DataFrame:
     """(sample_id, collar, tp, n_ref, n_hyp, precision, recall, f1): events of one type whose onsets are within the collar match.
 
-    Clips without events get 1; events of other clips are ignored.
+    Clips without events get 1; events of other clips are ignored. Rows move once, to
+    their clip, in tasks of bounded size.
     """
     collars = collars or COLLARS
     side = lambda df, which: df.select("sample_id", "type", F.lit(which).alias("side"), iv.onset(F.col("spans")).alias("at"))
     times = lambda which: F.array_sort(F.collect_list(F.when(F.col("side") == which, F.col("at")))).alias(which)
-    by_type = side(refs, "ref").unionByName(side(hyps, "hyp")).groupBy("sample_id", "type").agg(times("ref"), times("hyp"))
-    made = by_type.select("sample_id", *(F.size(x).alias(f"n_{x}") for x in ("ref", "hyp")), *(most_within(F.col("ref"), F.col("hyp"), k).alias(f"tp_{name}") for name, k in collars.items()))
-    flagged = made.withColumn("is_clip", F.lit(False)).unionByName(clips.select("sample_id", F.lit(True).alias("is_clip")), allowMissingColumns=True)
-    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    clip = flagged.groupBy("sample_id").agg(F.bool_or("is_clip").alias("is_clip"), *map(count, ("n_ref", "n_hyp", *(f"tp_{name}" for name in collars)))).where("is_clip")
+    events = side(refs, "ref").unionByName(side(hyps, "hyp"))
+    flagged = events.unionByName(clips.select("sample_id", F.lit("clip").alias("side")), allowMissingColumns=True)
+    by_type = dealt(flagged, "sample_id", rows=events.count()).groupBy("sample_id", "type").agg(times("ref"), times("hyp"), F.bool_or(F.col("side") == "clip").alias("is_clip"))
+    made = by_type.select("sample_id", "is_clip", *(F.size(x).alias(f"n_{x}") for x in ("ref", "hyp")), *(most_within(F.col("ref"), F.col("hyp"), k).alias(f"tp_{name}") for name, k in collars.items()))
+    sums = (F.sum(c).alias(c) for c in ("n_ref", "n_hyp", *(f"tp_{name}" for name in collars)))
+    clip = made.groupBy("sample_id").agg(F.bool_or("is_clip").alias("is_clip"), *sums).where("is_clip")
     rows = clip.select("sample_id", "n_ref", "n_hyp", F.explode(F.array(*(F.struct(F.lit(name).alias("collar"), F.col(f"tp_{name}").alias("tp")) for name in collars))).alias("x"))
     p, r = (metrics.ratio(F.col("x.tp"), F.col(n)) for n in ("n_hyp", "n_ref"))
     return rows.select("sample_id", "x.collar", "x.tp", "n_ref", "n_hyp", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(metrics.f1(p, r), 6).alias("f1"))
