@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklore.functions import intervals as iv
-from tracklore.operators import components, match, speech, staging, sweep, uncertainty
+from tracklore.operators import components, match, speech, staging, sweep, uncertainty, validate
 from tracklore.operators.staging import kept
 
 
@@ -80,3 +80,19 @@ def test_collars_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     dealt = sweep.collar_f1(clips, refs, hyps)
     assert dealt.rdd.getNumPartitions() >= 40
     assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 120 * len(sweep.COLLARS)
+
+
+def test_violations_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
+    events, _ = clip_events(spark, 600)
+    events = events.withColumn("event_id", F.when(F.col("ord") % 50 == 1, F.concat(F.lit("E"), (F.col("ord") - 1).cast("string"))).otherwise(F.col("event_id")))
+    events = events.withColumn("track_id", F.when(F.col("ord") % 60 == 3, "T9").otherwise(F.col("track_id")))
+    clips = events.select("sample_id").distinct().withColumn("duration_ds", F.lit(45))
+    tracks = events.where("track_id = 'T1'").select("sample_id", "track_id", F.lit("speech").alias("kind"), "confidence", F.array(F.element_at("spans", 1)).alias("spans")).where("ord % 5 = 0")
+    relations = events.where("ord % 40 = 0").select("sample_id", "event_id", F.lit("before").alias("predicate"), F.lit("E0x").alias("target_event_id"))
+    whole = sorted(map(tuple, validate.violations(clips, tracks, events, relations).collect()))
+    count = lambda rule: sum(x[1] == rule for x in whole)
+    assert (count("event_repeated"), count("event_track"), count("relation_target"), count("event_outside"), len(whole)) == (12, 10, 15, 120, 157)
+    monkeypatch.setattr(staging, "TASK_ROWS", 30)
+    for df, rows in ((validate.repeated_ids(events, "event_id"), 12), (validate.dangling_tracks(events, tracks), 10), (validate.outside_clip(events, clips), 120)):
+        assert df.rdd.getNumPartitions() >= 20 and df.count() == rows
+    assert sorted(map(tuple, validate.violations(clips, tracks, events, relations).collect())) == whole
