@@ -83,3 +83,11 @@ def test_texts_are_read_and_split_once(spark, model):
     assert reads.value == 2 * len(texts)
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(((r.doc_id, list(r.ids)) for r in got), key=key) == sorted(((i if i % 5 else None, model.encode_ordinary(t)) for i, t in enumerate(texts)), key=key)
+
+
+def test_the_rank_map_stands_once_in_the_plan(spark):
+    """The driver keeps each plan's text; with a copy at each use, the pipeline's driver grew by as many texts of the map a run."""
+    pieces = [bytes([b]) for b in range(256)] + [b"qz", b"qzx", b"jv"]
+    found = spark.range(3).select(bpe.merged_ids(F.concat(F.lit("aqzx"), F.col("id").cast("string")), pieces).alias("ids"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("jv") == 1
+    assert [r.ids for r in found.collect()] == [[97, 257, 48 + i] for i in range(3)]

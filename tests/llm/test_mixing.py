@@ -62,3 +62,17 @@ def test_a_topic_splits_its_text_once(spark):
     df = spark.createDataFrame([("a b",)], "text string").select(mixing.topic_of(F.col("text"), ["a", "b"]).alias("t"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(lower(") == 1
+
+
+def test_plans_of_targets_stay_small(spark, monkeypatch):
+    plans, staged = [], mixing.staged
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return staged(df)
+
+    cells = spark.createDataFrame([(s, lang, t, 1 + 7 * len(s) + 3 * len(t)) for s in ("a", "bb") for lang in ("x", "y") for t in ("p", "qq")], "source string, lang string, topic string, tokens long")
+    tables = {d: mixing.tempered(cells, d, 0.7) for d in mixing.DIMENSIONS}
+    monkeypatch.setattr(mixing, "staged", seen)
+    mixing.raked(cells, tables, rounds=0).collect()
+    assert max(plans) < 45  # more when each dimension's plan held those before it twice

@@ -148,8 +148,6 @@ def rank_map(pieces: list[bytes]) -> Column:
 
 def merged_ids(word: Column, pieces: list[bytes]) -> Column:
     """Ids of a piece of text, by folding the ranked merges over the array of its bytes."""
-    table = rank_map(pieces)
-    rank = lambda x: F.try_element_at(F.element_at(table, (F.pmod(F.xxhash64(x), F.lit(BUCKETS)) + 1).cast("int")), x)
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     text = F.decode(word.cast("binary"), "ISO-8859-1")
     start = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
@@ -158,13 +156,18 @@ def merged_ids(word: Column, pieces: list[bytes]) -> Column:
         pair = F.array(F.concat(F.element_at(p, at), F.element_at(p, at + 1)))
         return F.concat(F.slice(p, F.lit(1), at - 1), pair, F.slice(p, at + 2, F.size(p)))
 
-    def step(p: Column, _: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))))
-        best = lambda r: F.when(F.array_min(r).isNull(), p).otherwise(joined(p, F.array_position(r, F.array_min(r)).cast("int")))
-        return F.when(F.size(p) < 2, p).otherwise(let(ranks, best))
+    def ids(table: Column) -> Column:
+        rank = lambda x: F.try_element_at(F.element_at(table, (F.pmod(F.xxhash64(x), F.lit(BUCKETS)) + 1).cast("int")), x)
 
-    folded = F.when(F.length(text) < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), start, step))
-    return F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank))
+        def step(p: Column, _: Column) -> Column:
+            ranks = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))))
+            best = lambda r: F.when(F.array_min(r).isNull(), p).otherwise(joined(p, F.array_position(r, F.array_min(r)).cast("int")))
+            return F.when(F.size(p) < 2, p).otherwise(let(ranks, best))
+
+        folded = F.when(F.length(text) < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(text), F.lit(2))), start, step))
+        return F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(folded, rank))
+
+    return let(rank_map(pieces), ids)  # named at each use, the map would stand in the plan, and in what the driver keeps of it, as often
 
 
 def packed(rows: pa.Table, compression: str | None = None) -> bytes:

@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     `edges` holds integers; direction, repeats and loops don't matter. Nodes that have no
     edge to another node get no row. Each step groups with partial aggregation and joins
     the minimum back, so a hub's edges never have to meet in one task; the edge list is
-    checkpointed after each round and nothing but two numbers reaches the driver.
+    checkpointed after each step, so that no plan holds a step several times, and nothing
+    but two numbers reaches the driver.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct())
     before = None
@@ -26,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("m", "v"))
         low = both.groupBy(F.col("v").alias("u")).agg(F.least(F.min("m"), F.col("u")).alias("low"))
         large = both.where("m > v").join(low, F.col("v") == F.col("u")).select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m")
-        large = large.union(low.where("low < u").select("u", "low")).distinct()
+        large = staged(large.union(low.where("low < u").select("u", "low")).distinct())
         low = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("low"))
         small = large.join(low, F.col("v") == F.col("u")).where("m > low").select(F.col("m").alias("v"), F.col("low").alias("m"))
         edges = staged(small.union(low.select("u", "low")).distinct())

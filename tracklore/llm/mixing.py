@@ -97,7 +97,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     """
     known = cells.where("tokens > 0")
     for d, target in targets.items():
-        here = known.select(F.col(d).alias("value")).distinct().join(target, "value").where("share > 0")
+        here = staged(known.select(F.col(d).alias("value")).distinct().join(target, "value").where("share > 0"))  # else each dimension's plan would hold those before it twice
         all_ = here.agg(F.sum("share")).first()[0] or 1.0
         known = known.join(here.select(F.col("value").alias(d), (F.col("share") / all_).alias(f"{d}_share")), d)
     parts = 1 + cells.count() // BROADCAST

@@ -302,7 +302,7 @@ def near_prints(profiles: DataFrame) -> DataFrame:
     """(a, b): one text of each two fingerprints of a space that are within two bits, by pigeonring chains."""
     spaces = profiles.select("uid", F.posexplode("fps").alias("space", "fp"))
     reps = staged(spaces.groupBy("space", "fp").agg(F.min_by("uid", F.xxhash64("uid")).alias("rep")))
-    across = links(reps.select("space", "fp"), 2, ("space",))
+    across = staged(links(reps.select("space", "fp"), 2, ("space",)))
     named = lambda k, name: reps.select("space", F.col("fp").alias(k), F.col("rep").alias(name))
     return across.join(named("a", "left_"), ["space", "a"]).join(named("b", "right_"), ["space", "b"]).select(F.col("left_").alias("a"), F.col("right_").alias("b"))
 
