@@ -117,11 +117,11 @@ def test_plans_of_components_stay_small(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30) if i != 10], "a long, b long")
     roots = {r.node: r.root for r in graph.connected_components(edges).collect()}
     assert roots == {i: 0 if i <= 10 else 11 for i in range(31)}
-    assert len(plans) > 3 and max(plans) < 40  # 86 when a round was one plan
+    assert len(plans) > 3 and max(plans) < 40  # 80 when a round was one plan
 
 
 def test_plans_of_near_prints_stay_small(spark):
     profiles = spark.createDataFrame([(1, [5, 9]), (2, [4, 77]), (3, [(1 << 40) + (7 << 50), 11])], "uid long, fps array<long>")
     found = simhash.near_prints(profiles)
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("\n") < 30
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("\n") < 20  # 29 when the links were not staged
     assert {frozenset((r.a, r.b)) for r in found.collect()} == {frozenset((1, 2)), frozenset((1, 3))}
