@@ -47,6 +47,13 @@ def test_weights_and_levels_equal_enumeration(seed):
         assert some == [kept[i] for i in best]
 
 
+@pytest.mark.parametrize("cost", list(itertools.permutations([5, 1, 3])))
+def test_of_a_repeated_pair_the_cheapest_matches(cost):
+    pairs = [("r", "h")] * 3
+    assert assign.assigned(pairs, list(cost)) == [cost.index(1)] and assign.best_weight(pairs, list(cost)) == [cost.index(5)]
+    assert assign.assigned_by_level(pairs, list(cost), {"h": 1}) == [[cost.index(1)]] * 2
+
+
 def test_a_part_of_twenty_thousand_events():
     r = random.Random(1)
     n = 10_000

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,28 @@ def test_null_spans_and_types_and_repeated_ids(spark):
     assert swept == got
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(range(4))))
+def test_repeated_ids_match_alike_in_any_order_of_rows(order):
+    spans = [[(0, 4), (6, 9)], [(0, 4)], [(0, 3), (4, 5)], [(1, 5)]]  # the last three are equally good
+    rows = [{"sample_id": "b", "type": "sfx", "ref_event_id": "r1", "hyp_event_id": "h1", "units": min(k, 1), "level": 1, "ref_spans": [{"start_ds": a, "end_ds": b} for a, b in spans[k]]} for k in range(4)]
+    given = lambda some: [pa.RecordBatch.from_pylist(some)]
+    mixed = [rows[k] for k in order]
+    assert [x["ref_spans"] for b in match.solve(given(mixed)) for x in b.to_pylist()] == [rows[0]["ref_spans"]]
+    assert [(x["ref_spans"], x["ats"]) for b in sweep.solve_levels(given(mixed)) for x in b.to_pylist()] == [(rows[0]["ref_spans"], [1, 0])]
+    equal = [x for x in mixed if x["units"]]
+    assert [x["ref_spans"] for b in match.solve(given(equal)) for x in b.to_pylist()] == [rows[2]["ref_spans"]]
+
+
+@pytest.mark.parametrize("order", list(itertools.permutations(range(3))))
+def test_predictions_that_repeat_an_id_at_two_levels(order):
+    pairs = [("r1", "h1", 5, 1), ("r1", "h1", 1, 0), ("r2", "h1", 2, 0)]
+    rows = [{"sample_id": "a", "type": "sfx", "ref_event_id": r, "hyp_event_id": h, "units": cost, "level": level, "ref_spans": []} for r, h, cost, level in (pairs[k] for k in order)]
+    got = [(x["units"], at) for b in sweep.solve_levels([pa.RecordBatch.from_pylist(rows)]) for x in b.to_pylist() for at in x["ats"]]
+    for at in range(2):
+        want = match.solve([pa.RecordBatch.from_pylist([x for x in rows if x["level"] >= at])])
+        assert [u for u, level in got if level == at] == [x["units"] for b in want for x in b.to_pylist()]
+
+
 def test_percentile_of_an_array_is_that_of_rows(spark):
     r = random.Random(5)
     lists = [[], [3], [1, 2]] + [[r.randrange(40) for _ in range(r.randint(1, 25))] for _ in range(60)]

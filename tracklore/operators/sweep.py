@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from ..functions import intervals as iv
 from ..functions.text import token_f1
 from . import match, metrics
-from .assign import assigned_by_level, best_weight
+from .assign import assigned, assigned_by_level, best_weight
 from .staging import dealt
 
 #: Whole tenths that an onset may be off, by the collar's name.
@@ -26,6 +26,20 @@ def level_of(confidence: Column, thresholds: list[float]) -> Column:
     return reduce(lambda n, t: n + F.coalesce(confidence >= t, F.lit(False)).cast("int"), thresholds, F.lit(-1))
 
 
+def matched_by_level(block: list[tuple], level: list[int]) -> list[tuple[int, list[int]]]:
+    """(level, positions of the rows that match) of a block of `contested`, from the highest level down to 0.
+
+    Predictions that repeat an id at different levels can't be added one after the other;
+    such a block is solved anew at each level.
+    """
+    solved = lambda some: [some[i][0] for i in assigned([x[1] for x in some], [x[2] for x in some])]
+    levels = {hyp: level[k] for k, (_, hyp), _ in block}
+    if any(level[k] != levels[hyp] for k, (_, hyp), _ in block):
+        return [(at, solved([x for x in block if level[x[0]] >= at])) for at in range(max(level[k] for k, _, _ in block), -1, -1)]
+    by_level = assigned_by_level([x[1] for x in block], [x[2] for x in block], levels)
+    return [(at, [block[i][0] for i in some]) for at, some in zip(range(len(by_level) - 1, -1, -1), by_level, strict=True)]
+
+
 def solve_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows that match at some level, with those levels as `ats`, from rows in order of (sample_id, type)."""
 
@@ -33,11 +47,10 @@ def solve_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, blocks = match.contested(rows)
         level = rows.column("level").to_pylist()
         found = {k: list(range(level[k] + 1)) for k in np.flatnonzero(alone).tolist()}
-        for block in blocks:
-            by_level = assigned_by_level([x[1] for x in block], [x[2] for x in block], {hyp: level[k] for k, (_, hyp), _ in block})
-            for at, some in zip(range(len(by_level) - 1, -1, -1), by_level, strict=True):
-                for i in some:
-                    found.setdefault(block[i][0], []).append(at)
+        for block in (match.told_apart(x, rows) for x in blocks):
+            for at, some in matched_by_level(block, level):
+                for k in some:
+                    found.setdefault(k, []).append(at)
         out = rows.take(pa.array(found, pa.int64()))
         return out.append_column("ats", pa.array(list(found.values()), pa.list_(pa.int32())))
 
@@ -134,7 +147,7 @@ def solve_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def matching(rows: pa.Table) -> pa.Table:
         keep, blocks = match.contested(rows)
-        for block in blocks:
+        for block in (match.told_apart(x, rows) for x in blocks):
             keep[[block[i][0] for i in best_weight([x[1] for x in block], [x[2] for x in block])]] = True
         return rows.filter(pa.array(keep))
 
