@@ -288,6 +288,21 @@ def loaded(shared) -> Words:
     return Words(by_word(unpacked(words)), pieces, pairs)
 
 
+def ids_of_block(raw_words: bytes, raw_texts: bytes, table: Words) -> Iterator[pa.RecordBatch]:
+    """(id, ids) of a block's texts, a few at a time: for all at once, what finds the ids would take many times the texts."""
+    words, texts = unpacked(raw_words).column("word").to_pylist(), unpacked(raw_texts).combine_chunks()
+    table.prepare([words])
+    each = list(map(table.__getitem__, words))
+    size, flat = np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.int32)
+    first = np.cumsum(size) - size  # of each piece's ids in `flat`
+    for some in (texts.slice(i, AT_ONCE) for i in range(0, texts.num_rows, AT_ONCE)):
+        lists = some.column("numbers").chunk(0)
+        places, numbers = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        ends = np.cumsum(np.r_[0, size[numbers]])
+        start = np.repeat(first[numbers] - ends[:-1], size[numbers])
+        yield pa.RecordBatch.from_arrays([some.column("id").chunk(0), lists_of(ends[places - places[0]], flat[start + np.arange(len(start))])], names=["id", "ids"])
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """(id, ids): the token ids of each whole text, in order; no special tokens.
 
@@ -302,16 +317,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(shared)
         for raw_words, raw_texts in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-            words, texts = unpacked(raw_words).column("word").to_pylist(), unpacked(raw_texts).combine_chunks()
-            table.prepare([words])
-            each = list(map(table.__getitem__, words))
-            size, flat = np.fromiter(map(len, each), np.int64, len(each)) // 4, np.frombuffer(b"".join(each), np.int32)
-            lists = texts.column("numbers").chunk(0)
-            numbers = lists.values.to_numpy()
-            ends = np.cumsum(np.r_[0, size[numbers]])  # of each piece's ids
-            start = np.repeat((np.cumsum(size) - size)[numbers] - ends[:-1], size[numbers])
-            found = pa.RecordBatch.from_arrays([texts.column("id").chunk(0), lists_of(ends[lists.offsets.to_numpy()], flat[start + np.arange(len(start))])], names=["id", "ids"])
-            yield from (found.slice(i, AT_ONCE) for i in range(0, found.num_rows, AT_ONCE))
+            yield from ids_of_block(raw_words, raw_texts, table)
         given_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
