@@ -76,3 +76,17 @@ def test_plans_of_targets_stay_small(spark, monkeypatch):
     monkeypatch.setattr(mixing, "staged", seen)
     mixing.raked(cells, tables, rounds=0).collect()
     assert max(plans) < 45  # more when each dimension's plan held those before it twice
+
+
+def test_a_dimension_joins_its_targets_once(spark, monkeypatch):
+    plans, staged = [], mixing.staged
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return staged(df)
+
+    cells = spark.createDataFrame([(s, lang, t, 1 + len(s)) for s in ("a", "bb") for lang in ("x", "y") for t in ("p", "qq")], "source string, lang string, topic string, tokens long")
+    tables = {d: mixing.tempered(cells, d, 0.7) for d in mixing.DIMENSIONS}
+    monkeypatch.setattr(mixing, "staged", seen)
+    assert mixing.raked(cells, tables).count() == 8
+    assert max(plans) == 1  # three when the third dimension's plan held the joins before it

@@ -125,3 +125,14 @@ def test_plans_of_near_prints_stay_small(spark):
     found = simhash.near_prints(profiles)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("\n") < 20  # 29 when the links were not staged
     assert {frozenset((r.a, r.b)) for r in found.collect()} == {frozenset((1, 2)), frozenset((1, 3))}
+
+
+def test_groups_and_first_members_have_small_plans(spark):
+    """The driver keeps the plan and metrics of each run, anew at each of its steps; the groups' last step stood in them as often as it was used."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long")
+    roots = graph.connected_components(edges)
+    assert "Exchange" not in plan(roots) and sorted(map(tuple, roots.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y")], "doc_id long, text string")
+    found = simhash.copies(docs)
+    assert plan(found).count("Exchange") <= 3 and sorted((r[0], r[2]) for r in found.collect()) == [(1, 1), (2, 1), (3, 3)]

@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         print_ = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if print_ == before or not print_[0]:
-            return edges.select(F.col("v").alias("node"), F.col("m").alias("root")).union(edges.select("m", "m")).distinct()
+            return staged(edges.select(F.col("v").alias("node"), F.col("m").alias("root")).union(edges.select("m", "m")).distinct())  # each later plan would hold it as often as it is used
         before = print_
         both = edges.union(edges.select("m", "v"))
         low = both.groupBy(F.col("v").alias("u")).agg(F.least(F.min("m"), F.col("u")).alias("low"))

@@ -99,7 +99,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     for d, target in targets.items():
         here = staged(known.select(F.col(d).alias("value")).distinct().join(target, "value").where("share > 0"))  # else each dimension's plan would hold those before it twice
         all_ = here.agg(F.sum("share")).first()[0] or 1.0
-        known = known.join(here.select(F.col("value").alias(d), (F.col("share") / all_).alias(f"{d}_share")), d)
+        known = staged(known.join(here.select(F.col("value").alias(d), (F.col("share") / all_).alias(f"{d}_share")), d))  # so the next dimension's plan holds one join
     parts = 1 + cells.count() // BROADCAST
     known = staged(known.withColumn("weight", F.col("tokens").cast("double")).coalesce(parts))
     seen, at_once = [float("inf")], AT_ONCE if parts == 1 else 1

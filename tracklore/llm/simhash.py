@@ -351,7 +351,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     roots = connected_components(edges().union(linked))
     named = profiles.select("key", "uid").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("key", F.coalesce("root", "uid").alias("root"))
-    rooted = rows.join(named, "key")
+    rooted = staged(rows.join(named, "key"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     first = rooted.groupBy("root").agg(F.min(order).alias("first"))
     return rooted.join(first, "root").select(F.col("id").cast(kind).alias(id_col), "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
